@@ -21,6 +21,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; x is sorted in place."""
+    x.sort()
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse modulo 2**64."""
     if len(_powers[0]) <= n:
@@ -68,7 +76,7 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     total = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
         total = mixed(total + words[i : n - width + 1 + i])
-    return np.unique(total)
+    return distinct(total)
 
 
 class Minima:
