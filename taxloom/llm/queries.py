@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxloom.llm import exact, fingerprint, langid, minhash, mixing, sharding
+from taxloom.llm import exact, fingerprint, langid, minhash, mixing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op8_warc": op8_warc,
     "op9_fingerprint": op9_fingerprint,
 }
 
@@ -118,5 +124,17 @@ SELECT doc_id, source, c / d AS target, (n // 16)::BIGINT AS block, (n % 16)::IN
   (n // 16 // c * d + release0)::BIGINT AS release, (n // 16 // c * d + deadline0)::BIGINT AS deadline,
   (n // 16 // c * d + slot0)::BIGINT AS slot
 FROM numbered JOIN turns ON turns.key = numbered.key AND n // 16 % c = turn
+""",
+    "op8_warc": """
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (
+  SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS top, array_to_string(list_transform(range(0, 8), lambda i:
+    array_to_string(list_transform([15, 10, 5, 0], lambda k:
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || substr(h, 5 * i + 1, 5))::BIGINT >> k) & 31) + 1]), '')), '') AS payload_digest
+  FROM hashed)
+SELECT page_id, strlen(html) AS payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM coded
 """,
 }
