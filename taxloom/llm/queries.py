@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taxloom.llm import exact, fingerprint, langid, minhash, mixing, sharding, warc
+from taxloom.llm import exact, fingerprint, langid, minhash, mixing, pieces, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text: the ids, their number, and the digests of the text and of what decoding gives."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(text, 256).alias("text_sha256"))
+    decoded = pieces.decode(pieces.encode(docs))
+    return decoded.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "text_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_pieces": op7_pieces,
     "op8_warc": op8_warc,
     "op9_fingerprint": op9_fingerprint,
 }
