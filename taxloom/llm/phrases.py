@@ -70,7 +70,7 @@ def _parsed(names: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not new.all():
         run = np.diff(np.flatnonzero(new), append=len(names))
         names, text_of = names[new], text_of[new]
-        names = np.where(run > 1, mixed(names + run.astype(np.uint64)), names)
+        names = np.where(run > 1, mixed(mixed(names) ^ run.astype(np.uint64)), names)
     first = np.ones(len(names), bool)
     first[1:] = text_of[1:] != text_of[:-1]
     starts = landmarks(names, first)
