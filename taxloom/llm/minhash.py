@@ -15,7 +15,7 @@ from taxloom.llm.shingles import Minima, shingle_set
 
 BANDS, ROWS = 40, 5
 SLACK = 0.15
-BLOCK = 1024
+BLOCK = 2048
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -99,36 +99,54 @@ def _labelled(rows: DataFrame, found: DataFrame, id_col: str, name: str) -> Data
     return rows.join(known, id_col, "left").withColumn(name, F.coalesce("found", id_col)).drop("found")
 
 
-def _rest(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Likely pairs (a, b) of different components in the same bucket, but for pairs with the bucket's smallest id.
+def _rest(labelled: DataFrame, found: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Confirmed links (u, v) between different components that meet in a bucket, other than with its smallest id.
 
-    Most buckets are one component by now and go. The members of the others meet in blocks: a group is two blocks of a
-    bucket, and hands on only pairs whose signatures agree, never all pairs.
+    Most buckets are one component by now and go. Documents that the others connect come together once, in blocks: a
+    group is two blocks, compares signatures of documents of different components, confirms likely pairs on the full
+    sets, and hands on a forest of links: fewer than it has documents, however many pairs are similar.
     """
-    kind = members.schema["id"].dataType.simpleString()
-    mixed = members.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 != c2 and n > 1")
+    kind = labelled.schema["id"].dataType.simpleString()
+    mixed = (
+        labelled.groupBy("key")
+        .agg(F.min(F.least("component", "low_component")).alias("c1"), F.max(F.greatest("component", "low_component")).alias("c2"), F.count(F.lit(1)).alias("n"))
+        .filter("c1 != c2 and n > 1")
+    )
+    near = cut(labelled.join(mixed.select("key"), "key", "left_semi").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct())
+    nodes = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
+    grouped = cut(_labelled(_labelled(nodes, found, "id", "component"), components(near), "id", "family"))
+    sizes = grouped.groupBy("family").agg(F.expr(f"int(ceil(count(1) / {BLOCK}))").alias("blocks"))
     blocked = (
-        members.join(mixed.select("key", "n"), "key")
-        .withColumn("blocks", F.expr(f"int(ceil(n / {BLOCK}))"))
+        grouped.join(sizes, "family")
         .withColumn("own", F.expr("int(pmod(xxhash64(id), blocks))"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "id", "component", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
         .join(sigs, "id")
+        .join(sets, "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("family", "id", "component", "own", "sig", "hashes", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     )
 
     def meet(group):
+        group = group.sort_values("id", kind="stable")
         sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
-        ids, part, own = group["id"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
+        ids, own, hashes = group["id"].to_numpy(), group["own"].to_numpy(), list(group["hashes"])
+        part = pd.factorize(group["component"])[0]
         same = group["p"].iat[0] == group["q"].iat[0]
         out = []
         for i in range(len(ids) - 1):
             there = np.flatnonzero((part[i + 1 :] != part[i]) & (same | (own[i + 1 :] != own[i]))) + i + 1
-            if len(there):
-                there = there[(sig[there] == sig[i]).mean(axis=1) >= least]
-                out += [(ids[i], ids[j]) for j in there]
-        return pd.DataFrame(out, columns=["a", "b"])
+            if not len(there):
+                continue
+            alike = (sig[there] == sig[i]).mean(axis=1)
+            likely = alike >= least
+            for j in there[likely][np.argsort(-alike[likely], kind="stable")]:
+                if part[j] != part[i]:
+                    common = len(np.intersect1d(hashes[i], hashes[j], assume_unique=True))
+                    if 100 * common >= percent * (len(hashes[i]) + len(hashes[j]) - common):
+                        out.append((ids[i], ids[j]))
+                        part[part == part[j]] = part[i]
+        return pd.DataFrame(out, columns=["u", "v"])
 
-    return blocked.groupBy("key", "p", "q").applyInPandas(meet, f"a {kind}, b {kind}").distinct()
+    return blocked.groupBy("family", "p", "q").applyInPandas(meet, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,7 +156,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     ``words`` words, or the whole sequence if it has fewer. Equal sets are one class, which one document stands for.
     200 universal hash minima are cut into 40 bands of 5; a pair with similarity 0.8 shares no bucket with a chance of
     1e-7. In each bucket every member meets the smallest one: first each document one candidate, then those candidates
-    that don't yet share its component, then, for buckets that still hold several components, the other members. A
+    that don't yet share its component, then, for buckets that still hold several components, all others. A
     candidate pair's signatures must agree nearly as often as the threshold (within 0.15, five standard deviations),
     and then the link is confirmed on the full sets. Pairs within a component are not listed, so a group of n near
     copies costs n links, not n squared. Components come from alternating large-star and small-star.
@@ -171,8 +189,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     edges = cut(edges.unionByName(_confirmed(sets, _likely(sigs, more, least), percent)))
     found = components(edges)
 
-    rest = _rest(_labelled(members, found, "id", "component"), sigs, least)
-    found = components(edges.unionByName(_confirmed(sets, rest, percent)))
+    labelled = _labelled(_labelled(members, found, "id", "component"), found, "low", "low_component")
+    found = components(edges.unionByName(_rest(labelled, found, sigs, sets, least, percent)))
 
     named = _labelled(classes, found, "rep", "component_id").select("class", "component_id")
     rows = signed.select("id", "n_shingles", "class")
