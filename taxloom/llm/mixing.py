@@ -67,7 +67,7 @@ def root_weights(counts: dict) -> dict:
     return {s: math.floor(math.sqrt(n) * 1000) for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Interleave the sources' blocks to target weights; every row gets its place.
 
     ``weights`` maps source names (None for null) to whole numbers; a source without one gets 0, which is one slot of
@@ -83,7 +83,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
 
     Returns id, source, ``target`` (share of slots), ``block``, ``block_row``, ``release``, ``deadline``, ``slot``;
     (slot, block_row) is the mixed order. Null sources are a source of their own. Repeated rows each have a place; a
-    null id orders as an empty text. Other columns are ignored; an empty table gives an empty result.
+    null id orders as an empty text. ``keep`` names further columns to hand on; others are ignored. An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     keyed = docs.select(
@@ -91,6 +92,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         F.col(source_col).alias("source"),
         source_key(source_col).alias("key"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("mark"),
+        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
     )
     found = keyed.groupBy("key").count().limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -128,4 +130,5 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         (F.col("start") + F.col("release0")).alias("release"),
         (F.col("start") + F.col("deadline0")).alias("deadline"),
         (F.col("start") + F.col("slot0")).alias("slot"),
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
     )
