@@ -1 +1,6 @@
+"""Registered queries over the given tables, with their SQL."""
 
+from taxloom.plans import queries
+
+ALL_QUERIES = {**queries.QUERIES}
+ALL_SQL = {**queries.SQL}
