@@ -321,10 +321,10 @@ def rollup(spark: SparkSession, d: str) -> DataFrame:
     return combine.rollup_runs(bridge.history(spark, d).withColumn("dia_num", F.dayofmonth("timestamp")), ["anio", "mes", "dia_num"], ["n_xml", "n_pdf"])
 
 
-@query("a15_error_digest", sql("header", "SELECT origin, count(*) AS n, array_to_string(list_sort(list(clave))[1:5], ', ') AS primeros FROM header WHERE estado = 'NO AUTORIZADO' AND fecha < DATE '1996-01-01' AND orderkey % 11 = 0 GROUP BY origin"))
+@query("a15_error_digest", sql("header", "SELECT origin, count(*) AS n, array_to_string(list_sort(list(clave))[1:5], ', ') AS primeros FROM header WHERE estado = 'NO AUTORIZADO' GROUP BY origin"))
 def error_digest(spark: SparkSession, d: str) -> DataFrame:
     """How many documents have an error, and the first five keys; five rows a group leave the window."""
-    bad = bridge.header(spark, d).filter("estado = 'NO AUTORIZADO' and fecha < '1996-01-01' and orderkey % 11 = 0")
+    bad = bridge.header(spark, d).filter("estado = 'NO AUTORIZADO'")
     first = bad.withColumn("r", F.row_number().over(Window.partitionBy("origin").orderBy("clave"))).filter("r <= 5").groupBy("origin").agg(F.array_join(F.array_sort(F.collect_list("clave")), ", ").alias("primeros"))
     return bad.groupBy("origin").agg(F.count(F.lit(1)).alias("n")).join(first, "origin")
 
@@ -368,16 +368,16 @@ def extra_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j5_fallback_union", sql("header", """, pdf AS (SELECT CASE WHEN orderkey % 30 = 0 THEN '' WHEN orderkey % 2 = 0 THEN clave ELSE 'P' || (orderkey // 4) END AS clave, orderkey AS ruta, 'PDF' AS fuente
-    FROM header WHERE orderkey % 3 = 0),
-  xml AS (SELECT clave, orderkey AS ruta, 'XML' AS fuente FROM header WHERE orderkey % 4 != 1)
+    FROM header WHERE cod_doc != '07'),
+  xml AS (SELECT clave, orderkey AS ruta, 'XML' AS fuente FROM header WHERE estado IS NOT NULL)
 SELECT * FROM xml UNION ALL SELECT * FROM pdf WHERE clave = ''
 UNION ALL SELECT clave, min(ruta), 'PDF' FROM pdf WHERE clave != '' AND clave NOT IN (SELECT clave FROM xml) GROUP BY clave""").replace("\n, pdf", ",\npdf"))
 def fallback_union(spark: SparkSession, d: str) -> DataFrame:
     """All XML rows, and printed forms whose key no XML row and no earlier form has."""
     h = bridge.header(spark, d)
     key = F.when(F.col("orderkey") % 30 == 0, "").when(F.col("orderkey") % 2 == 0, F.col("clave")).otherwise(F.concat(F.lit("P"), F.floor(F.col("orderkey") / 4).cast("string")))
-    pdf = h.filter("orderkey % 3 = 0").select(key.alias("clave"), F.col("orderkey").alias("ruta"), F.lit("PDF").alias("fuente"))
-    xml = h.filter("orderkey % 4 != 1").select("clave", F.col("orderkey").alias("ruta"), F.lit("XML").alias("fuente"))
+    pdf = h.filter("cod_doc != '07'").select(key.alias("clave"), F.col("orderkey").alias("ruta"), F.lit("PDF").alias("fuente"))
+    xml = h.filter("estado is not null").select("clave", F.col("orderkey").alias("ruta"), F.lit("XML").alias("fuente"))
     return combine.with_fallback(xml, pdf, "clave", "ruta")
 
 
@@ -396,12 +396,12 @@ def missing(spark: SparkSession, d: str) -> DataFrame:
     return bridge.header(spark, d).select("orderkey").join(bridge.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey")), "orderkey", "left_anti")
 
 
-@query("j9_first_present", sql("header", """SELECT orderkey, coalesce(nullif(CASE WHEN orderkey % 3 = 0 THEN estado ELSE '' END, ''), nullif(CASE WHEN orderkey % 2 = 0 THEN origin END, ''), prioridad) AS valor FROM header"""))
+@query("j9_first_present", sql("header", """SELECT orderkey, coalesce(nullif(CASE WHEN orderkey % 3 = 0 THEN estado ELSE '' END, ''), nullif(CASE WHEN estado IS NOT NULL THEN origin END, ''), prioridad) AS valor FROM header"""))
 def first_present(spark: SparkSession, d: str) -> DataFrame:
     """The first of three sources that says something."""
     h = bridge.header(spark, d)
     a = h.select("orderkey", F.when(F.col("orderkey") % 3 == 0, F.col("estado")).otherwise("").alias("valor"))
-    b = h.filter("orderkey % 2 = 0").select("orderkey", F.col("origin").alias("valor"))
+    b = h.filter("estado is not null").select("orderkey", F.col("origin").alias("valor"))
     c = h.select("orderkey", F.col("prioridad").alias("valor"))
     return combine.merged([a, b, c], "orderkey", ["valor"])
 
@@ -469,11 +469,11 @@ def between_markers(spark: SparkSession, d: str) -> DataFrame:
     return m.filter("line_num > inicio and line_num < fin and line_num - inicio <= 3").select("orderkey", "line_num")
 
 
-@query("u1_union_reports", sql("header", """SELECT clave, estado, '' AS origin FROM (SELECT clave, coalesce(estado, '') AS estado FROM header WHERE orderkey % 2 = 0) UNION ALL SELECT clave, '', origin FROM header WHERE orderkey % 2 = 1"""))
+@query("u1_union_reports", sql("header", """SELECT clave, estado, '' AS origin FROM (SELECT clave, coalesce(estado, '') AS estado FROM header WHERE origin = 'Emitidos') UNION ALL SELECT clave, '', origin FROM header WHERE origin = 'Recibidos'"""))
 def union_reports(spark: SparkSession, d: str) -> DataFrame:
     """Reports of different columns, one below the other."""
     h = bridge.header(spark, d)
-    return combine.union_all([h.filter("orderkey % 2 = 0").select("clave", "estado"), h.filter("orderkey % 2 = 1").select("clave", "origin")])
+    return combine.union_all([h.filter("origin = 'Emitidos'").select("clave", "estado"), h.filter("origin = 'Recibidos'").select("clave", "origin")])
 
 
 @query("u3_distinct_union", sql("header", "SELECT ruc, fecha FROM header WHERE cod_doc = '01' UNION SELECT ruc, fecha FROM header WHERE cod_doc = '04'"))
