@@ -1,6 +1,6 @@
 """Registered queries over the given tables, with their SQL."""
 
-from taxloom.plans import queries, scalars  # noqa: F401
+from taxloom.plans import documents, queries, scalars  # noqa: F401
 
 ALL_QUERIES = queries.QUERIES
 ALL_SQL = queries.SQL

@@ -26,7 +26,7 @@ WITHHELD = _struct("codigo codigoRetencion baseImponible porcentajeRetener valor
 SUPPORT = _struct("codDocSustento numDocSustento fechaEmisionDocSustento", retenciones=f"struct<retencion: array<{WITHHELD}>>")
 INFO_NODES = ["infoFactura", "infoLiquidacionCompra", "infoNotaCredito", "infoNotaDebito", "infoCompRetencion"]
 DOCUMENT = _struct(
-    "_version _corrupt_record",
+    "_version",
     infoTributaria=_struct("ambiente tipoEmision razonSocial nombreComercial ruc claveAcceso codDoc estab ptoEmi secuencial dirMatriz contribuyenteRimpe"),
     **dict.fromkeys(INFO_NODES, INFO),
     detalles=f"struct<detalle: array<{LINE}>>",
@@ -34,6 +34,7 @@ DOCUMENT = _struct(
     impuestos=f"struct<impuesto: array<{TAX}>>",
     docsSustento=f"struct<docSustento: array<{SUPPORT}>>",
     infoAdicional="struct<campoAdicional: array<struct<_nombre: string, _VALUE: string>>>",
+    _corrupt_record="string",  # the parser wants it last
 )
 ENVELOPE = _struct("estado numeroAutorizacion fechaAutorizacion ambiente comprobante _corrupt_record")
 HISTORY = (

@@ -49,6 +49,11 @@ def _inner(value: Column) -> Column:
     return F.coalesce(present(cdata), present(escaped), present(F.get_json_object(value, "$.comprobante")))
 
 
+def _once(c: Column) -> Column:
+    """The same value, of which later steps don't evaluate the expression again: they can't move below a generator."""
+    return F.explode(F.array(c))
+
+
 def parse(documents: DataFrame) -> DataFrame:
     """(path, estado, numero_autorizacion, fecha_autorizacion, doc, reason): each document parsed, or why it isn't.
 
@@ -58,10 +63,11 @@ def parse(documents: DataFrame) -> DataFrame:
     value = F.regexp_replace("value", "^﻿", "")
     wrapped = value.rlike(r"<(\w+:)?autorizacion[\s>]") | F.get_json_object(value, "$.comprobante").isNotNull()
     one = F.regexp_replace(F.regexp_extract(value, r"(?s)<(?:\w+:)?autorizacion[\s>].*?</(?:\w+:)?autorizacion>", 0), "^$", "")
-    outer = documents.select("path", value.alias("value"), wrapped.alias("wrapped"), F.from_xml(F.when(wrapped, F.coalesce(F.nullif(one, F.lit("")), value)), schemas.ENVELOPE, OPTIONS).alias("e"))
+    envelope = F.from_xml(F.when(wrapped, F.coalesce(F.nullif(one, F.lit("")), value)), schemas.ENVELOPE, OPTIONS)
+    outer = documents.select("path", value.alias("value"), wrapped.alias("wrapped"), _once(envelope).alias("e"))
     text = F.when(F.col("wrapped"), F.coalesce(present(F.col("e.comprobante")), _inner(F.col("value")))).otherwise(F.col("value"))
     clean = F.regexp_replace(text, r"(?s)^\s*<\?xml.*?\?>", "")
-    out = outer.withColumn("text", clean).withColumn("doc", F.from_xml("text", schemas.DOCUMENT, OPTIONS))
+    out = outer.withColumn("text", clean).withColumn("doc", _once(F.from_xml("text", schemas.DOCUMENT, OPTIONS)))
     bad_outer = F.col("wrapped") & F.col("e._corrupt_record").isNotNull() & F.col("text").isNull()
     reason = (
         F.when(bad_outer, "XML invalido")
