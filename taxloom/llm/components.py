@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or to itself if it is smaller)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,22 +22,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no node has two larger-to-smaller edges, none both has one and receives one."""
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    return roles.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """For edges (u, v) of comparable ids: (id, component) for every id but the smallest of its component.
 
-    Rounds go on until a round changes nothing; the number is logarithmic in the number of nodes in practice. Each
-    round is checkpointed, and only a count and a checksum reach the driver. A hub's edges are pre-aggregated to its
-    smallest neighbour, and the join with that one row can be split.
+    Rounds go on until all edges are stars around smallest ids; the number is logarithmic in the number of nodes in
+    practice. Each round is checkpointed, and only whether it was the last reaches the driver. A hub's edges are
+    pre-aggregated to its smallest neighbour, and the join with that one row can be split.
     """
     now = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(now)
-    while mark[0]:
+    while not _settled(now):
         now = cut(_small_star(_large_star(now)))
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

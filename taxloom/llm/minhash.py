@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     ``words`` words, or the whole sequence if it has fewer. Equal sets are one class, which one document stands for.
     200 universal hash minima are cut into 40 bands of 5; a pair with similarity 0.8 shares no bucket with a chance of
     1e-7. In each bucket every member meets the smallest one: first each document one candidate, then those candidates
-    that don't yet share its component, then, for buckets that still hold several components, all others. A
+    that it isn't yet linked with through the first, then, for buckets that still hold several components, all others. A
     candidate pair's signatures must agree nearly as often as the threshold (within 0.15, five standard deviations),
     and then the link is confirmed on the full sets. Pairs within a component are not listed, so a group of n near
     copies costs n links, not n squared. Components come from alternating large-star and small-star.
@@ -182,15 +182,15 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
 
     first = members.groupBy(F.col("id").alias("a")).agg(F.min("low").alias("b"))
     edges = cut(_confirmed(sets, _likely(sigs, first, least), percent))
-    found = components(edges)
+    linked = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))  # one for each id
 
-    labelled = _labelled(_labelled(members, found, "id", "component"), found, "low", "low_component")
+    labelled = _labelled(_labelled(members, linked, "id", "component"), linked, "low", "low_component")
     more = labelled.filter("component != low_component").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    edges = cut(edges.unionByName(_confirmed(sets, _likely(sigs, more, least), percent)))
-    found = components(edges)
+    found = components(edges.unionByName(_confirmed(sets, _likely(sigs, more, least), percent)))
 
     labelled = _labelled(_labelled(members, found, "id", "component"), found, "low", "low_component")
-    found = components(edges.unionByName(_rest(labelled, found, sigs, sets, least, percent)))
+    stars = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    found = components(stars.unionByName(_rest(labelled, found, sigs, sets, least, percent)))
 
     named = _labelled(classes, found, "rep", "component_id").select("class", "component_id")
     rows = signed.select("id", "n_shingles", "class")
