@@ -157,8 +157,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, window: int = 64
     code = {s: i for i, s in enumerate(names)}
     n_labels = len(names)
     words = words_of("\0".join(texts))
-    per_text = np.array([len(words_of(t).first) for t in texts])
-    gold = np.repeat([code[s] for s in labels], per_text)
+    per_text = np.array([len(words_of(t).first) for t in texts], np.int64)
+    gold = np.repeat(np.array([code[s] for s in labels], np.int64), per_text)
     seen, counts = np.unique(words.whole, return_counts=True)
     model = Model(names, np.zeros((TABLE, n_labels), np.float32), seen[counts >= 20], np.zeros((int((counts >= 20).sum()) + 1, n_labels), np.float32), np.zeros((n_labels, n_labels)))
     if not len(gold) or n_labels < 2:
