@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from taxloom.operators import layout, textrules
 from taxloom.plans import bridge
 from taxloom.plans.bridge import sql
 from taxloom.plans.queries import query
-from taxloom.sources import listings, xml
+from taxloom.sources import listings, reports, xml
 from taxloom.streaming import ingest
 
 
@@ -213,6 +214,45 @@ def layout_fields(spark: SparkSession, d: str) -> DataFrame:
     return layout.best_values(layout.nearby_values(form_boxes(spark, d), labels, page), page).drop("page_index")
 
 
+@query("x9_left_column", sql("header", """SELECT orderkey AS doc_id, unnest(['FECHA EMISION ' || strftime(fecha, '%d/%m/%Y'), 'CLAVE DE ACCESO', clave, 'RUC: ' || ruc]) AS text FROM header"""))
+def left_column(spark: SparkSession, d: str) -> DataFrame:
+    """The words of a page's upper left part as lines."""
+    words = form_boxes(spark, d).withColumns({"page_width": F.lit(600.0), "page_height": F.lit(800.0)})
+    return layout.column_text(words, ["doc_id"], left=True).select("doc_id", "text")
+
+
+@query("s8_run_history", sql("history", "SELECT ruc, origen, anio, mes, dia, tipo, n_xml, n_pdf FROM history"))
+def run_history(spark: SparkSession, d: str) -> DataFrame:
+    """Run records appended as JSON and read again."""
+    path = f"{_scratch(spark)}/historial"
+    runs = bridge.history(spark, d).withColumn("timestamp", F.col("timestamp").cast("string"))
+    listings.append_run(runs.filter("origen = 'Emitidos'"), path)
+    listings.append_run(runs.filter("origen = 'Recibidos'"), path)
+    return listings.history(spark, path).select("ruc", "origen", "anio", "mes", "dia", "tipo", "n_xml", "n_pdf")
+
+
+@query("k1_bundle", sql("header lines", """SELECT 'cabecera' AS tabla, (SELECT count(*) FROM header WHERE orderkey % 50 != 7) AS n UNION ALL SELECT 'detalle', (SELECT count(*) FROM lines WHERE orderkey % 50 != 7)
+UNION ALL SELECT 'pagos', (SELECT count(*) FROM lines WHERE orderkey % 50 != 7) UNION ALL SELECT 'impuestos', (SELECT count(*) FROM lines WHERE orderkey % 50 != 7)
+UNION ALL SELECT 'errores', (SELECT count(*) FROM header WHERE orderkey % 50 = 7) UNION ALL SELECT 'adicionales', (SELECT count(*) FROM header WHERE orderkey % 50 != 7)"""))
+def bundle(spark: SparkSession, d: str) -> DataFrame:
+    """K1: the report's tables written from documents parsed once, and their rows; empty optional tables aren't written."""
+    path = _scratch(spark)
+    xml.parse(xml_documents(spark, d)).write.parquet(f"{path}/leidos")
+    names = reports.write_bundle(xml.report_bundle(spark.read.parquet(f"{path}/leidos")), path)
+    counts = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("tabla"), F.count(F.lit(1)).alias("n")) for n in names]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("t1_ingest", sql("header", "SELECT clave, cod_doc, importe::DOUBLE AS importe_total FROM header WHERE orderkey % 50 != 7"))
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that arrive as a stream, parsed and stored batch by batch."""
+    path = _scratch(spark)
+    xml_documents(spark, d).write.parquet(f"{path}/llegados")
+    stream = spark.readStream.schema("path string, value string").parquet(f"{path}/llegados")
+    ingest.ingest_stream(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out/cabecera").select("clave", "cod_doc", F.col("importe_total").cast("double").alias("importe_total"))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     still = bridge.table(spark, d, "events")
     events = spark.readStream.schema(still.schema).option("pathGlobFilter", "events.parquet").parquet(f"{d}/")

@@ -49,9 +49,9 @@ def label_values(pages: DataFrame, html: str = "page", of: str = "page_id") -> D
     return rows.filter("value != ''").groupBy(of, "label").agg(F.min_by("value", "pos").alias("value"))
 
 
-def history(spark: SparkSession, path: str) -> DataFrame:
-    """Run records from JSON; broken ones are dropped."""
-    rows = spark.read.schema(schemas.HISTORY + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+def history(spark: SparkSession, path: str, as_array: bool = False) -> DataFrame:
+    """Run records from JSON, one on a line or (``as_array``) files that are one array; broken ones are dropped."""
+    rows = spark.read.schema(schemas.HISTORY + ", _corrupt_record string").option("multiLine", as_array).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return rows.filter(F.col("timestamp").isNotNull()).drop("_corrupt_record")
 
 

@@ -9,23 +9,25 @@ from taxloom.sources import xml
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, now: bool = True):
-    """Parse documents as they arrive and append every report table under out, partitioned by type and month.
+    """Parse the XML files of a folder as they arrive; see :func:`ingest_stream`."""
+    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").format("text").option("wholetext", True).load(folder)
+    return ingest_stream(files.select(F.col("_metadata.file_path").alias("path"), "value"), out, checkpoint, now)
+
+
+def ingest_stream(source: DataFrame, out: str, checkpoint: str, now: bool = True):
+    """Parse documents (path, value) as they arrive and add every report table under out.
 
     The checkpoint makes a restarted run go on where it stopped; each batch is written under its own number, so a
     batch that is tried again replaces itself. ``progreso`` has a row for each batch.
     """
-    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").format("text").option("wholetext", True).load(folder)
-    source = files.select(F.col("_metadata.file_path").alias("path"), "value")
 
     def store(batch: DataFrame, number: int) -> None:
-        parsed = xml.parse(batch).persist()
-        try:
-            for name, table in xml.report_bundle(parsed).items():
-                table.write.mode("overwrite").parquet(f"{out}/{name}/lote={number}")
-            done = parsed.agg(F.count(F.lit(1)).alias("documentos"), F.count("reason").alias("errores"), F.current_timestamp().alias("momento"))
-            done.write.mode("overwrite").parquet(f"{out}/progreso/lote={number}")
-        finally:
-            parsed.unpersist()
+        xml.parse(batch).write.mode("overwrite").parquet(f"{out}/leidos/lote={number}")
+        parsed = batch.sparkSession.read.parquet(f"{out}/leidos/lote={number}")
+        for name, table in xml.report_bundle(parsed).items():
+            table.write.mode("overwrite").parquet(f"{out}/{name}/lote={number}")
+        done = parsed.agg(F.count(F.lit(1)).alias("documentos"), F.count("reason").alias("errores"), F.current_timestamp().alias("momento"))
+        done.write.mode("overwrite").parquet(f"{out}/progreso/lote={number}")
 
     writer = source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if now else writer).start()

@@ -92,6 +92,9 @@ def test_history(spark, tmp_path):
     listings.append_run(rows, path)
     listings.append_run(rows, path)
     assert listings.history(spark, path).count() == 2
+    (tmp_path / "old.json").write_text('[{"timestamp": "t", "ruc": "1", "n_xml": 3}, {"timestamp": "u", "otro": 1}]')
+    (tmp_path / "bad.json").write_text("no")
+    assert sorted(r.n_xml or 0 for r in listings.history(spark, str(tmp_path / "*.json"), as_array=True).collect()) == [0, 3]
 
 
 def fold(words, tolerance=None):
