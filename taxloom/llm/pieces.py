@@ -16,8 +16,9 @@ from taxloom.llm.suffix import Patterns, occurrences
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SEPARATOR = 0x110000
-CACHE = 400_000
-BATCH = 1 << 19
+CACHE = 300_000
+BATCH = 1 << 18
+GROUP = 1 << 21
 UNKNOWN, START, NONE = -1, -2, -3
 
 
@@ -56,7 +57,7 @@ class Codec:
         apart = all(SPACE not in s.lstrip(SPACE) and "\n" not in s for s in strings)  # no piece crosses a word's start
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if apart else "(?s).+")
         self.histories: dict[int, list[tuple] | None] = {}
-        self.table = np.zeros(1 << 22, np.int64)
+        self.table = np.zeros(1 << 21, np.int64)
         self.known: dict[str, bytes] = {}
 
     def history(self, piece: int) -> list[tuple] | None:
@@ -103,7 +104,7 @@ class Codec:
     def _fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """:meth:`fit` for arrays, through a table of known pairs."""
         key = (before + 3) * (1 << 32) + piece + 1
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
         held = self.table[slot]
         good = (held & 1).astype(bool)
         miss = np.flatnonzero(held >> 1 != key)
@@ -195,7 +196,7 @@ _codecs: dict[int, Codec] = {}
 
 
 def codec(model: bytes) -> Codec:
-    """The codec of a model, kept by the Python worker from task to task."""
+    """The codec of a model, kept by the Python worker from task to task; the words it has learned are not."""
     key = hash(model)
     if key not in _codecs:
         _codecs.clear()
@@ -235,11 +236,12 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", out_col:
             if not batch.num_rows:
                 continue
             sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
-            for part in _groups(batch, sizes, 1 << 22):
+            for part in _groups(batch, sizes, GROUP):
                 ids = tool.encode(part.column(0).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), flat), *part.columns[1:]], names=["pieces", *part.schema.names[1:]])
+        tool.known.clear()
 
     schema = ", ".join(["pieces array<int>", *(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])])
     out = narrow.mapInArrow(run, schema)
