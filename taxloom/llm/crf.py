@@ -65,6 +65,23 @@ def words_of(text: str) -> Words:
     return Words(grams, first, affixes, whole, length, start - 2)
 
 
+def _words_of_all(texts: list[str]) -> tuple[Words, np.ndarray]:
+    """The words of all texts, and the number in each. Texts are taken one by one, so only the result is held whole."""
+    parts = [words_of(t) for t in texts]
+    for w in parts:
+        w.grams, w.affixes = w.grams.astype(np.uint16), w.affixes.astype(np.uint16)
+    letters = np.array([w.grams.shape[1] for w in parts], np.int64)
+    before = np.cumsum(letters) - letters
+
+    def joined(name: str, empty: np.ndarray) -> np.ndarray:
+        return np.concatenate([empty, *[getattr(w, name) for w in parts]], axis=-1)
+
+    none = np.empty(0, np.int64)
+    first = np.concatenate([none, *[w.first + b for w, b in zip(parts, before, strict=True)]])
+    words = Words(joined("grams", np.empty((2, 0), np.uint16)), first, joined("affixes", np.empty((2, 0), np.uint16)), joined("whole", np.empty(0, np.uint64)), joined("length", none), joined("place", none))
+    return words, np.array([len(w.first) for w in parts], np.int64)
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -156,8 +173,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, window: int = 64
     names = sorted(set(labels))
     code = {s: i for i, s in enumerate(names)}
     n_labels = len(names)
-    words = words_of("\0".join(texts))
-    per_text = np.array([len(words_of(t).first) for t in texts], np.int64)
+    words, per_text = _words_of_all(texts)
     gold = np.repeat(np.array([code[s] for s in labels], np.int64), per_text)
     seen, counts = np.unique(words.whole, return_counts=True)
     model = Model(names, np.zeros((TABLE, n_labels), np.float32), seen[counts >= 20], np.zeros((int((counts >= 20).sum()) + 1, n_labels), np.float32), np.zeros((n_labels, n_labels)))
