@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -49,29 +50,80 @@ def templates(lines: list[str], similarity: float = SIMILARITY) -> list[int]:
     return out
 
 
+class Parser:
+    """:func:`templates` for the lines of a leaf of any size, one by one; only the templates are held.
+
+    Of a line that a template takes, at most ``miss`` tokens differ. With positions dealt to ``miss + 1`` groups, one
+    group at least agrees in full, so only templates with an equal group are compared; the result is the same.
+    """
+
+    def __init__(self, width: int, similarity: float):
+        self.need = similarity * width
+        self.groups = width - max(0, math.ceil(self.need)) + 1
+        self.codes: dict[str, int] = {WILD: 0}
+        self.known = np.empty((64, width), np.int32)
+        self.n = 0
+        self.at: dict[tuple[int, bytes], list[int]] = {}
+
+    def add(self, line: str) -> int:
+        """The number of the line's template."""
+        row = np.array([self.codes.setdefault(t, len(self.codes)) for t in line.split(" ")], np.int32)
+        keys = [(g, part.tobytes()) for g in range(self.groups) if (part := row[g :: self.groups]).all()]
+        near = sorted(set().union(*(self.at.get(k, ()) for k in keys)))
+        if near:
+            same = ((self.known[near] == row) & (row != 0)).sum(axis=1)
+            at = int(same.argmax())
+            if same[at] >= self.need:
+                best = near[at]
+                self.known[best][self.known[best] != row] = 0
+                return best
+        if self.n == len(self.known):
+            self.known = np.concatenate([self.known, np.empty_like(self.known)])
+        self.known[self.n] = row
+        for k in keys:
+            self.at.setdefault(k, []).append(self.n)
+        self.n += 1
+        return self.n - 1
+
+
 def _assigned(masked: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, masked hash, template) for distinct masked lines (leaf, m, line), streaming through each leaf in order."""
+    """(leaf, masked hash, template) for distinct masked lines (leaf, m, line), streaming through each leaf in order.
+
+    A leaf of more than ``MAX_LEAF`` lines goes through a :class:`Parser`, with the same result.
+    """
 
     def parse(batches):
-        leaf, held = None, []
+        leaf, held, parser, heads = None, [], None, []
 
         def flush():
-            found = templates([x for _, x in held], similarity) if len(held) > 1 else [0]
+            if parser:
+                found = []
+                for m, line in held:
+                    t = parser.add(line)
+                    if t == len(heads):
+                        heads.append(m)
+                    found.append(heads[t])
+            else:
+                found = [held[i][0] for i in (templates([x for _, x in held], similarity) if len(held) > 1 else [0])]
             return pa.RecordBatch.from_arrays(
-                [pa.array([leaf] * len(held), pa.int64()), pa.array([m for m, _ in held], pa.int64()), pa.array([held[i][0] for i in found], pa.int64())], names=["leaf", "m", "template"]
+                [pa.array([leaf] * len(held), pa.int64()), pa.array([m for m, _ in held], pa.int64()), pa.array(found, pa.int64())], names=["leaf", "m", "template"]
             )
 
         done, size = [], 0
         for batch in batches:
             for key, m, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if key != leaf:
+                if key != leaf or len(held) > MAX_LEAF:
+                    if key == leaf and not parser:
+                        parser = Parser(line.count(" ") + 1, similarity)
                     if held:
                         done.append(flush())
                         size += len(held)
                         if size >= 4096:
                             yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
                             done, size = [], 0
-                    leaf, held = key, []
+                    if key != leaf:
+                        leaf, parser, heads = key, None, []
+                    held = []
                 held.append((m, line))
         if held:
             done.append(flush())
@@ -113,15 +165,17 @@ def _in_bitmap(lines: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def drop_recurring_lines(
-    docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text",
+    whole_leaves: bool = False,
 ) -> DataFrame:
     """Drop lines whose template recurs in ``min_docs`` documents or more; the document with the smallest id keeps them.
 
     A line's tokens are its runs of other than white space; tokens with a digit are variable and masked. The tree has
     a level for the number of tokens and one for each of the first ``depth`` tokens. Within a leaf, lines that share
-    ``similarity`` of their tokens have one template. A leaf with more than ``MAX_LEAF`` different masked lines is split by
-    as many tokens again, and one that is crowded still has a template for each masked line, so no group is unbounded
-    and no line is left out. Leaves that occur in one document only can't recur; their lines go no further.
+    ``similarity`` of their tokens have one template. With ``whole_leaves`` that holds for leaves of every size. Without,
+    a leaf with more than ``MAX_LEAF`` different masked lines is split by as many tokens again, and one that is crowded
+    still has a template for each masked line. Leaves that occur in one document only can't recur; their lines go no
+    further.
 
     Returns id, ``n_lines``, ``n_dropped``, ``text`` (the lines that stay, joined by newlines) and, unchanged, all
     other columns but ones with those names.
@@ -140,7 +194,7 @@ def drop_recurring_lines(
     again = stored(_in_bitmap(lines, shared).join(shared, "leaf").withColumn("m", F.xxhash64("line")), "lines")
 
     masked = again.groupBy("leaf", "m").agg(F.first("line").alias("line"))
-    for level in (2 * depth, 0):  # 0: the line alone
+    for level in () if whole_leaves else (2 * depth, 0):  # 0: the line alone
         crowded = masked.groupBy("leaf").count().filter(f"count > {MAX_LEAF}").select("leaf", F.lit(True).alias("crowded"))
         deeper = _leaf(F.col("line"), level) if level else F.col("m")
         masked = masked.join(crowded, "leaf", "left").select(F.when(F.col("crowded"), deeper).otherwise(F.col("leaf")).alias("leaf"), "m", "line")

@@ -23,7 +23,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return lines.drop_recurring_lines(table(spark, sf_dir, "documents"), whole_leaves=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

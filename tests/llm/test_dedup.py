@@ -56,6 +56,26 @@ def test_crowded_leaf(spark, monkeypatch):
     assert got.agg(F.sum("n_dropped")).first()[0] == 60
 
 
+def test_whole_leaves(spark, monkeypatch):
+    """The similarity rule holds in a leaf of any size."""
+    monkeypatch.setattr(lines, "MAX_LEAF", 5)
+    rows = [(i, f"same three words {chr(97 + i % 20)}{chr(97 + i // 20)} rest of it all") for i in range(60)]
+    docs = table(spark, [(i, t, "en", "a") for i, t in [*rows, *[(100 + i, t) for i, t in rows]]])
+    got = lines.drop_recurring_lines(docs, min_docs=2, whole_leaves=True)
+    assert got.agg(F.sum("n_dropped")).first()[0] == 119
+
+
+def test_parser_gives_templates():
+    r = random.Random(8)
+    for width in (1, 2, 3, 4, 5, 8, 10, 23):
+        for n in (2, 5, 60):
+            found = sorted({" ".join(r.choice([lines.WILD, *map(chr, range(97, 97 + n))]) if r.random() < 0.4 else "abc"[i % 3] for i in range(width)) for _ in range(400)})
+            parser, heads, got = lines.Parser(width, 0.7), {}, []
+            for i, x in enumerate(found):
+                got.append(heads.setdefault(parser.add(x), i))
+            assert got == lines.templates(found)
+
+
 def brute_groups(rows, k):
     sets = {}
     for n, (i, t) in enumerate(rows):
