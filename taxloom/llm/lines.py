@@ -16,6 +16,7 @@ DEPTH = 3
 MAX_LEAF = 2000
 SIMILARITY = 0.7
 MIN_DOCS = 10
+LONG_WORDS = 50
 WILD = "<*>"
 BITS = 24
 
@@ -141,8 +142,10 @@ def _leaf(line: Column, depth: int) -> Column:
     return F.xxhash64(tokens, F.substring_index(line, " ", depth))
 
 
-def _prepared(text: Column, depth: int) -> Column:
-    """The text's lines as structs (line, leaf): single spaces, tokens that hold a digit masked, and the tree's leaf.
+def _prepared(text: Column, depth: int, long_words: int) -> Column:
+    """The text's lines as structs (line, leaf, full): single spaces, tokens that hold a digit masked, and the tree's leaf.
+
+    ``full`` is the hash of a line of ``long_words`` tokens or more as it is without the mask, else null.
 
     Spaces and digits are looked for in the whole text first, as most texts need neither step. A token is only tried
     from its start and nothing is given back, so long ones take linear time.
@@ -150,8 +153,12 @@ def _prepared(text: Column, depth: int) -> Column:
     odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\v")])
     spaced = F.when(odd, F.regexp_replace(text, r"[^\S\n]+", " ")).otherwise(text)
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", WILD)).otherwise(spaced)
-    lines = F.transform(F.split(masked, "\n"), lambda x: F.trim(x))
-    return F.transform(lines, lambda x: F.struct(x.alias("line"), _leaf(x, depth).alias("leaf")))
+    both = F.zip_with(F.split(masked, "\n"), F.split(spaced, "\n"), lambda x, y: F.struct(F.trim(x).alias("line"), F.trim(y).alias("own")))
+
+    def full(x: Column) -> Column:
+        return F.when(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= long_words - 1, F.xxhash64(x))
+
+    return F.transform(both, lambda x: F.struct(x["line"].alias("line"), _leaf(x["line"], depth).alias("leaf"), full(x["own"]).alias("full")))
 
 
 def _in_bitmap(lines: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -166,10 +173,13 @@ def _in_bitmap(lines: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def drop_recurring_lines(
     docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text",
-    whole_leaves: bool = False,
+    whole_leaves: bool = False, long_words: int = LONG_WORDS,
 ) -> DataFrame:
     """Drop lines whose template recurs in ``min_docs`` documents or more; the document with the smallest id keeps them.
 
+    A line of ``long_words`` tokens or more says enough by itself: if it stands in two documents or more, word for word
+    and digit for digit, it goes in all but the one with the smallest id.
+
     A line's tokens are its runs of other than white space; tokens with a digit are variable and masked. The tree has
     a level for the number of tokens and one for each of the first ``depth`` tokens. Within a leaf, lines that share
     ``similarity`` of their tokens have one template. With ``whole_leaves`` that holds for leaves of every size. Without,
@@ -188,8 +198,8 @@ def drop_recurring_lines(
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("rest")
     ).withColumn("mark", F.xxhash64("text"))
-    exploded = rows.filter("id is not null and text is not null").select("id", "mark", F.posexplode(_prepared(F.col("text"), depth)).alias("pos", "x"))
-    lines = exploded.select("id", "mark", "pos", "x.line", "x.leaf").filter("line != ''")
+    exploded = rows.filter("id is not null and text is not null").select("id", "mark", F.posexplode(_prepared(F.col("text"), depth, long_words)).alias("pos", "x"))
+    lines = exploded.select("id", "mark", "pos", "x.line", "x.leaf", "x.full").filter("line != ''")
     shared = cut(lines.groupBy("leaf").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a != b").select("leaf"))
     again = stored(_in_bitmap(lines, shared).join(shared, "leaf").withColumn("m", F.xxhash64("line")), "lines")
 
@@ -200,9 +210,11 @@ def drop_recurring_lines(
         masked = masked.join(crowded, "leaf", "left").select(F.when(F.col("crowded"), deeper).otherwise(F.col("leaf")).alias("leaf"), "m", "line")
     found = cut(_assigned(masked, similarity).select("m", F.xxhash64("leaf", "template").alias("template")))
 
-    used = cut(again.select("id", "mark", "pos", "m").join(found, "m").select("id", "mark", "pos", "template"))
-    recurring = used.select("template", "id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter(f"n >= {int(min_docs)}")
-    dropped = used.join(recurring.select("template", "first"), "template").filter("id > first").groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
+    by_template = again.select("id", "mark", "pos", "m").join(found, "m").select("id", "mark", "pos", "template", F.lit(int(min_docs)).alias("least"))
+    in_full = again.filter("full is not null").select("id", "mark", "pos", F.xxhash64("full", F.lit("full")).alias("template"), F.lit(min(2, int(min_docs))).alias("least"))
+    used = cut(by_template.unionByName(in_full))
+    recurring = used.select("template", "least", "id").distinct().groupBy("template", "least").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n >= least")
+    dropped = used.join(recurring.select("template", "least", "first"), ["template", "least"]).filter("id > first").groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
 
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.coalesce("gone", F.array().cast("array<int>"))), lambda i: F.get(F.col("parts"), i))
     out = rows.join(dropped, ["id", "mark"], "left").withColumn("parts", F.split("text", "\n"))

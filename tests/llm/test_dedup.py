@@ -65,6 +65,15 @@ def test_whole_leaves(spark, monkeypatch):
     assert got.agg(F.sum("n_dropped")).first()[0] == 119
 
 
+def test_long_lines(spark):
+    """A long line goes from the second document on if it is the same in full; a short one stays."""
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(49))
+    rows = [(i, f"{long}  {end}\nshort line of both\n{long} {i}7") for i, end in ((1, "1"), (2, "1"), (3, "2"))]
+    found = {r.doc_id: r for r in lines.drop_recurring_lines(table(spark, [(i, t, "en", "a") for i, t in rows]), whole_leaves=True).collect()}
+    assert {i: r.n_dropped for i, r in found.items()} == {1: 0, 2: 1, 3: 0}
+    assert found[2].text == f"short line of both\n{long} 27"
+
+
 def test_parser_gives_templates():
     r = random.Random(8)
     for width in (1, 2, 3, 4, 5, 8, 10, 23):
