@@ -89,3 +89,21 @@ def test_added_spans(spark):
     model = pii.Model(trees=[(1.0, (0, 0.5, -2.0, 2.0))], names=["is_email"], thresholds={"email": 0.9})
     docs = table(spark, [(1, "write to ann (at) mail (dot) org or bob@mail.org", "en", "a")])
     assert pii.find_personal_data(docs, model).first().spans == "email:9:32,email:36:48"
+
+
+def test_fit_learns_what_base_misses(spark):
+    """Addresses with marks and hinted numbers in other forms than the base patterns' are selected, bare numbers are not."""
+    r = random.Random(4)
+
+    def digits(n):
+        return "".join(r.choice("0123456789") for _ in range(n))
+
+    rows = []
+    for i in range(600):
+        name = "".join(r.choice("abcdefgh") for _ in range(6))
+        rows += [f"reach {name} (at) host{i} (dot) org now", f"see {name} (at) noon today", f"mail {name}@host.org", f"phone 0{digits(2)} {digits(3)} {digits(4)} now", f"order 0{digits(2)} {digits(3)} {digits(4)} now"]
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(rows)])
+    model = pii.fit(docs)
+    texts = ["reach ann (at) mail (dot) org now", "phone 020 555 0199 now", "order 020 555 0199 now", "see ann (at) noon today"]
+    found = {x.doc_id: x.spans for x in pii.find_personal_data(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), model).collect()}
+    assert found == {0: "email:6:29", 1: "phone:6:18", 2: "", 3: ""}
