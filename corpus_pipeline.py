@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every text: id, language, source, number of pieces, pieces."""
-    return pieces.encode(docs).select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces")
+    """Encode every text: id, language, source, number of pieces, pieces, and the mixed order as ``mix_part``, ``mix_row``.
+
+    A reader deals files by size, so the order of the rows that mix_sources wrote is kept as the number of a row's part
+    file and its row there. Rows that come from no file have nulls.
+    """
+    at = ["mix_part", "mix_row"]
+    try:
+        placed = docs.withColumns({"mix_part": F.regexp_extract("_metadata.file_name", r"^part-([0-9]+)", 1).try_cast("int"), "mix_row": F.col("_metadata.row_index")})
+        placed.schema  # resolves the columns
+    except AnalysisException:
+        placed = docs.withColumns({"mix_part": F.lit(None).cast("int"), "mix_row": F.lit(None).cast("long")})
+    return pieces.encode(placed).select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces", *at)
 
 
 STAGES = [

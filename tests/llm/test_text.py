@@ -205,3 +205,12 @@ def test_pipeline_on_odd_rows(spark, odd, none):
         for name, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, ""), name)
             docs.collect()
+
+
+def test_pipeline_keeps_the_mixed_order(spark):
+    """The result's order columns give the order that mixing gave."""
+    docs = table(spark, [(i, f"text {i}", "en", "abc"[i % 3] if i % 7 else "d") for i in range(400)]).select(*corpus_pipeline.COLUMNS)
+    wanted = [r.doc_id for r in mixing.mix(docs).orderBy("slot", "block_row").collect()]
+    found = corpus_pipeline.encode_pieces(spark, stored(corpus_pipeline.mix_sources(spark, docs, ""), "mixed"), "")
+    assert [r.doc_id for r in found.orderBy("mix_part", "mix_row").collect()] == wanted
+    assert corpus_pipeline.encode_pieces(spark, docs, "").filter("mix_part is null and mix_row is null").count() == 400
