@@ -19,8 +19,8 @@ SLICES = 4
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_chars`` and ``fingerprint`` of each whole text, without a shuffle.
 
-    The fingerprint is the hexadecimal form of the smallest hashes of the phrase names that two levels of the parse
-    give. It depends on the text alone. Null counts as empty, whose fingerprint is empty; rows with repeated or null
+    The fingerprint is the hexadecimal form of the smallest hashes of the phrase names: those of the two upper levels of
+    the parse (even) and those of the lowest (odd). It depends on the text alone. Null counts as empty, whose fingerprint is empty; rows with repeated or null
     ids each have theirs; other columns are ignored.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

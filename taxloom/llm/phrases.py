@@ -7,7 +7,7 @@ import numpy as np
 from taxloom.llm.shingles import distinct, mixed
 
 LEVELS = 3
-SHORT = 256
+FEW = 32
 SKETCH = 64
 _ONE = np.uint64(1)
 
@@ -78,10 +78,10 @@ def _parsed(names: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """For each text, the smallest ``SKETCH`` 32-bit hashes of its phrase names, sorted.
+    """For each text, two sketches in one sorted array: the ``SKETCH`` smallest hashes of each kind of its phrase names.
 
-    Names of levels 2 and 3 count (phrases of about 10 and 35 characters); texts of under ``SHORT`` characters have few
-    of those, so their names of level 1 count too.
+    Names of levels 2 and 3 (phrases of about 10 and 35 characters) have even 32-bit hashes, names of level 1 (about 3
+    characters) odd ones. What a fingerprint holds doesn't depend on the text's length.
     """
     out = [np.empty(0, np.uint32)] * len(texts)
     full = [i for i, t in enumerate(texts) if t]
@@ -89,25 +89,32 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
         return out
     points = [np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32) for i in full]
     names = np.concatenate(points).astype(np.uint64) + _ONE
-    short = np.array([len(p) < SHORT for p in points])
     text_of = np.repeat(np.arange(len(full)), [len(p) for p in points])
     found = []
     for level in range(1, LEVELS + 1):
         names, text_of = _parsed(names, text_of)
-        counts = slice(None) if level > 1 else short[text_of]
-        found.append((text_of[counts].astype(np.uint64) << np.uint64(32)) | (mixed(names[counts] + np.uint64(level)) >> np.uint64(32)))
+        hashes = mixed(names + np.uint64(level)) >> np.uint64(32)
+        found.append((text_of.astype(np.uint64) << np.uint64(32)) | (hashes | _ONE if level == 1 else hashes & ~_ONE))
     keys = distinct(np.concatenate(found))
     ends = np.searchsorted(keys, (np.arange(len(full) + 1, dtype=np.uint64)) << np.uint64(32))
     low = keys.astype(np.uint32)
     for k, i in enumerate(full):
-        out[i] = low[ends[k] : min(ends[k + 1], ends[k] + SKETCH)]
+        own = low[ends[k] : ends[k + 1]]
+        odd = (own & 1).astype(bool)
+        out[i] = own[np.where(odd, np.cumsum(odd), np.cumsum(~odd)) <= SKETCH]
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of common phrases: of the smallest hashes of the union, those in both. Two empty ones: 1."""
+    """Estimated share of common phrases: of the smallest hashes of the union, those in both. Two empty ones: 1.
+
+    Phrases of levels 2 and 3 count; where either text has under ``FEW`` of those, the names of level 1 of both count too.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    high, other = a[a & 1 == 0], b[b & 1 == 0]
+    if min(len(high), len(other)) >= FEW:
+        a, b = high, other
     union = np.union1d(a, b)[:SKETCH]
     last = union[-1]
     both = len(np.intersect1d(a[a <= last], b[b <= last], assume_unique=True))

@@ -158,6 +158,16 @@ def test_phrases_are_local():
     assert phrases.likeness(*phrases.fingerprints(["", ""])) == 1.0
 
 
+def test_phrases_know_no_length():
+    """A text and its shortened form are as alike at 256 characters as elsewhere."""
+    rng = random.Random(6)
+    found = {}
+    for size in (200, 260, 400):
+        texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size)) for _ in range(30)]
+        found[size] = np.mean([phrases.likeness(*phrases.fingerprints([t, t[:-10]])) for t in texts])
+    assert min(found.values()) > 0.8
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.dictionaries(st.text(max_size=3), st.integers(0, 10**6), min_size=1, max_size=20))
 def test_pfair(weights):
