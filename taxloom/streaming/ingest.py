@@ -38,6 +38,11 @@ def unseen(stream: DataFrame, key: str = "clave", time: str = "ts", delay: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def first_seen(stream: DataFrame, key: str = "clave", time: str = "ts") -> DataFrame:
+    """Each key and its earliest time, in whatever order the rows arrive."""
+    return stream.groupBy(key).agg(F.min(time).alias(time))
+
+
 def daily_counters(stream: DataFrame, by: list[str], sums: list[str], time: str = "ts", delay: str = "1 day") -> DataFrame:
     """Counts and sums by day and the given columns."""
     day = F.window(time, "1 day")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxloom.operators import combine
+from taxloom.plans import documents
 from taxloom.sources import reports
 
 
@@ -61,3 +62,12 @@ def test_reconciliation(spark):
 def test_unique_names(spark):
     df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "n string, o int")
     assert [r.nombre_unico for r in combine.numbered_names(df, "n", ["o"]).orderBy("o").collect()] == ["x", "x_1", "y"]
+
+
+def test_streams_read_a_folder_in_any_order(spark, sf, tmp_path):
+    """Events in part files, the latest first, give the same earliest times and counters as the one file."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.orderBy(F.desc("ts")).coalesce(1).write.option("maxRecordsPerFile", 100).parquet(f"{tmp_path}/events.parquet")
+    wanted = sorted(map(tuple, events.groupBy("user_id").agg(F.min("ts")).collect()))
+    assert sorted(map(tuple, documents.unseen_users(spark, str(tmp_path)).collect())) == wanted
+    assert documents.daily_counters(spark, str(tmp_path)).agg(F.sum("n")).first()[0] == events.count()
