@@ -9,28 +9,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16
-PERIOD = 1000
+PARTS = 1000
+PERIOD = 1 << 17
 CELL_ROWS = 2000
-MAX_SOURCES = 50_000
 
 
-def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots of a period for each source: largest remainders, one slot at least.
+def shares(weights: dict, most: int = PERIOD) -> dict:
+    """Whole slots of a period for each source of positive weight, in proportion to the weights.
 
-    Weights are non-negative whole numbers. The period grows to four slots a source where there are many sources.
+    Weights are non-negative whole numbers. Divided by their greatest common divisor they are the slots of the shortest
+    period that is exactly fair. Only where that has more than ``most`` slots (or twice the number of sources) are they
+    rounded to so many, by largest remainders and with one slot at least.
     """
     if any(w < 0 or w != int(w) for w in weights.values()):
         raise ValueError("weights are whole numbers, 0 or more")
-    total, n = sum(weights.values()), len(weights)
-    if not n:
+    wanted = {s: int(w) for s, w in weights.items() if w}
+    if not wanted:
         return {}
-    period = max(period, 4 * n)
-    rest = period - n  # each has one slot
-    if not total:
-        weights, total = dict.fromkeys(weights, 1), n
-    slots = {s: 1 + rest * w // total for s, w in weights.items()}
-    left = period - sum(slots.values())
-    for s in sorted(weights, key=lambda s: (-(rest * weights[s] % total), s))[:left]:
+    common = math.gcd(*wanted.values())
+    total, n = sum(wanted.values()) // common, len(wanted)
+    most = max(most, 2 * n)
+    if total <= most:
+        return {s: w // common for s, w in wanted.items()}
+    rest = most - n  # each has one slot
+    slots = {s: 1 + rest * (w // common) // total for s, w in wanted.items()}
+    left = most - sum(slots.values())
+    for s in sorted(wanted, key=lambda s: (-(rest * (wanted[s] // common) % total), s))[:left]:
         slots[s] += 1
     return slots
 
@@ -62,29 +66,44 @@ def source_key(source_col: str):
     return F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
 
 
-def root_weights(counts: dict) -> dict:
-    """Target weights that rise with the square root of the rows: large sources are damped, small ones lifted."""
-    return {s: math.floor(math.sqrt(n) * 1000) for s, n in counts.items()}
+def root_weights(counts: dict, parts: int = PARTS) -> dict:
+    """Target weights, in parts of about ``parts``, that rise with the square root of the rows; one part at least.
+
+    Large sources are damped and small ones lifted.
+    """
+    roots = {s: math.isqrt(n * 1_000_000) for s, n in counts.items()}
+    total = sum(roots.values())
+    return {s: max(1, (2 * parts * r + total) // (2 * total)) for s, r in roots.items()}
+
+
+def _last_slots(counts: dict, slots: dict, plan: list[tuple], block_rows: int) -> int:
+    """The first slot after all blocks of the sources with slots."""
+    length = sum(slots.values())
+    ends = {s: divmod(-(-counts[s] // block_rows) - 1, c) for s, c in slots.items()}
+    return max((ends[s][0] * length + slot + 1 for s, k, slot, _, _ in plan if ends[s][1] == k), default=0)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Interleave the sources' blocks to target weights; every row gets its place.
 
-    ``weights`` maps source names (None for null) to whole numbers; a source without one gets 0, which is one slot of
-    each period. Without weights they follow the square roots of the sources' rows. A source's rows are ordered by the
-    MD5 of their id and cut into blocks of ``block_rows``; block k runs in the slot that :func:`pfair` gives it. While
-    no source has run out, the rows of the slots before any slot hold each source to less than one block of its
-    weight. When a source has run out its slots stay empty, the others go on, and no row is dropped.
-
-    Only one count and one period of slots for each source pass through the driver (more than ``MAX_SOURCES`` sources
-    are refused). A row's number in its source is the number of rows in earlier cells of the source plus its
-    number in its cell; cells are hash ranges of the order, of about ``CELL_ROWS`` rows, so that a source with a third
-    of all rows is many cells.
-
-    Returns id, source, ``target`` (share of slots), ``block``, ``block_row``, ``release``, ``deadline``, ``slot``;
-    (slot, block_row) is the mixed order. Null sources are a source of their own. Repeated rows each have a place; a
-    null id orders as an empty text. ``keep`` names further columns to hand on; others are ignored. An empty table gives
-    an empty result.
+    ``weights`` maps source names (None for null) to whole numbers. Without weights they follow the square roots of the
+    sources' rows, in parts of a thousand. A source's rows are ordered by the MD5 of their id and cut into blocks of
+    ``block_rows``. With weight w of W in all, block k is released at slot floor(k W / w) and due by ceil((k + 1) W / w),
+    and runs in the slot that :func:`pfair` gives it. While no source has run out, the rows of the slots before any
+    slot hold each source to less than one block of its weight. When a source has run out its slots stay empty, the
+    others go on, and no row is dropped. The schedule repeats after W / gcd slots; only if those are more than
+    ``period`` are the weights rounded to that many slots (:func:`shares`), and it is fair to the rounded ones.
+
+    Sources without a weight, or with weight 0, have no share: their blocks follow after all others', in equal turns.
+
+    One count and one period of slots for each source pass through the driver. A row's number in its source is the
+    number of rows in earlier cells of the source plus its number in its cell; cells are hash ranges of the order, of
+    about ``CELL_ROWS`` rows, so that a source with a third of all rows is many cells.
+
+    Returns id, source, ``target`` (its weight's share of all weights), ``block``, ``block_row``, ``release``,
+    ``deadline``, ``slot``; (slot, block_row) is the mixed order. Null sources are a source of their own. Repeated rows
+    each have a place; a null id orders as an empty text. ``keep`` names further columns to hand on; others are ignored.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     keyed = docs.select(
@@ -94,20 +113,21 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("mark"),
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
     )
-    found = keyed.groupBy("key").count().limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; map them to fewer before mixing")
-    counts = {r["key"]: r["count"] for r in found}
+    counts = {r["key"]: r["count"] for r in keyed.groupBy("key").count().collect()}  # a row for each source
     if weights is None:
         wanted = root_weights(counts)
     else:
         named = {"null" if s is None else f"s{s}": w for s, w in weights.items()}
         wanted = {s: named.get(s, 0) for s in counts}
     slots = shares(wanted, period)
-    length = sum(slots.values())
+    plan = pfair(slots)
+    after = _last_slots(counts, slots, plan, block_rows)
+    last = shares({s: 1 for s in counts if s not in slots})
+    total = sum(wanted.values())
+    turns = [(slots, plan, 0), (last, pfair(last), after)]
     schedule = spark.createDataFrame(
-        [(s, k, slot, release, deadline, slots[s]) for s, k, slot, release, deadline in pfair(slots)],
-        "key string, turn long, slot0 long, release0 long, deadline0 long, slots long",
+        [(s, k, at + slot, at + release, at + deadline, own[s], sum(own.values()), wanted[s] / total if total else 0.0) for own, found, at in turns for s, k, slot, release, deadline in found],
+        "key string, turn long, slot0 long, release0 long, deadline0 long, slots long, length long, target double",
     )  # a period of rows
     bits = max(0, min(28, math.ceil(math.log2(max(1, max(counts.values(), default=1)) / CELL_ROWS))))
     celled = keyed.withColumn("cell", F.expr(f"shiftright(cast(conv(substr(mark, 1, 7), 16, 10) as bigint), {28 - bits})"))
@@ -119,12 +139,12 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     blocked = numbered.withColumns(
         {"block": F.expr(f"(offset + number) div {block_rows}"), "block_row": F.expr(f"cast((offset + number) % {block_rows} as int)")}
     )
-    shares_ = F.broadcast(schedule.select("key", "slots").distinct())
-    turned = blocked.join(shares_, "key").withColumn("turn", F.col("block") % F.col("slots")).withColumn("start", F.expr(f"(block div slots) * {length}L"))
-    return turned.drop("slots").join(F.broadcast(schedule), ["key", "turn"]).select(
+    shares_ = F.broadcast(schedule.select("key", "slots", "length").distinct())
+    turned = blocked.join(shares_, "key").withColumns({"turn": F.expr("block % slots"), "start": F.expr("(block div slots) * length")})
+    return turned.drop("slots", "length").join(F.broadcast(schedule), ["key", "turn"]).select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
-        (F.col("slots") / F.lit(length)).alias("target"),
+        "target",
         "block",
         "block_row",
         (F.col("start") + F.col("release0")).alias("release"),

@@ -119,11 +119,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """,
     "op6_mixing": """
 WITH RECURSIVE counted AS (
-  SELECT coalesce('s' || source, 'null') AS key, count(*) AS n, floor(sqrt(count(*)) * 1000)::BIGINT AS w FROM documents GROUP BY 1),
-sized AS (SELECT *, count(*) OVER () AS k, greatest(1000, 4 * count(*) OVER ()) AS d, sum(w) OVER ()::BIGINT AS ws FROM counted),
-quota AS (SELECT key, d, 1 + (d - k) * w // ws AS q, (d - k) * w % ws AS r FROM sized),
-slots AS (
-  SELECT key, d, q + (row_number() OVER (ORDER BY r DESC, key) <= d - sum(q) OVER ())::INTEGER AS c FROM quota),
+  SELECT coalesce('s' || source, 'null') AS key, count(*) AS n, floor(sqrt(count(*)) * 1000)::BIGINT AS r FROM documents GROUP BY 1),
+weighed AS (SELECT key, greatest(1, (2000 * r + sum(r) OVER ()::BIGINT) // (2 * sum(r) OVER ()::BIGINT)) AS w FROM counted),
+common AS (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) AS g, sum(w)::BIGINT AS ws FROM weighed),
+slots AS (SELECT key, w // g AS c, ws // g AS d FROM weighed, common),
 names AS (SELECT list(key ORDER BY key) AS names, list(c::BIGINT ORDER BY key) AS cs, any_value(d)::BIGINT AS d FROM slots),
 run AS (
   SELECT -1::BIGINT AS slot, list_transform(cs, lambda c: 0::BIGINT) AS ks, 0::BIGINT AS pick FROM names

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -173,6 +174,10 @@ def test_phrases_know_no_length():
 def test_pfair(weights):
     slots = mixing.shares(weights, 200)
     period = sum(slots.values())
+    assert set(slots) == {s for s, w in weights.items() if w}
+    total = sum(weights.values())
+    if total and total // math.gcd(*weights.values()) <= 200:
+        assert all(c * total == weights[s] * period for s, c in slots.items())
     done = dict.fromkeys(slots, 0)
     for s, k, slot, release, deadline in sorted(mixing.pfair(slots), key=lambda x: x[2]):
         assert release <= slot < deadline and k == done[s]
@@ -182,6 +187,27 @@ def test_pfair(weights):
     assert done == slots
 
 
+def test_weights_are_kept():
+    assert mixing.shares({"a": 4, "b": 2, "c": 1, "d": 1}) == {"a": 4, "b": 2, "c": 1, "d": 1}
+    assert mixing.shares({"a": 500, "b": 250, "c": 0}) == {"a": 2, "b": 1}
+    assert mixing.shares({"a": 0, "b": 0}) == {} == mixing.shares({})
+    many = mixing.shares({i: 10**9 + i for i in range(300)}, 1000)
+    assert sum(many.values()) == 1000 and min(many.values()) >= 1
+
+
+def test_sources_without_weight_follow(spark):
+    docs = table(spark, [(i, "t", "en", "abcde"[i % 5]) for i in range(500)])
+    got = mixing.mix(docs, weights={"a": 4, "b": 2, "c": 1}, block_rows=4).collect()
+    assert {r.source: r.target for r in got} == {"a": 4 / 7, "b": 2 / 7, "c": 1 / 7, "d": 0, "e": 0}
+    first = max(r.slot for r in got if r.target)
+    assert min(r.slot for r in got if not r.target) == first + 1 and len({(r.slot, r.block_row) for r in got}) == 500
+    for t in range(40):  # while all have rows, each is within a block of its weight
+        for s, w in (("a", 4), ("b", 2), ("c", 1)):
+            assert abs(len({r.block for r in got if r.source == s and r.slot <= t}) - (t + 1) * w / 7) < 1
+    equal = mixing.mix(docs, weights={}, block_rows=4).collect()
+    assert len({(r.slot, r.block_row) for r in equal}) == 500 and max(r.slot for r in equal) == 124
+
+
 def test_mixing(spark, none):
     rng = random.Random(3)
     rows = [(i, "t", "en", rng.choice(["a", "a", "a", "b", None, ""])) for i in range(3000)] + [(None, "t", "en", "a"), (5, "t", "en", "a"), (5, "t", "en", "a")]
