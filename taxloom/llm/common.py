@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -10,14 +13,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a private one only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``, for what jobs leave for later jobs.
+
+    Where the session names none, a local session gets a folder of its own, which goes when Python ends; on a cluster
+    that is an error, as a machine's own folder wouldn't be seen by the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(named or own)
     return named or context.getCheckpointDir()
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/taxloom-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow frame by a reliable checkpoint; its columns are new ones, free for self-joins."""
     shared_dir(df.sparkSession)
@@ -25,8 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a wide frame as Parquet into the shared folder and read it again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write a wide frame as Parquet into the shared folder and read it again.
+
+    It goes to the application's own folder there, ``taxloom-`` and its id, which can be removed once the application
+    has ended.
+    """
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN_BITS = 6
-FAN_BITS = 2
+from taxloom.llm.common import shuffle_partitions
+
+ROUNDS = 3
 DIGEST = ["text_sha256", "text_check", "text_bytes"]
 
 
@@ -21,29 +22,29 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def merged_runs(digested: DataFrame, keep: str = "max", run_bits: int = RUN_BITS, fan_bits: int = FAN_BITS) -> DataFrame:
+def merged_runs(digested: DataFrame, keep: str = "max", runs: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """One row for each digest, with the identifier to keep and the number of copies, merged level by level.
 
-    Every input partition is a run; equal digests of a run are combined before anything is exchanged. In each round,
-    2**fan_bits runs whose numbers differ in the next ``fan_bits`` bits exchange their parts: a row moves to the run
-    that has its digest's bits there, where parts are merged in digest order and one verified identifier is kept for
-    each digest. After run_bits / fan_bits rounds a run holds a slice of the digests and no digest is in two runs. A
-    group of copies has one row for each run at most, in every round, however large it is.
+    There are as many runs as shuffle partitions, rounded up to a power of two, and each is one partition. Input
+    partitions are dealt to runs as they come; equal digests of a run are combined at once. In each round, runs whose
+    numbers differ in the next few bits only exchange their parts: a row moves to the run that has its digest's bits
+    there, where parts are merged in digest order and one verified identifier is kept for each digest. After
+    ``rounds`` rounds a run holds a slice of the digests and no digest is in two runs. A group of copies has one row
+    for each run at most, in every round, however large it is.
     """
     best = {"max": F.max, "min": F.min}[keep]
-    runs = 1 << run_bits
-    slice_ = F.expr(f"cast(conv(substr(text_sha256, 1, 4), 16, 10) as int) % {runs}")
-    level = (
-        digested.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(runs)))
-        .groupBy("run", *DIGEST)
-        .agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-    )
-    for low in range(0, run_bits, fan_bits):
-        mask = ((1 << fan_bits) - 1) << low
+    bits = max(1, ((runs or shuffle_partitions(digested.sparkSession)) - 1).bit_length())
+    fan = -(-bits // rounds)
+    runs = 1 << bits
+    slice_ = F.expr(f"cast(conv(substr(text_sha256, 1, 7), 16, 10) as int) % {runs}")
+    first = digested.groupBy(F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"), *DIGEST)
+    level = first.agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+    for low in range(0, bits, fan):
+        mask = ((1 << min(fan, bits - low)) - 1) << low
         to = F.col("run").bitwiseAND(runs - 1 - mask).bitwiseOR(slice_.bitwiseAND(mask))
         level = (
             level.withColumn("run", to)
-            .repartition(runs, "run")
+            .repartitionById(runs, F.col("run"))
             .sortWithinPartitions("run", *DIGEST)
             .groupBy("run", *DIGEST)
             .agg(best("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))

@@ -50,6 +50,17 @@ def test_exact(spark, odd, none, keep):
     assert exact.exact_dedup(none).collect() == []
 
 
+@pytest.mark.parametrize("runs,rounds", [(1, 3), (7, 1), (64, 3), (64, 6)])
+def test_runs(spark, runs, rounds):
+    """However many runs there are, every digest ends in one row."""
+    texts = [str(i * i % 97) for i in range(1500)]
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).repartition(9)
+    found = exact.merged_runs(exact.digests(docs, "doc_id", "text"), runs=runs, rounds=rounds).collect()
+    best = {hashlib.sha256(t.encode()).hexdigest(): i for i, t in enumerate(texts)}
+    n = Counter(hashlib.sha256(t.encode()).hexdigest() for t in texts)
+    assert {(r.text_sha256, r.keep_id, r.copies) for r in found} == {(d, i, n[d]) for d, i in best.items()} and len(found) == len(n)
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
