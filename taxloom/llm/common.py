@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import re
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +94,11 @@ def prefix_sums(df: DataFrame, order: list[str], size: str) -> DataFrame:
         (F.col("row_offset") + F.col("rank") - 1).alias("index"),
         "total",
     )
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: Spark keeps Python workers for later tasks, and with them their memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)
+    if trim:
+        trim(0)

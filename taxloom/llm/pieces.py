@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
+from taxloom.llm.common import give_back
 from taxloom.llm.suffix import Patterns, occurrences
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SEPARATOR = 0x110000
-CACHE = 300_000
-BATCH = 1 << 18
-GROUP = 1 << 21
+CACHE = 60_000
+BATCH = 1 << 17
+GROUP = 1 << 20
 UNKNOWN, START, NONE = -1, -2, -3
 
 
@@ -53,12 +54,13 @@ class Codec:
                 strings.append(piece)
         self.string = {i: s for s, i in self.pieces.items()}
         self.patterns = Patterns(strings)
-        self.ids = np.array(self.ids, np.int64)
+        self.ids = np.array(self.ids, np.int32)
         apart = all(SPACE not in s.lstrip(SPACE) and "\n" not in s for s in strings)  # no piece crosses a word's start
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if apart else "(?s).+")
         self.histories: dict[int, list[tuple] | None] = {}
-        self.table = np.zeros(1 << 21, np.int64)
+        self.table = np.zeros(1 << 20, np.int64)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def history(self, piece: int) -> list[tuple] | None:
         """The merges by which a piece's own characters become it: (score, first symbol, last symbol); None if they don't."""
@@ -103,8 +105,8 @@ class Codec:
 
     def _fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """:meth:`fit` for arrays, through a table of known pairs."""
-        key = (before + 3) * (1 << 32) + piece + 1
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        key = (before.astype(np.int64) + 3) * (1 << 32) + piece + 1
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         held = self.table[slot]
         good = (held & 1).astype(bool)
         miss = np.flatnonzero(held >> 1 != key)
@@ -120,24 +122,26 @@ class Codec:
         """Encode new words: match all pieces in their concatenation, sort the edges by position, relax all words at once."""
         size = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(size + 1) - 1
-        codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.int32).copy()
         codes[ends] = SEPARATOR
         start, which = occurrences(codes, self.patterns)
         length, piece = self.patterns.length[which], self.ids[which]
         single = np.zeros(len(codes), bool)
         single[start[length == 1]] = True
-        lone = np.flatnonzero(~single & (codes != SEPARATOR))
+        lone = np.flatnonzero(~single & (codes != SEPARATOR)).astype(np.int32)
         start = np.concatenate([start, lone])
-        end = start + np.concatenate([length, np.ones(len(lone), np.int64)])
-        piece = np.concatenate([piece, np.full(len(lone), UNKNOWN)])
+        end = start + np.concatenate([length, np.ones(len(lone), np.int32)])
+        piece = np.concatenate([piece, np.full(len(lone), UNKNOWN, np.int32)])
         begin = ends - size
-        inside = np.arange(len(codes) + 1) - np.repeat(np.append(begin, len(codes)), np.append(size + 1, 1))
+        inside = (np.arange(len(codes) + 1) - np.repeat(np.append(begin, len(codes)), np.append(size + 1, 1))).astype(np.int32)
         step = inside[end]
+        if step.max(initial=0) < 1 << 15:
+            step = step.astype(np.int16)
         order = np.argsort(step, kind="stable")
         start, end, piece, step = start[order], end[order], piece[order], step[order]
         cut = np.flatnonzero(np.diff(step)) + 1
-        kept = np.full(len(codes) + 1, NONE, np.int64)
-        came = np.zeros(len(codes) + 1, np.int64)
+        kept = np.full(len(codes) + 1, NONE, np.int32)
+        came = np.zeros(len(codes) + 1, np.int32)
         kept[begin] = START
         for s, e, p in zip(np.split(start, cut), np.split(end, cut), np.split(piece, cut), strict=True):
             before = kept[s]
@@ -171,11 +175,15 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text. Words seen before are looked up; new ones are matched together, in bounded batches."""
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) > CACHE:  # words that aren't met again until the next time are forgotten
+            self.known, self.older = {}, self.known
         new, size = [], 0
         for w in set().union(*split):
-            if w not in self.known:
+            if w in self.known:
+                continue
+            if w in self.older:
+                self.known[w] = self.older[w]
+            else:
                 new.append(w)
                 size += len(w)
                 if size > BATCH:
@@ -241,7 +249,8 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", out_col:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), flat), *part.columns[1:]], names=["pieces", *part.schema.names[1:]])
-        tool.known.clear()
+        tool.known, tool.older = {}, {}
+        give_back()
 
     schema = ", ".join(["pieces array<int>", *(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])])
     out = narrow.mapInArrow(run, schema)

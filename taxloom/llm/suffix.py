@@ -5,34 +5,50 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, ordered by their first ``depth`` symbols at least, by prefix doubling."""
-    n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
-    width = 1
+def packed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The alphabet, and for each place as many symbols from there as fit into 62 bits, with their number and width.
+
+    A symbol is its rank in the alphabet, from 1; 0 stands for the end.
+    """
+    alphabet, rank = np.unique(codes, return_inverse=True)
+    bits = int(len(alphabet)).bit_length()
+    per = max(1, 62 // bits)
+    rank = rank.astype(np.int64) + 1
+    key = rank.copy()
+    for i in range(1, per):
+        key <<= bits
+        key[: max(0, len(codes) - i)] |= rank[i:]
+    return alphabet, key, per, bits
+
+
+def suffix_array(key: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """Starts of all suffixes, ordered by their first ``depth`` symbols at least, by prefix doubling.
+
+    ``key`` orders them by their first ``width`` symbols.
+    """
+    n = len(key)
+    order = np.argsort(key, kind="stable")
     while width < depth and width < n:
+        ordered = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        if rank[order[-1]] == n:
+            break
         second = np.zeros(n, np.int64)
         second[:-width] = rank[width:]
         key = rank * (n + 2) + second
         order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-        rank = new
         width *= 2
-        if rank.max() == n:
-            break
     return order
 
 
 class Patterns:
-    """Strings to search for, as a padded matrix of code points ordered by length."""
+    """Strings to search for, as a padded matrix of code points."""
 
     def __init__(self, strings: list[str]):
-        self.length = np.array([len(s) for s in strings], np.int64)
+        self.length = np.array([len(s) for s in strings], np.int32)
         self.depth = int(self.length.max(initial=0))
-        self.codes = np.zeros((len(strings), self.depth), np.int64)
+        self.codes = np.zeros((len(strings), self.depth), np.int32)
         for i, s in enumerate(strings):
             self.codes[i, : len(s)] = [ord(c) for c in s]
 
@@ -52,18 +68,34 @@ def _bound(codes: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 
 
 def occurrences(codes: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
-    """(start, pattern number) of all occurrences. Symbols of codes are code points or, to separate texts, larger."""
-    order = suffix_array(codes, patterns.depth)
+    """(start, pattern number) of all occurrences. Symbols of codes are code points or, to separate texts, larger.
+
+    A pattern's range in the suffix array is found by binary search: at once for the symbols that a packed key holds,
+    then symbol by symbol.
+    """
+    alphabet, key, per, bits = packed(codes)
+    order = suffix_array(key, per, patterns.depth)
+    held = key[order]
+    place = np.searchsorted(alphabet, patterns.codes)
+    place[place == len(alphabet)] = 0
+    inside = np.arange(patterns.depth) < patterns.length[:, None]
+    able = np.flatnonzero(((alphabet[place] == patterns.codes) | ~inside).all(axis=1))
+    length = patterns.length[able]
+    low = np.zeros(len(able), np.int64)
+    for i in range(per):
+        low <<= bits
+        if i < patterns.depth:
+            low |= np.where(inside[able, i], place[able, i] + 1, 0)
+    high = low + (np.int64(1) << (bits * np.maximum(per - length, 0)).astype(np.int64))
+    lo, hi = np.searchsorted(held, low), np.searchsorted(held, high)
     padded = np.concatenate([codes, np.full(patterns.depth + 1, -1, codes.dtype)])
-    n = len(patterns.length)
-    lo, hi = np.zeros(n, np.int64), np.full(n, len(codes), np.int64)
-    for at in range(patterns.depth):
-        live = np.flatnonzero((patterns.length > at) & (lo < hi))
-        symbol = patterns.codes[live, at]
-        low = _bound(padded, order, lo[live], hi[live], at, symbol, False)
-        hi[live] = _bound(padded, order, low, hi[live], at, symbol, True)
-        lo[live] = low
+    for at in range(per, patterns.depth):
+        live = np.flatnonzero((length > at) & (lo < hi))
+        symbol = patterns.codes[able[live], at]
+        first = _bound(padded, order, lo[live], hi[live], at, symbol, False)
+        hi[live] = _bound(padded, order, first, hi[live], at, symbol, True)
+        lo[live] = first
     count = hi - lo
-    found = np.repeat(np.arange(n), count)
+    found = np.repeat(able.astype(np.int32), count)
     first = np.cumsum(count) - count
-    return order[np.arange(len(found)) - np.repeat(first, count) + np.repeat(lo, count)], found
+    return order[np.arange(len(found)) - np.repeat(first - lo, count)].astype(np.int32), found

@@ -50,7 +50,20 @@ def test_language(spark, sf, odd, none):
     assert by_id[7].n_words == 7 * 3000
     assert langid.identify(none).collect() == []
     switched = "the and of this with from that " * 8 + "de la les des une pour dans que " * 8
-    assert langid._label(model, [switched])[0][3] >= 1
+    (row,) = langid.predict(table(spark, [(1, f"\U0001f600 {switched}", "en", "a")]), model).collect()
+    assert row.n_switches == len(row.runs) - 1 >= 1
+    assert [r.lang for r in row.runs][:: len(row.runs) - 1] == ["en", "fr"]
+    assert row.runs[0].start == 2 and row.runs[-1].end == len(switched) + 1
+    assert all(a.end < b.start and a.lang != b.lang for a, b in itertools.pairwise(row.runs))
+
+
+def test_long_training_texts(spark):
+    """A language with long texts only is learned too."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(9000)), lang, "a") for i, (lang, words) in enumerate([("en", ["the", "and", "with"]), ("fr", ["les", "des", "une"])] * 6)]
+    model = langid.fit(table(spark, rows))
+    assert model.labels == ["en", "fr"]
+    assert [x[0] for x in langid._label(model, ["the with and the", "une des les une"])] == ["en", "fr"]
 
 
 def test_long_text_is_cut_between_words():
@@ -60,7 +73,8 @@ def test_long_text_is_cut_between_words():
     whole = langid._label(model, [text])
     langid.CHUNK, old = 1000, langid.CHUNK
     try:
-        assert np.allclose(langid._label(model, [text])[0][1], whole[0][1], atol=1e-4)
+        cut = langid._label(model, [text])
+        assert np.allclose(cut[0][1], whole[0][1], atol=1e-4) and (cut[0][4] == whole[0][4]).all()
     finally:
         langid.CHUNK = old
 
@@ -243,6 +257,16 @@ def test_pipeline_on_odd_rows(spark, odd, none):
             docs.collect()
 
 
+def test_near_duplicates_by_row(spark):
+    """No text is lost because its row's id stands for other rows too, and of equal rows one stays."""
+    words = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(words[:20]), " ".join(words[20:]), " ".join(reversed(words))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (None, a), (None, c), (None, c), (-4, c), (5, None), (6, "")]
+    docs = table(spark, [(i, t, "en", "a") for i, t in rows])
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter([(1, a), (2, b), (-4, c), (5, None), (6, "")])
+
+
 def test_pipeline_keeps_the_mixed_order(spark):
     """The result's order columns give the order that mixing gave."""
     docs = table(spark, [(i, f"text {i}", "en", "abc"[i % 3] if i % 7 else "d") for i in range(400)]).select(*corpus_pipeline.COLUMNS)
