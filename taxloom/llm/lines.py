@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from taxloom.llm.common import cut, shuffle_partitions, stored
 
 DEPTH = 3
-MAX_LEAF = 2000
+HELD_LINES = 2000
+BROADCAST_ROWS = 100_000
 SIMILARITY = 0.7
 MIN_DOCS = 10
 LONG_WORDS = 50
@@ -90,7 +91,7 @@ class Parser:
 def _assigned(masked: DataFrame, similarity: float) -> DataFrame:
     """(leaf, masked hash, template) for distinct masked lines (leaf, m, line), streaming through each leaf in order.
 
-    A leaf of more than ``MAX_LEAF`` lines goes through a :class:`Parser`, with the same result.
+    A leaf of more than ``HELD_LINES`` lines goes through a :class:`Parser`, with the same result.
     """
 
     def parse(batches):
@@ -113,7 +114,7 @@ def _assigned(masked: DataFrame, similarity: float) -> DataFrame:
         done, size = [], 0
         for batch in batches:
             for key, m, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if key != leaf or len(held) > MAX_LEAF:
+                if key != leaf or len(held) > HELD_LINES:
                     if key == leaf and not parser:
                         parser = Parser(line.count(" ") + 1, similarity)
                     if held:
@@ -172,8 +173,7 @@ def _in_bitmap(lines: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def drop_recurring_lines(
-    docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text",
-    whole_leaves: bool = False, long_words: int = LONG_WORDS,
+    docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS
 ) -> DataFrame:
     """Drop lines whose template recurs in ``min_docs`` documents or more; the document with the smallest id keeps them.
 
@@ -182,10 +182,8 @@ def drop_recurring_lines(
 
     A line's tokens are its runs of other than white space; tokens with a digit are variable and masked. The tree has
     a level for the number of tokens and one for each of the first ``depth`` tokens. Within a leaf, lines that share
-    ``similarity`` of their tokens have one template. With ``whole_leaves`` that holds for leaves of every size. Without,
-    a leaf with more than ``MAX_LEAF`` different masked lines is split by as many tokens again, and one that is crowded
-    still has a template for each masked line. Leaves that occur in one document only can't recur; their lines go no
-    further.
+    ``similarity`` of their tokens have one template, whatever the leaf's size. Leaves that occur in one document only
+    can't recur; their lines go no further.
 
     Returns id, ``n_lines``, ``n_dropped``, ``text`` (the lines that stay, joined by newlines) and, unchanged, all
     other columns but ones with those names.
@@ -204,17 +202,16 @@ def drop_recurring_lines(
     again = stored(_in_bitmap(lines, shared).join(shared, "leaf").withColumn("m", F.xxhash64("line")), "lines")
 
     masked = again.groupBy("leaf", "m").agg(F.first("line").alias("line"))
-    for level in () if whole_leaves else (2 * depth, 0):  # 0: the line alone
-        crowded = masked.groupBy("leaf").count().filter(f"count > {MAX_LEAF}").select("leaf", F.lit(True).alias("crowded"))
-        deeper = _leaf(F.col("line"), level) if level else F.col("m")
-        masked = masked.join(crowded, "leaf", "left").select(F.when(F.col("crowded"), deeper).otherwise(F.col("leaf")).alias("leaf"), "m", "line")
     found = cut(_assigned(masked, similarity).select("m", F.xxhash64("leaf", "template").alias("template")))
 
     by_template = again.select("id", "mark", "pos", "m").join(found, "m").select("id", "mark", "pos", "template", F.lit(int(min_docs)).alias("least"))
     in_full = again.filter("full is not null").select("id", "mark", "pos", F.xxhash64("full", F.lit("full")).alias("template"), F.lit(min(2, int(min_docs))).alias("least"))
     used = cut(by_template.unionByName(in_full))
-    recurring = used.select("template", "least", "id").distinct().groupBy("template", "least").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n >= least")
-    dropped = used.join(recurring.select("template", "least", "first"), ["template", "least"]).filter("id > first").groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
+    users = used.select("template", "least", "id").distinct().groupBy("template", "least").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    recurring = cut(users.filter("n >= least").select("template", "least", "first"))  # by itself, so that a join with a hot template can be split
+    few = recurring.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = used.join(F.broadcast(recurring) if few else recurring, ["template", "least"])
+    dropped = met.filter("id > first").groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
 
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.coalesce("gone", F.array().cast("array<int>"))), lambda i: F.get(F.col("parts"), i))
     out = rows.join(dropped, ["id", "mark"], "left").withColumn("parts", F.split("text", "\n"))

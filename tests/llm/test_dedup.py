@@ -14,8 +14,25 @@ def masked(line):
     return " ".join("<*>" if re.search("[0-9]", t) else t for t in line.split())
 
 
+def brute_templates(lines):
+    """The number of each line's template, token by token."""
+    known, out = [], []
+    for i, line in enumerate(lines):
+        tokens = line.split(" ")
+        same = [sum(x == y != "<*>" for x, y in zip(tokens, t, strict=True)) for _, t in known]
+        best = max(range(len(known)), key=lambda k: (same[k], -k), default=None)
+        if best is None or same[best] < 0.7 * len(tokens):
+            known.append((i, tokens))
+            out.append(i)
+        else:
+            head, t = known[best]
+            known[best] = head, [x if x == y else "<*>" for x, y in zip(tokens, t, strict=True)]
+            out.append(head)
+    return out
+
+
 def brute_lines(rows, least):
-    leaf, uses = defaultdict(set), defaultdict(set)
+    leaf, uses, full = defaultdict(set), defaultdict(set), defaultdict(set)
     key = lambda m: (m.count(" "), tuple(m.split(" ")[:3]))
     for i, t in rows:
         for line in (t or "").split("\n"):
@@ -23,17 +40,22 @@ def brute_lines(rows, least):
                 m = masked(line)
                 leaf[key(m)].add(m)
                 uses[m].add(i)
+                full[" ".join(line.split())].add(i)
     of, docs = {}, defaultdict(set)
     for ms in leaf.values():
         ms = sorted(ms, key=str.encode)
-        for m, j in zip(ms, lines.templates(ms), strict=True):
+        for m, j in zip(ms, brute_templates(ms), strict=True):
             of[m] = ms[j]
             docs[ms[j]] |= uses[m]
-    out = []
-    for i, t in rows:
-        kept = t if t is None else "\n".join(x for x in t.split("\n") if i is None or not x.split() or len(docs[of[masked(x)]]) < least or min(docs[of[masked(x)]]) == i)
-        out.append((i, kept))
-    return out
+
+    def stays(i, line):
+        if i is None or not line.split():
+            return True
+        own, same = docs[of[masked(line)]], full[" ".join(line.split())]
+        long = len(line.split()) >= 50 and len(same) >= 2 and min(same) != i
+        return not long and (len(own) < least or min(own) == i)
+
+    return [(i, t if t is None else "\n".join(x for x in t.split("\n") if stays(i, x))) for i, t in rows]
 
 
 def test_lines(spark, none):
@@ -48,20 +70,12 @@ def test_lines(spark, none):
     assert lines.drop_recurring_lines(none).collect() == []
 
 
-def test_crowded_leaf(spark, monkeypatch):
-    """A leaf with too many lines is split, and in the end each line is its own template."""
-    monkeypatch.setattr(lines, "MAX_LEAF", 5)
-    rows = [(i, f"same three words {chr(97 + i % 20)}{chr(97 + i // 20)} rest of it all") for i in range(60)]
-    got = lines.drop_recurring_lines(table(spark, [(i, t, "en", "a") for i, t in [*rows, *[(100 + i, t) for i, t in rows]]]), min_docs=2)
-    assert got.agg(F.sum("n_dropped")).first()[0] == 60
-
-
 def test_whole_leaves(spark, monkeypatch):
     """The similarity rule holds in a leaf of any size."""
-    monkeypatch.setattr(lines, "MAX_LEAF", 5)
+    monkeypatch.setattr(lines, "HELD_LINES", 5)
     rows = [(i, f"same three words {chr(97 + i % 20)}{chr(97 + i // 20)} rest of it all") for i in range(60)]
     docs = table(spark, [(i, t, "en", "a") for i, t in [*rows, *[(100 + i, t) for i, t in rows]]])
-    got = lines.drop_recurring_lines(docs, min_docs=2, whole_leaves=True)
+    got = lines.drop_recurring_lines(docs, min_docs=2)
     assert got.agg(F.sum("n_dropped")).first()[0] == 119
 
 
@@ -69,11 +83,19 @@ def test_long_lines(spark):
     """A long line goes from the second document on if it is the same in full; a short one stays."""
     long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(49))
     rows = [(i, f"{long}  {end}\nshort line of both\n{long} {i}7") for i, end in ((1, "1"), (2, "1"), (3, "2"))]
-    found = {r.doc_id: r for r in lines.drop_recurring_lines(table(spark, [(i, t, "en", "a") for i, t in rows]), whole_leaves=True).collect()}
+    found = {r.doc_id: r for r in lines.drop_recurring_lines(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
     assert {i: r.n_dropped for i, r in found.items()} == {1: 0, 2: 1, 3: 0}
     assert found[2].text == f"short line of both\n{long} 27"
 
 
+def test_lines_of_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for least in (2, 10):
+        got = lines.drop_recurring_lines(docs, min_docs=least)
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(brute_lines(rows, least))
+
+
 def test_parser_gives_templates():
     r = random.Random(8)
     for width in (1, 2, 3, 4, 5, 8, 10, 23):
@@ -82,7 +104,7 @@ def test_parser_gives_templates():
             parser, heads, got = lines.Parser(width, 0.7), {}, []
             for i, x in enumerate(found):
                 got.append(heads.setdefault(parser.add(x), i))
-            assert got == lines.templates(found)
+            assert got == lines.templates(found) == brute_templates(found)
 
 
 def brute_groups(rows, k):
