@@ -72,27 +72,30 @@ def _compared(rows: list[tuple], n: int) -> dict:
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint each text, its edited form and its successor, and say how alike they are.
 
-    Documents follow each other by descending id (ties: descending text; null ids last), and the first follows the
-    last. Ids are cut at quantiles into slices; each slice gets, as a guest, the first document of the slice after it,
-    so one shuffle puts every text beside its successor and a task streams through its slices. Ids are numbers.
+    Documents follow each other by descending id (null ids last; of one id, or of none, by descending hash of the text),
+    and the first follows the last. Ids are cut at quantiles into slices, rows without id by their hash; each slice
+    gets, as a guest, the first document of the slice after it, so one shuffle puts every text beside its successor and a
+    task streams through its slices. Ids are numbers.
 
     Returns id, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
     Null counts as empty; an empty text is like another empty one (1) and unlike all others (0). A single document
     follows itself. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     kind = narrow.schema["id"].dataType.simpleString()
     n = shuffle_partitions(spark)
     cuts = narrow.select(F.percentile_approx("id", [i / (SLICES * n) for i in range(1, SLICES * n)], F.lit(10_000)).alias("q")).first()["q"] or []
     bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast(f"array<{kind}>")
-    sliced = narrow.withColumn("part", F.when(F.col("id").isNull(), F.size(bounds)).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("id")))))
-    heads = sliced.groupBy("part").agg(F.max(F.struct("id", "text")).alias("head"))
+    null_slice = F.expr(f"int(({2**63 - 1} - cast(tie as decimal(20))) * {SLICES * n} / {2**64})")
+    sliced = narrow.withColumn("part", F.when(F.col("id").isNull(), F.size(bounds) + null_slice).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("id")))))
+    heads = sliced.groupBy("part").agg(F.max(F.struct("id", "tie", "text")).alias("head"))
     order = Window.orderBy("part")  # of one row for each slice
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     guests = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(everything)).alias("head"))
-    rows = sliced.select("part", F.lit(False).alias("guest"), "id", "text").unionByName(guests.select("part", F.lit(True).alias("guest"), "head.id", "head.text"))
-    placed = rows.repartition(n, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("id"), F.desc("text"))
+    rows = sliced.select("part", F.lit(False).alias("guest"), "id", "tie", "text").unionByName(guests.select("part", F.lit(True).alias("guest"), "head.id", "head.tie", "head.text"))
+    placed = rows.repartition(n, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("id"), F.desc("tie"), F.desc("text")).drop("tie")
 
     def compare(batches):
         held: list[tuple] = []

@@ -16,6 +16,7 @@ from taxloom.llm.shingles import Minima, shingle_set
 BANDS, ROWS = 40, 5
 SLACK = 0.15
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 21
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -102,8 +103,8 @@ def _labelled(rows: DataFrame, found: DataFrame, id_col: str, name: str) -> Data
 def _rest(labelled: DataFrame, found: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
     """Confirmed links (u, v) between different components that meet in a bucket, other than with its smallest id.
 
-    Most buckets are one component by now and go. Documents that the others connect come together once, in blocks: a
-    group is two blocks, compares signatures of documents of different components, confirms likely pairs on the full
+    Most buckets are one component by now and go. Documents that the others connect come together once, in blocks of
+    about ``BLOCK`` documents and ``BLOCK_SHINGLES`` shingles at most: a group is two blocks, compares signatures of documents of different components, confirms likely pairs on the full
     sets, and hands on a forest of links: fewer than it has documents, however many pairs are similar.
     """
     kind = labelled.schema["id"].dataType.simpleString()
@@ -115,7 +116,8 @@ def _rest(labelled: DataFrame, found: DataFrame, sigs: DataFrame, sets: DataFram
     near = cut(labelled.join(mixed.select("key"), "key", "left_semi").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct())
     nodes = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
     grouped = cut(_labelled(_labelled(nodes, found, "id", "component"), components(near), "id", "family"))
-    sizes = grouped.groupBy("family").agg(F.expr(f"int(ceil(count(1) / {BLOCK}))").alias("blocks"))
+    sized = grouped.join(sets.select("id", F.size("hashes").alias("n")), "id")
+    sizes = sized.groupBy("family").agg(F.expr(f"int(ceil(greatest(count(1) / {BLOCK}, sum(n) / {BLOCK_SHINGLES})))").alias("blocks"))
     blocked = (
         grouped.join(sizes, "family")
         .withColumn("own", F.expr("int(pmod(xxhash64(id), blocks))"))

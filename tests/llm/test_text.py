@@ -142,6 +142,96 @@ def test_warc_lines():
     assert head["warc-date"] == "2024-01-01T00:00:00Z" and block.endswith(b"body")
 
 
+M = (1 << 64) - 1
+
+
+def brute_mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M
+    return x ^ (x >> 31)
+
+
+def brute_phrases(text):
+    """Names of the phrases of each level, one text and one name at a time."""
+    names, out = [ord(c) + 1 for c in text], []
+    for _ in range(3):
+        runs = [(k, len(list(g))) for k, g in itertools.groupby(names)]
+        names = [brute_mixed(brute_mixed(k) ^ n) if n > 1 else k for k, n in runs]
+        label = names
+        for turn in range(4):
+            before = [(~label[0] & M) if turn == 0 else label[0] ^ 1, *label[:-1]]
+            low = [((a ^ b) & -(a ^ b)).bit_length() - 1 for a, b in zip(before, label, strict=True)]
+            label = [2 * k + ((b >> k) & 1) for k, b in zip(low, label, strict=True)]
+        ends = [-1, *label, -1]
+        starts = [i for i in range(len(label)) if i == 0 or ends[i] < ends[i + 1] >= ends[i + 2]]
+        grouped = []
+        for a, b in itertools.pairwise([*starts, len(names)]):
+            total = b - a
+            for place, name in enumerate(names[a:b]):
+                x = name * (place * 0x9E3779B97F4A7C16 + 0xD6E8FEB86659FD93) & M
+                total += x ^ (x >> 32)
+            grouped.append(brute_mixed(total & M))
+        names = grouped
+        out.append(set(names))
+    return out
+
+
+def brute_fingerprint(text):
+    if not text:
+        return []
+    high, low = set(), set()
+    for level, names in enumerate(brute_phrases(text), 1):
+        for x in names:
+            h = brute_mixed((x + level) & M) >> 32
+            (low if level == 1 else high).add(h | 1 if level == 1 else h & ~1)
+    return sorted([*sorted(high)[:64], *sorted(low)[:64]])
+
+
+def test_fingerprints_by_brute_force(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    texts += ["", "a", "aa", "ab", "aab" * 40, "x" * 500, "\U0001f600é" * 9, "abcabcabc"]
+    for t, x in zip(texts, phrases.fingerprints(texts), strict=True):
+        assert x.tolist() == brute_fingerprint(t or "")
+
+
+def test_sketch_error():
+    """The likeness is the share of common phrases, within the error that the sketch's size gives."""
+    rng = random.Random(11)
+    wrong = []
+    for share in (0.2, 0.5, 0.8):
+        for _ in range(20):
+            base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(4000))
+            cut = int(4000 * share)
+            other = base[:cut] + "".join(rng.choice("abcdefghijklmnop ") for _ in range(4000 - cut))
+            x, y = (set().union(*(set((n, level) for n in names) for level, names in enumerate(brute_phrases(t)) if level)) for t in (base, other))
+            wrong.append(phrases.likeness(*phrases.fingerprints([base, other])) - len(x & y) / len(x | y))
+    assert abs(np.mean(wrong)) < 0.03 and np.sqrt(np.mean(np.square(wrong))) < 0.075
+
+
+def test_neighbours_without_ids(spark):
+    """Rows without an id, or of one id, are in one order too, and each is compared with the next."""
+    rows = [(None, f"text {i} " * 20) for i in range(50)] + [(7, f"other {i} " * 20) for i in range(20)]
+    got = fingerprint.compare_neighbours(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    digests = Counter(r.edited_sha256 for r in got)
+    text = {phrases_hex(t): t for _, t in rows}
+    assert len(got) == 70 and set(text) == {r.fingerprint for r in got}
+    following = {}
+    for r in got:
+        t = text[r.fingerprint]
+        n = len(t) // 3
+        (following[t],) = {u for _, u in rows if hashlib.sha256((t[: len(t) - n] + u[:n]).encode()).hexdigest() == r.edited_sha256}
+    assert len(digests) == len(set(following.values())) == 70
+    at, seen = rows[0][1], []
+    while at not in seen:
+        seen.append(at)
+        at = following[at]
+    assert len(seen) == 70 and sum(t.startswith("other") != following[t].startswith("other") for t in seen) == 2
+
+
+def phrases_hex(text):
+    return fingerprint._hex(np.array(brute_fingerprint(text), np.uint32))
+
+
 def test_neighbours(spark, none):
     rows = [(i, t) for i, t, _, _ in ODD if i not in (2, 3)] + [(i, f"text number {i} " * (i % 30)) for i in range(20, 120)]
     got = {r.doc_id: r for r in fingerprint.compare_neighbours(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
@@ -153,7 +243,7 @@ def test_neighbours(spark, none):
         changed = t[: len(t) - n] + following[:n]
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
-        own, other, after = phrases.fingerprints([t, changed, following])
+        own, other, after = (np.array(brute_fingerprint(x) if len(x) < 9000 else phrases.fingerprints([x])[0], np.uint32) for x in (t, changed, following))
         assert r.fingerprint == fingerprint._hex(own) and r.edited_fingerprint == fingerprint._hex(other)
         assert r.near_edited == phrases.likeness(own, other) and r.near_next == phrases.likeness(own, after)
     assert fingerprint.compare_neighbours(none).collect() == []
