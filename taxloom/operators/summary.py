@@ -82,37 +82,21 @@ def fill_slots(df: DataFrame, name: str) -> DataFrame:
     return df.na.fill({c: 0.0 for c in df.columns if c.startswith(f"{name}_") and c != f"{name}_impuesto"}).na.fill({f"{name}_impuesto": K.NOT_APPLICABLE})
 
 
-def document_summary(header: DataFrame, lines: DataFrame, taxes: DataFrame, key: str = "orderkey") -> DataFrame:
-    """The per-document summary: header with joined line texts, tax split, first payment and labels.
+def payment_columns(numbers: list[int]) -> list[Column]:
+    """Form, total, term and unit of the payments with these numbers, as aggregates over ``pago_num``."""
+    there = {"FORMA_PAGO": "forma_pago", "PLAZO": "plazo", "UNIDAD_TIEMPO": "unidad_tiempo"}
+    out = []
+    for n in numbers:
+        own = F.col("pago_num") == n
+        texts = {name: F.max(F.when(own, F.col(c))).alias(f"{name}_{n}") for name, c in there.items()}
+        out += [texts["FORMA_PAGO"], F.sum(F.when(own, F.col("pago"))).cast("double").alias(f"TOTAL_PAGO_{n}"), texts["PLAZO"], texts["UNIDAD_TIEMPO"]]
+    return out
 
-    All four sides are keyed alike; the lines are aggregated once for texts and payments.
+
+def payment_pivot(payments: DataFrame, key: str = "clave") -> DataFrame:
+    """Four columns for each payment of a document, up to the largest number that any document has.
+
+    That number is one aggregate over the payments; it is the number of a document's payments, not of documents.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("line_num", "descripcion")))
-    by_line = lines.groupBy(key).agg(
-        F.array_join(F.transform(ordered, lambda s: s["descripcion"]), " | ").alias("descripciones"),
-        F.min_by("forma_pago", "line_num").alias("forma_code"),
-        F.sum("base").cast("double").alias("total_pago"),
-    )
-    joined = header.join(by_line, key, "left").join(tax_split(taxes, key), key, "left")
-    missing = F.lit(K.MISSING)
-    return joined.select(
-        key,
-        F.coalesce("estado", missing).alias("estado"),
-        F.col("clave").alias("clave_acceso"),
-        K.label(F.col("cod_doc"), K.DOC_CODE).alias("codigo_documento"),
-        "estab",
-        F.col("pto").alias("punto_emision"),
-        F.col("sec").alias("secuencial"),
-        F.col("ruc").alias("ruc_emisor"),
-        F.date_format("fecha", "dd/MM/yyyy").alias("fecha_emision"),
-        F.coalesce(F.nullif("descripciones", F.lit("")), missing).alias("descripciones"),
-        F.concat_ws(" - ", F.coalesce("forma_code", missing), F.coalesce(K.label(F.col("forma_code"), K.PAYMENT), missing)).alias("forma_pago"),
-        F.coalesce("base_gravada", F.lit(0.0)).alias("base_gravada"),
-        F.coalesce("base_no_gravada", F.lit(0.0)).alias("base_no_gravada"),
-        F.coalesce("tarifas_iva", missing).alias("tarifas_iva"),
-        F.coalesce("monto_iva", F.lit(0.0)).alias("monto_iva"),
-        F.col("importe").cast("double").alias("importe_total"),
-        F.coalesce("total_pago", F.lit(0.0)).alias("total_pago"),
-        F.coalesce("base_gravada_12", F.lit(0.0)).alias("base_gravada_12"),
-        F.coalesce("monto_iva_12", F.lit(0.0)).alias("monto_iva_12"),
-    )
+    most = payments.agg(F.max("pago_num")).first()[0] or 0
+    return payments.groupBy(key).agg(F.count(F.lit(1)).alias("N_PAGOS"), *payment_columns(list(range(1, most + 1))))

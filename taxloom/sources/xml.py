@@ -98,8 +98,25 @@ def good(parsed: DataFrame, default_status: str = "AUTORIZADO") -> DataFrame:
     return parsed.filter("reason is null").select("path", F.coalesce("estado", F.lit(default_status)).alias("estado"), "numero_autorizacion", "fecha_autorizacion", "doc", _info().alias("info"), F.col("doc.infoTributaria.claveAcceso").alias("clave"))
 
 
+def _reasons(text) -> Column:
+    """What a debit note's reasons say, joined; those that say nothing are left out."""
+    return F.array_join(F.transform("doc.motivos.motivo", text), " | ")
+
+
+def _reason(m: Column) -> Column:
+    said = [F.coalesce(present(m[c]), F.lit(K.MISSING)) for c in ("razon", "valor")]
+    return F.when(first_present(m["razon"], m["valor"]).isNotNull(), F.concat(F.lit("Razon: "), said[0], F.lit(", Valor: "), said[1]))
+
+
+def _withheld() -> Column:
+    """The sum of what a document withholds, in either version."""
+    second = F.flatten(F.transform("doc.docsSustento.docSustento", lambda d: F.transform(d["retenciones"]["retencion"], lambda r: r["valorRetenido"])))
+    held = F.coalesce(second, F.transform("doc.impuestos.impuesto", lambda r: r["valorRetenido"]), F.array().cast("array<string>"))
+    return F.aggregate(held, F.lit(0).cast("decimal(18,6)"), lambda acc, v: (acc + amounts.amount(v, "decimal(18,6)")).cast("decimal(18,6)"))
+
+
 def header(docs: DataFrame) -> DataFrame:
-    """One row for each document that :func:`good` gives."""
+    """One row for each document that :func:`good` gives: its 45 fields, and the issue date as text."""
     t, i = F.col("doc.infoTributaria"), F.col("info")
     cod = F.lpad(F.trim(t["codDoc"]), 2, "0")
 
@@ -126,6 +143,10 @@ def header(docs: DataFrame) -> DataFrame:
         F.when(cod == "04", F.coalesce(F.nullif(total, zero), changed)).when(cod == "05", F.coalesce(F.nullif(total, zero), whole)).otherwise(total).alias("importe_total"),
         changed.alias("valor_modificacion"), whole.alias("valor_total"), i["codDocModificado"].alias("cod_doc_modificado"), i["numDocModificado"].alias("num_doc_modificado"),
         i["fechaEmisionDocSustento"].alias("fecha_doc_sustento"), F.when(cod == "07", i["periodoFiscal"]).alias("periodo_fiscal"),
+        F.when(cod == "07", i["ejercicioFiscal"]).alias("ejercicio_fiscal"), F.regexp_extract("path", "([^/]*)$", 1).alias("archivo_xml"), F.col("doc._version").alias("version_xml"),
+        F.coalesce(present(_reasons(lambda m: present(m["razon"]))), present(i["motivo"])).alias("motivo_modificacion"), present(_reasons(_reason)).alias("motivos_descripcion"),
+        F.aggregate(F.coalesce("doc.motivos.motivo", F.array()), zero, lambda acc, m: (acc + amounts.amount(m["valor"], "decimal(18,2)")).cast("decimal(18,2)")).alias("valor_modificacion_xml"),
+        F.when(cod == "07", _withheld()).alias("total_retenido"),
         F.to_json(F.transform(F.col("doc.infoAdicional.campoAdicional"), lambda c: F.struct(c["_nombre"].alias("nombre"), c["_VALUE"].alias("valor")))).alias("info_adicional"),
     )
 
