@@ -16,11 +16,17 @@ def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def with_fallback(main: DataFrame, fallback: DataFrame, key: str, order: str) -> DataFrame:
-    """All main rows, and the fallback's first row of each key that no main row has; its rows without a key stay."""
-    known = main.filter(present(F.col(key)).isNotNull()).select(key).distinct()
-    blank = present(F.col(key)).isNull()
-    fresh = fallback.filter(~blank).join(known, key, "left_anti")
-    return main.unionByName(first_by_key(fresh, key, order).unionByName(fallback.filter(blank)))
+    """All main rows, and the fallback's first row of each key that no main row has; its rows without a key stay.
+
+    Both sides are read once and meet in one exchange by key: a window gives each row of a key whether the key has a
+    main row, and its place among the fallback's rows. Rows without a key are dealt by ``order`` and don't meet.
+    """
+    rows = main.withColumn("_main", F.lit(True)).unionByName(fallback.withColumn("_main", F.lit(False)))
+    known = present(F.col(key))
+    alone = F.when(known.isNull(), F.xxhash64(order))
+    of_key = Window.partitionBy(known, alone)
+    marked = rows.withColumn("_there", F.max("_main").over(of_key)).withColumn("_place", F.row_number().over(of_key.orderBy(F.desc("_main"), order)))
+    return marked.filter(F.col("_main") | known.isNull() | (~F.col("_there") & (F.col("_place") == 1))).drop("_main", "_there", "_place")
 
 
 def merged(sources: list[DataFrame], key: str, columns: list[str]) -> DataFrame:
@@ -58,12 +64,28 @@ def rollup_runs(runs: DataFrame, levels: list[str], counters: list[str]) -> Data
     return total.withColumn("estado", F.when(sum(F.col(c) for c in counters) == 0, "sin_resultados").otherwise("completado"))
 
 
-def numbered_names(df: DataFrame, name: str, order: list[str | Column]) -> DataFrame:
-    """Names made different: a repeated one gets _1, _2 and so on, in order."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+def numbered_names(df: DataFrame, name: str, order: list[str | Column], within: tuple[str, ...] = ()) -> DataFrame:
+    """Names made different, among the rows of each ``within``: a repeated one gets _1, _2 and so on, in order."""
+    n = F.row_number().over(Window.partitionBy(name, *within).orderBy(*order)) - 1
     return df.withColumn("nombre_unico", F.when(n == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), n.cast("string"))))
 
 
+def entitled(requests: DataFrame, licences: DataFrame, devices: DataFrame, at: Column) -> DataFrame:
+    """For each request (request_id, user_id, fingerprint) the licence that allows it, and whether that has expired.
+
+    A licence (license_id, user_id, is_active, device_fingerprint, expires_at) of the user counts while it is active, if
+    one of its devices (license_id, fingerprint) has the request's fingerprint; only without such a one, if its own
+    fingerprint, of the time before devices, is the request's. Of several the smallest counts.
+    """
+    own = requests.join(licences.filter("is_active"), "user_id")
+    known = own.join(devices, ["license_id", "fingerprint"], "left_semi").withColumn("via", F.lit(1))
+    legacy = own.filter("device_fingerprint = fingerprint").withColumn("via", F.lit(2))
+    best = known.unionByName(legacy).groupBy("request_id").agg(F.min(F.struct("via", "license_id", "expires_at")).alias("b"))
+    found = requests.join(best, "request_id", "left")
+    state = F.when(F.col("b").isNull(), "no encontrada").when(F.col("b.expires_at") < at, "expirada").otherwise("valida")
+    return found.select("request_id", F.col("b.license_id").alias("license_id"), F.when(F.col("b.via") == 1, "equipo").when(F.col("b.via") == 2, "licencia").alias("via"), state.alias("estado"))
+
+
 def conform(df: DataFrame, schema: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
     """Exactly the schema's columns in order: missing ones are added, values that don't convert become the default."""
     defaults = defaults or {}

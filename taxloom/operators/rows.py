@@ -13,6 +13,18 @@ from taxloom.functions.text import clean, fold, is_present, present
 SLUGS = ["IVA_0", "IVA_5", "IVA_8", "IVA_12", "IVA_14", "IVA_15", "NO_OBJETO_IVA", "EXENTO_IVA", "ICE", "IRBPNR"]
 
 
+#: What the names of a report's number columns begin with.
+NUMBERS = (
+    "subtotal", "iva", "ice", "irbpnr", "propina", "total", "valor", "formaPagoMonto", "Base_Imponible", "Porcentaje", "Valor_Retenido",
+    "Total ", "Base ", "Monto ", "Propina", "Importe ", "Valor ",
+)
+
+
+def report_schema(columns: list[str]) -> dict[str, str]:
+    """The types of a report's columns: keys are whole numbers, amounts are numbers, the rest is text."""
+    return {c: "bigint" if c == "orderkey" else "double" if c.startswith(NUMBERS) else "string" for c in columns}
+
+
 def _zero() -> Column:
     return F.lit(0).cast("decimal(38,6)")
 
@@ -182,8 +194,7 @@ def report_row(docs: DataFrame, key: str = "orderkey") -> DataFrame:
         "formaPago": _said(F.coalesce(present(K.label(F.col("pago_1.forma_pago"), K.PAYMENT, F.lit(""))), F.col("pago_1.forma_pago"))), "formaPagoMonto": F.col("pago_1.pago"),
         "ambiente": _word("ambiente", ENVIRONMENT_WORDS), "emision": _word("tipo_emision", EMISSION_WORDS), "informacionAdicional": extra_fields("info_adicional", "\n"),
     }
-    amounts = ("subtotal", "iva", "ice", "irbpnr", "propina", "total", "valorTotal", "formaPagoMonto", "valorModificacion")
-    return docs.select(key, *[(_number(v) if c.startswith(amounts) else v).alias(c) for c, v in columns.items()])
+    return docs.select(key, *[(_number(v) if c.startswith(NUMBERS) else v).alias(c) for c, v in columns.items()])
 
 
 def settlement_row(report: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALL = "Todos"
@@ -60,3 +60,17 @@ def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """Rows with the text in one of the columns or across their seams, without regard to case."""
     whole = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
     return df.filter(F.contains(whole, F.lit(text.lower())))
+
+
+def newest_first(df: DataFrame, time: str, tie: str, number: str = "n") -> DataFrame:
+    """All rows numbered from the newest on (ties: by ``tie``), without bringing them together.
+
+    Rows are numbered within their day; the days' counts, one row for each day, say how many rows are newer.
+    """
+    daily = df.withColumn("_day", F.to_date(time))
+    days = daily.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    newer = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)  # of a row for each day
+    before = days.select("_day", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
+    ranked = daily.withColumn("_rank", F.row_number().over(Window.partitionBy("_day").orderBy(F.desc(time), tie)))
+    met = ranked.alias("r").join(before.alias("b"), F.col("r._day").eqNullSafe(F.col("b._day")))
+    return met.select((F.col("_before") + F.col("_rank")).alias(number), *[F.col(f"r.{c}") for c in df.columns])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -18,10 +21,15 @@ from taxloom.sources import listings, reports, xml
 from taxloom.streaming import ingest
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names; a private one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one that the session names; a local session that names none gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    return f"{named.rstrip('/')}/taxloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def xml_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +232,7 @@ def left_column(spark: SparkSession, d: str) -> DataFrame:
 @query("s8_run_history", sql("history", "SELECT ruc, origen, anio, mes, dia, tipo, n_xml, n_pdf FROM history"))
 def run_history(spark: SparkSession, d: str) -> DataFrame:
     """Run records appended as JSON and read again."""
-    path = f"{_scratch(spark)}/historial"
+    path = f"{scratch(spark)}/historial"
     runs = bridge.history(spark, d).withColumn("timestamp", F.col("timestamp").cast("string"))
     listings.append_run(runs.filter("origen = 'Emitidos'"), path)
     listings.append_run(runs.filter("origen = 'Recibidos'"), path)
@@ -236,7 +244,7 @@ UNION ALL SELECT 'pagos', (SELECT count(*) FROM lines WHERE orderkey % 50 != 7)
 UNION ALL SELECT 'errores', (SELECT count(*) FROM header WHERE orderkey % 50 = 7) UNION ALL SELECT 'adicionales', (SELECT count(*) FROM header WHERE orderkey % 50 != 7)"""))
 def bundle(spark: SparkSession, d: str) -> DataFrame:
     """K1: the report's tables written from documents parsed once, and their rows; empty optional tables aren't written."""
-    path = _scratch(spark)
+    path = scratch(spark)
     xml.parse(xml_documents(spark, d)).write.parquet(f"{path}/leidos")
     names = reports.write_bundle(xml.report_bundle(spark.read.parquet(f"{path}/leidos")), path)
     counts = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("tabla"), F.count(F.lit(1)).alias("n")) for n in names]
@@ -246,7 +254,7 @@ def bundle(spark: SparkSession, d: str) -> DataFrame:
 @query("t1_ingest", sql("header", "SELECT clave, cod_doc, importe::DOUBLE AS importe_total FROM header WHERE orderkey % 50 != 7"))
 def ingested(spark: SparkSession, d: str) -> DataFrame:
     """Documents that arrive as a stream, parsed and stored batch by batch."""
-    path = _scratch(spark)
+    path = scratch(spark)
     xml_documents(spark, d).write.parquet(f"{path}/llegados")
     stream = spark.readStream.schema("path string, value string").parquet(f"{path}/llegados")
     ingest.ingest_stream(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
@@ -266,12 +274,12 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 @query("t2_unseen", "SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id")
 def unseen_users(spark: SparkSession, d: str) -> DataFrame:
     """Each key once, with its earliest time, which a streaming aggregate finds in any order of arrival."""
-    found = ingest.drained(ingest.first_seen(_events(spark, d), "user_id"), _scratch(spark), "complete")
+    found = ingest.drained(ingest.first_seen(_events(spark, d), "user_id"), scratch(spark), "complete")
     return found.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("t3_daily_counters", "SELECT date_trunc('day', ts)::TIMESTAMP AS dia, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def daily_counters(spark: SparkSession, d: str) -> DataFrame:
     """Counters by day while the events run in."""
-    found = ingest.drained(ingest.daily_counters(_events(spark, d), ["event_type"], ["value"]), _scratch(spark), "complete")
+    found = ingest.drained(ingest.daily_counters(_events(spark, d), ["event_type"], ["value"]), scratch(spark), "complete")
     return found.withColumn("value", F.round("value", 4)).withColumn("dia", F.col("dia").cast("timestamp_ntz"))

@@ -103,7 +103,7 @@ SELECT h.orderkey, coalesce(b0, 0) AS subtotal_0, coalesce(b12, 0) AS subtotal_1
   coalesce(v14, 0) AS iva_8, coalesce(no_objeto, 0) AS subtotal_no_objeto, coalesce(exento, 0) AS subtotal_exento
 FROM header h LEFT JOIN r USING (orderkey)""").replace("\n, r AS", ",\nr AS"))
 def rate_columns(spark: SparkSession, d: str) -> DataFrame:
-    """A subtotal for each rate; the 14 % bucket fills the 8 % columns, which have no code of their own."""
+    """A subtotal for each rate; the 14 % bucket fills the 8 % columns, which have no code of their own."""
     pivot = summary.tax_pivot(bridge.taxes(spark, d), ["IVA_0", "IVA_12", "IVA_14", "IVA_15", "NO_OBJETO_IVA", "EXENTO_IVA"])
     out = bridge.header(spark, d).select("orderkey").join(pivot, "orderkey", "left").na.fill(0.0)
     return out.select(
@@ -118,7 +118,7 @@ FROM header h LEFT JOIN (SELECT orderkey, sum(valor)::DOUBLE AS iva, (sum(base)
   string_agg('Código: ' || codigo || ', Desc: ' || descripcion || ', Cant: ' || cantidad || ', P.Unit: ' || precio, chr(10) ORDER BY line_num) AS items
   FROM lines GROUP BY orderkey) USING (orderkey) WHERE cod_doc = '01' AND origin = 'Emitidos'"""))
 def issued_invoice(spark: SparkSession, d: str) -> DataFrame:
-    """Issued invoices with VAT, bases and templated items."""
+    """Issued invoices with VAT, bases and templated items."""
     item = F.concat(F.lit("Código: "), F.col("codigo"), F.lit(", Desc: "), "descripcion", F.lit(", Cant: "), "cantidad", F.lit(", P.Unit: "), "precio")
     lines = bridge.lines(spark, d).withColumn("item", item)
     rows = F.array_sort(F.collect_list(F.struct("line_num", "item")))
@@ -146,7 +146,7 @@ SELECT h.orderkey, clave, """ + ", ".join(f"coalesce({n}_{c}, 0) AS {n}_{c}" for
   coalesce(IVA_impuesto, 'No Aplica') AS IVA_impuesto, coalesce(Renta_impuesto, 'No Aplica') AS Renta_impuesto
 FROM header h LEFT JOIN IVA i ON h.orderkey = i.orderkey LEFT JOIN Renta r ON h.orderkey = r.orderkey WHERE cod_doc = '07'""").replace("\n, IVA AS", ",\nIVA AS"))
 def withholding_slots(spark: SparkSession, d: str) -> DataFrame:
-    """Withholding rows with summary and two details for each tax."""
+    """Withholding rows with summary and two details for each tax."""
     w = bridge.withholdings(spark, d)
     out = bridge.header(spark, d).filter("cod_doc = '07'").select("orderkey", "clave")
     for code, name in (("2", "IVA"), ("1", "Renta")):
@@ -159,7 +159,7 @@ def withholding_slots(spark: SparkSession, d: str) -> DataFrame:
   WHEN coalesce(sum(base) FILTER (pct = '2'), 0) != 0 THEN 'iva12' WHEN coalesce(sum(base) FILTER (pct = '3'), 0) != 0 THEN 'iva8' END AS columna
 FROM lines GROUP BY orderkey"""))
 def rate_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """The first rate in use, from the highest, with zero as default."""
+    """Part of P15: the first rate in use, from the highest, with zero as default."""
     p = summary.tax_pivot(bridge.taxes(spark, d), ["IVA_15", "IVA_12", "IVA_14"]).na.fill(0.0)
     zero = F.lit(0.0)
     columns = [("IVA_15_BASE", "iva15"), ("IVA_12_BASE", "iva12"), ("IVA_14_BASE", "iva8")]
@@ -168,7 +168,7 @@ def rate_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p18_conform", sql("header", "SELECT clave, importe::DOUBLE AS importe, NULL::DOUBLE AS propina, 'DOLAR' AS moneda, try_cast(prioridad AS INTEGER) AS prioridad FROM header"))
 def conformed(spark: SparkSession, d: str) -> DataFrame:
-    """Exactly a report's columns; what is missing is added, what doesn't convert is empty."""
+    """Exactly a report's columns; what is missing is added, what doesn't convert is empty."""
     return combine.conform(bridge.header(spark, d), {"clave": "string", "importe": "double", "propina": "double", "moneda": "string", "prioridad": "int"}, {"moneda": "DOLAR"})
 
 
@@ -383,7 +383,7 @@ def first_present(spark: SparkSession, d: str) -> DataFrame:
 @query("j10_entitlements", """SELECT c_custkey AS license_id, count(*) AS devices FROM customer JOIN orders ON o_custkey = c_custkey
 WHERE c_acctbal > 0 AND (o_orderdate IS NULL OR o_orderdate >= TIMESTAMP '1997-01-01') AND c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) GROUP BY c_custkey""")
 def entitlements(spark: SparkSession, d: str) -> DataFrame:
-    """Active licences that haven't expired, of entitled users, with their devices."""
+    """Part of J10: active licences that haven't expired, of entitled users, with their devices."""
     licences = bridge.table(spark, d, "customer").filter("c_acctbal > 0")
     users = bridge.table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").alias("c_nationkey"))
     devices = bridge.table(spark, d, "orders").filter("o_orderdate is null or o_orderdate >= '1997-01-01'")
@@ -391,11 +391,36 @@ def entitlements(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy(F.col("c_custkey").alias("license_id")).agg(F.count(F.lit(1)).alias("devices"))
 
 
-@query("w2_newest_first", sql("history", "SELECT row_number() OVER (ORDER BY timestamp DESC, run_id) AS n, run_id, timestamp FROM history WHERE tipo = 'error' QUALIFY n <= 100"))
+@query("j10_requests", """WITH licences AS (SELECT c_custkey AS license_id, c_nationkey AS user_id, c_acctbal > 0 AS is_active, CASE WHEN c_custkey % 3 = 0 THEN 'fp' || c_custkey % 4 END AS device_fingerprint,
+    CASE WHEN c_custkey % 5 != 0 THEN DATE '1996-01-01' + (c_custkey % 1000)::INTEGER END AS expires_at FROM customer),
+  devices AS (SELECT DISTINCT o_custkey AS license_id, 'fp' || o_orderkey % 4 AS fingerprint FROM orders WHERE o_orderkey % 50 = 0),
+  requests AS (SELECT o_orderkey AS request_id, o_custkey % 25 AS user_id, 'fp' || o_orderkey % 6 AS fingerprint FROM orders),
+  own AS (SELECT r.*, l.* EXCLUDE (user_id) FROM requests r JOIN licences l ON l.user_id = r.user_id AND is_active),
+  hits AS (SELECT request_id, license_id, expires_at, 1 AS via FROM own o WHERE EXISTS (SELECT 1 FROM devices d WHERE d.license_id = o.license_id AND d.fingerprint = o.fingerprint)
+    UNION ALL SELECT request_id, license_id, expires_at, 2 FROM own WHERE device_fingerprint = fingerprint),
+  best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY via, license_id) = 1)
+SELECT r.request_id, license_id, CASE via WHEN 1 THEN 'equipo' WHEN 2 THEN 'licencia' END AS via,
+  CASE WHEN via IS NULL THEN 'no encontrada' WHEN expires_at < DATE '1997-06-01' THEN 'expirada' ELSE 'valida' END AS estado FROM requests r LEFT JOIN best b ON b.request_id = r.request_id""")
+def entitlement_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The licence that allows each request, by one of its devices or by its own fingerprint, and its expiry."""
+    c, o = bridge.table(spark, d, "customer"), bridge.table(spark, d, "orders")
+
+    def mark(n: str):
+        return F.concat(F.lit("fp"), F.expr(n).cast("string"))
+
+    licences = c.select(
+        F.col("c_custkey").alias("license_id"), F.col("c_nationkey").alias("user_id"), (F.col("c_acctbal") > 0).alias("is_active"), F.when(F.col("c_custkey") % 3 == 0, mark("c_custkey % 4")).alias("device_fingerprint"),
+        F.when(F.col("c_custkey") % 5 != 0, F.expr("date_add(date'1996-01-01', int(c_custkey % 1000))")).alias("expires_at"),
+    )
+    devices = o.filter("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("license_id"), mark("o_orderkey % 4").alias("fingerprint"))
+    requests = o.select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % 25).alias("user_id"), mark("o_orderkey % 6").alias("fingerprint"))
+    return combine.entitled(requests, licences, devices, F.lit("1997-06-01").cast("date"))
+
+
+@query("w2_newest_first", sql("history", "SELECT row_number() OVER (ORDER BY timestamp DESC, run_id) AS n, run_id, timestamp FROM history WHERE tipo = 'error'"))
 def newest_first(spark: SparkSession, d: str) -> DataFrame:
-    """The newest hundred runs of a kind, numbered; the limit comes before the numbers."""
-    newest = bridge.history(spark, d).filter("tipo = 'error'").orderBy(F.desc("timestamp"), "run_id").limit(100)
-    return newest.select(F.row_number().over(Window.orderBy(F.desc("timestamp"), "run_id")).alias("n"), "run_id", "timestamp")
+    """All runs of a kind, numbered from the newest on."""
+    return select.newest_first(bridge.history(spark, d).filter("tipo = 'error'"), "timestamp", "run_id").select("n", "run_id", "timestamp")
 
 
 @query("w3_occurrence", sql("lines withholdings", "SELECT orderkey, codigo, line_num, row_number() OVER (PARTITION BY orderkey, codigo ORDER BY line_num) AS vez FROM withholdings"))
@@ -426,9 +451,8 @@ def drop_repeats(spark: SparkSession, d: str) -> DataFrame:
 @query("w9_unique_names", sql("header", "SELECT orderkey, estab || '-' || pto || CASE WHEN n = 1 THEN '' ELSE '_' || (n - 1) END AS nombre FROM (SELECT *, row_number() OVER (PARTITION BY estab, pto, fecha ORDER BY orderkey) AS n FROM header)"))
 def unique_names(spark: SparkSession, d: str) -> DataFrame:
     """Names that repeat on a day get a counter."""
-    h = bridge.header(spark, d).withColumn("k", F.concat_ws("|", "estab", "pto", "fecha")).withColumn("nombre", F.concat_ws("-", "estab", "pto"))
-    n = F.row_number().over(Window.partitionBy("k").orderBy("orderkey")) - 1
-    return h.select("orderkey", F.when(n == 0, F.col("nombre")).otherwise(F.concat_ws("_", "nombre", n.cast("string"))).alias("nombre"))
+    named = bridge.header(spark, d).withColumn("nombre", F.concat_ws("-", "estab", "pto"))
+    return combine.numbered_names(named, "nombre", ["orderkey"], ("fecha",)).select("orderkey", F.col("nombre_unico").alias("nombre"))
 
 
 @query("w10_between_markers", sql("lines", """, m AS (SELECT *, max(CASE WHEN pct = '2' THEN line_num END) OVER (PARTITION BY orderkey ORDER BY line_num ROWS UNBOUNDED PRECEDING) AS inicio,

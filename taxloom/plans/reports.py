@@ -10,6 +10,7 @@ from taxloom.functions import amounts, keys
 from taxloom.operators import summary
 from taxloom.plans import bridge
 from taxloom.plans.bridge import sql
+from taxloom.plans.documents import scratch
 from taxloom.plans.queries import query
 from taxloom.sources import reports
 
@@ -55,30 +56,76 @@ def debit_notes(spark: SparkSession, d: str) -> DataFrame:
     return h.select("orderkey", F.coalesce("motivos", F.lit(K.MISSING)).alias("motivos"), F.when(F.col("suma") > 0, F.col("suma")).otherwise(F.col("importe").cast("double")).alias("valor_modificacion"))
 
 
-@query("p19_titles", sql("header", 'SELECT clave AS "Clave de acceso", ruc AS "RUC del emisor", fecha AS "Fecha de emision", importe::DOUBLE AS "Importe total", estado AS "Estado", prioridad AS "Forma de pago 1" FROM header'))
+_TITLED = {"clave": "Clave de acceso", "ruc": "RUC del emisor", "fecha": "Fecha de emision", "importe": "Importe total", "estado": "Estado de autorizacion", "prioridad": "Forma de pago 1", "estab": "Plazo del pago 2", "pto": "Impuesto al valor agregado 12% base imponible", "sec": "Impuesto codigo 9 porcentaje 4 valor", "origin": "Origen de datos"}
+_NAMES = {"clave": "CLAVE_ACCESO", "ruc": "RUC_EMISOR", "fecha": "FECHA_EMISION", "importe": "IMPORTE_TOTAL", "estado": "ESTADO_AUTORIZACION", "prioridad": "FORMA_PAGO_1", "estab": "PLAZO_2", "pto": "IVA_12_BASE", "sec": "IMP_9_4_VALOR", "origin": "ORIGEN_DE_DATOS"}
+
+
+@query("p19_titles", sql("header", "SELECT " + ", ".join(f'{c}{"::DOUBLE" if c == "importe" else ""} AS "{t}"' for c, t in _TITLED.items()) + " FROM header"))
 def titles(spark: SparkSession, d: str) -> DataFrame:
     """Columns under titles for people."""
-    h = bridge.header(spark, d)
-    return reports.titled(h.select(F.col("clave").alias("clave_acceso"), F.col("ruc").alias("ruc_emisor"), F.col("fecha").alias("fecha_emision"), F.col("importe").cast("double").alias("importe_total"), "estado", F.col("prioridad").alias("FORMA_PAGO_1")))
+    h = bridge.header(spark, d).withColumn("importe", F.col("importe").cast("double"))
+    return reports.titled(h.select(*[F.col(c).alias(n) for c, n in _NAMES.items()]))
 
 
-@query("p22_listing_rows", sql("header", """SELECT orderkey, estab, pto, sec, CASE orderkey % 3 WHEN 0 THEN 'iva15' WHEN 1 THEN 'iva12' END AS columna FROM header"""))
+@query("p22_listing_rows", sql("header", """SELECT orderkey, estab, pto, sec, CASE WHEN importe <= 0 THEN NULL ELSE CASE orderkey % 5 WHEN 0 THEN 'iva15' WHEN 1 THEN 'iva12' WHEN 2 THEN 'iva8' WHEN 3 THEN 'iva5' END END AS columna FROM header"""))
 def listing_rows(spark: SparkSession, d: str) -> DataFrame:
     """A listing row's series taken apart and its rate found."""
     h = bridge.header(spark, d)
     written = keys.parse_series(F.concat(F.lit("Factura "), "estab", F.lit("-"), "pto", F.lit("-"), "sec"))
-    part = F.split(written, "-")
-    rate = F.when(F.col("orderkey") % 3 == 0, 15.0).when(F.col("orderkey") % 3 == 1, 12.0).otherwise(40.0)
-    return h.select("orderkey", part[0].alias("estab"), part[1].alias("pto"), part[2].alias("sec"), amounts.iva_column(rate, F.lit(100.0)).alias("columna"))
+    part, net = F.split(written, "-"), F.col("importe").cast("double")
+    rate = F.get(F.array(*[F.lit(x) for x in (0.152, 0.118, 0.08, 0.051, 0.4)]), (F.col("orderkey") % 5).cast("int"))
+    return h.select("orderkey", part[0].alias("estab"), part[1].alias("pto"), part[2].alias("sec"), amounts.iva_column(net * rate, net).alias("columna"))
 
 
 @query("s12_find_reports", sql("header", "SELECT orderkey FROM header WHERE origin = 'Recibidos' AND cod_doc = '01' AND year(fecha) = 1997 AND month(fecha) = 3"))
 def find_reports(spark: SparkSession, d: str) -> DataFrame:
-    """Report rows by the columns that partition them."""
+    """F6 apart, S12's selection: rows by the columns that partition reports."""
     h = bridge.header(spark, d).withColumns({"anio": F.year("fecha"), "mes": F.month("fecha")})
     return reports.find_reports(h, origin="Recibidos", cod_doc="01", anio=1997, mes=3, estado=None).select("orderkey")
 
 
+@query("s7_written_reports", sql("header", """SELECT orderkey, origin AS origen, cod_doc, year(fecha)::INTEGER AS anio, month(fecha)::INTEGER AS mes, importe::DOUBLE AS importe, CASE WHEN cod_doc = '01' THEN '' ELSE coalesce(estado, '') END AS estado,
+  strftime(fecha, '%Y%m') AS periodo FROM header WHERE cod_doc IN ('01', '04') AND year(fecha) = 1997"""))
+def written_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports written by period, found by their folders, and read back as one with columns that one of them lacks."""
+    path = scratch(spark)
+    h = bridge.header(spark, d).select("orderkey", F.col("origin").alias("origen"), "cod_doc", F.year("fecha").alias("anio"), F.month("fecha").alias("mes"), F.col("importe").cast("double").alias("importe"), "estado")
+    reports.write_by_period(h.filter("cod_doc = '01'").drop("estado"), f"{path}/facturas")
+    reports.write_by_period(h.filter("cod_doc = '04'"), f"{path}/notas")
+    found = reports.find_reports(reports.read_reports(spark, [f"{path}/facturas", f"{path}/notas"]), anio=1997)
+    text = found.withColumn("cod_doc", F.lpad(F.col("cod_doc").cast("string"), 2, "0"))  # folders' names are read as numbers
+    return text.select("orderkey", "origen", "cod_doc", "anio", "mes", "importe", "estado", F.format_string("%04d%02d", "anio", "mes").alias("periodo"))
+
+
+@query("s12_report_files", sql("header", """SELECT orderkey, CASE WHEN orderkey % 4 = 1 THEN 'recibidos' ELSE lower(origin) END AS origen, CASE WHEN orderkey % 4 = 1 OR orderkey % 2 = 0 THEN 'xml' ELSE 'pdf' END AS formato,
+  CASE WHEN orderkey % 4 = 1 THEN 'factura' ELSE 'nota_credito' END AS tipo_slug, year(fecha)::INTEGER AS anio, month(fecha)::INTEGER AS mes, CASE WHEN orderkey % 4 = 3 THEN day(fecha)::INTEGER END AS dia
+FROM header WHERE orderkey % 7 NOT IN (2, 5)"""))
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """Report files by what their names say; consolidated ones and other files aren't among them."""
+    h, k = bridge.header(spark, d), F.col("orderkey") % 4
+    month = F.date_format("fecha", "yyyyMM")
+    kind = F.when(F.col("orderkey") % 2 == 0, "xml").otherwise("pdf")
+    main = F.concat_ws("_", "origin", F.lit("reporte"), kind, F.lit("nota_credito"), F.when(k == 3, F.date_format("fecha", "yyyyMMdd")).otherwise(month))
+    old = F.concat(F.lit("reporte_factura_"), F.date_format("fecha", "yyyy_MM"), F.when(F.col("orderkey") % 8 == 1, "_2").otherwise(""))
+    folder = F.when(F.col("orderkey") % 7 == 2, "/r/Consolidados/").otherwise("/r/1997/")
+    name = F.when(F.col("orderkey") % 7 == 5, F.concat(F.lit("notas_"), month)).when(k == 1, old).otherwise(main)
+    paths = h.select("orderkey", F.concat(folder, name, F.lit(".xlsx")).alias("path"))
+    return reports.report_files(paths).drop("path")
+
+
+@query("k3_issued_listing", sql("header", """SELECT orderkey, clave AS "CLAVE_ACCESO", CASE WHEN orderkey % 3 != 0 THEN importe::DOUBLE END AS "IMPORTE_TOTAL", CASE WHEN orderkey % 3 = 0 THEN 'por definir' ELSE replace(importe::VARCHAR, '.', ',') END AS "IMPORTE_TOTAL_texto",
+  CASE WHEN orderkey % 4 != 0 THEN fecha::TIMESTAMP + INTERVAL 10 HOUR END AS "FECHA_AUTORIZACION", CASE WHEN orderkey % 4 = 0 THEN 'pendiente' ELSE strftime(fecha, '%d/%m/%Y') || ' 10:00:00' END AS "FECHA_AUTORIZACION_texto" FROM header"""))
+def issued_listing(spark: SparkSession, d: str) -> DataFrame:
+    """K3: amounts and times of a listing as values, with the text beside them; what doesn't convert is not lost."""
+    k = F.col("orderkey")
+    listing = bridge.header(spark, d).select(
+        "orderkey", F.col("clave").alias("CLAVE_ACCESO"), F.when(k % 3 == 0, "por definir").otherwise(F.replace(F.col("importe").cast("string"), F.lit("."), F.lit(","))).alias("IMPORTE_TOTAL"),
+        F.when(k % 4 == 0, "pendiente").otherwise(F.concat(F.date_format("fecha", "dd/MM/yyyy"), F.lit(" 10:00:00"))).alias("FECHA_AUTORIZACION"),
+    )
+    out = reports.typed_beside_text(listing, ["IMPORTE_TOTAL"], ["FECHA_AUTORIZACION"])
+    return out.withColumn("FECHA_AUTORIZACION", F.col("FECHA_AUTORIZACION").cast("timestamp_ntz"))
+
+
 @query("s13_best_match", sql("header", """SELECT orderkey, ruc, nivel FROM (SELECT *, min(nivel) OVER (PARTITION BY ruc) AS mejor FROM (
   SELECT *, CASE WHEN origin = 'Emitidos' AND estado = 'AUTORIZADO' THEN 1 WHEN origin = 'Emitidos' THEN 2 ELSE 3 END AS nivel FROM header))
 WHERE mejor = 3 OR (mejor = 2 AND nivel <= 2) OR (mejor = 1 AND nivel = 1)"""))

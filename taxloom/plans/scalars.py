@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taxloom import catalogs as K
 from taxloom.functions import amounts, dates, keys, text
+from taxloom.operators import textrules
 from taxloom.plans import bridge
 from taxloom.plans.bridge import sql
 from taxloom.plans.queries import query
@@ -137,12 +138,12 @@ def periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("c27_row_keys", sql("header", """SELECT orderkey, CASE orderkey % 3 WHEN 0 THEN clave WHEN 1 THEN 'A' || sec ELSE sec || '|' || fecha::VARCHAR || '|' || ruc END AS clave_fila,
-  CASE WHEN orderkey % 2 = 0 THEN ruc || ' | ' || sec ELSE sec END AS id_fila FROM header"""))
+  CASE WHEN orderkey % 5 = 0 THEN md5(orderkey::VARCHAR) WHEN orderkey % 2 = 0 THEN ruc || ' | ' || sec ELSE sec END AS id_fila FROM header"""))
 def row_keys(spark: SparkSession, d: str) -> DataFrame:
     """Business keys of rows."""
-    k = F.col("orderkey") % 3
+    k, there = F.col("orderkey") % 3, F.col("orderkey") % 5 != 0
     found = keys.row_key([F.when(k == 0, F.col("clave")), F.when(k == 1, F.concat(F.lit("A"), "sec")).otherwise(" ")], F.col("sec"), F.col("fecha").cast("string"), F.col("ruc"))
-    return bridge.header(spark, d).select("orderkey", found.alias("clave_fila"), keys.row_id(F.when(F.col("orderkey") % 2 == 0, F.col("ruc")).otherwise(""), F.col("sec")).alias("id_fila"))
+    return bridge.header(spark, d).select("orderkey", found.alias("clave_fila"), keys.row_id(F.when(there & (F.col("orderkey") % 2 == 0), F.col("ruc")).otherwise(" "), F.when(there, F.col("sec")), otherwise=F.col("orderkey")).alias("id_fila"))
 
 
 _STRIP = "regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'gs'), '&nbsp;', ' ', 'g')"
@@ -195,18 +196,23 @@ def history_display(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("f12_present", sql("header", "SELECT orderkey, ['x', 'No Disponible', 'n/a', '', ' ', 'Sin dato'][orderkey % 6 + 1] = 'x' AS presente, estado IS NULL AS escasa FROM header"))
+@query("f12_present", sql("header", "SELECT orderkey, trim(split_part(c_mktsegment || ',n/a, ,Sin dato,No Disponible,NONE', ',', (orderkey % 6 + 1)::INTEGER)) NOT IN ('n/a', '', 'Sin dato', 'No Disponible', 'NONE') AS presente, estado IS NULL OR custkey % 3 = 0 AS escasa FROM header LEFT JOIN customer ON custkey = c_custkey"))
 def present(spark: SparkSession, d: str) -> DataFrame:
     """whether a value says something, and rows with too few such values."""
-    v = F.get(F.array(*[F.lit(x) for x in ("x", "No Disponible", "n/a", "", " ", "Sin dato")]), (F.col("orderkey") % 6).cast("int"))
-    said = sum(F.when(text.is_present(F.coalesce(F.col(c).cast("string"), F.lit(""))), 1).otherwise(0) for c in ("estado", "origin", "prioridad", "importe"))
-    return bridge.header(spark, d).select("orderkey", text.is_present(v).alias("presente"), (said < 4).alias("escasa"))
+    c = bridge.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    h = bridge.header(spark, d).join(c, F.col("custkey") == F.col("c_custkey"), "left")
+    v = F.split_part(F.concat("c_mktsegment", F.lit(",n/a, ,Sin dato,No Disponible,NONE")), F.lit(","), (F.col("orderkey") % 6 + 1).cast("int"))
+    values = [F.col("estado"), F.col("origin"), F.when(F.col("custkey") % 3 != 0, F.col("prioridad")), F.col("importe").cast("string")]
+    said = sum(F.when(text.is_present(F.coalesce(x, F.lit(""))), 1).otherwise(0) for x in values)
+    return h.select("orderkey", text.is_present(v).alias("presente"), (said < 4).alias("escasa"))
 
 
-@query("f16_guards", sql("header", "SELECT orderkey, CASE WHEN orderkey % 2 = 0 THEN importe::VARCHAR END AS monto, CASE orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Ana' WHEN 2 THEN '' ELSE '' END AS nombre FROM header"))
+@query("f16_guards", sql("header", """SELECT orderkey, CASE WHEN orderkey % 2 = 0 THEN importe::VARCHAR END AS monto, CASE orderkey % 4 WHEN 1 THEN 'Sra. ' || prioridad ELSE '' END AS nombre,
+  orderkey % 3 = 0 AS direccion FROM header"""))
 def guards(spark: SparkSession, d: str) -> DataFrame:
-    """Amounts without digits are blanked; what doesn't look like a name is none."""
+    """Amounts without digits are blanked; what doesn't look like a name or an address is none."""
     shown = F.when(F.col("orderkey") % 2 == 0, F.col("importe").cast("string")).otherwise("--")
     k = F.col("orderkey") % 4
-    name = F.when(k == 0, F.date_format("fecha", "dd/MM/yyyy")).when(k == 1, " Ana ").when(k == 2, "12.5").otherwise("-")
-    return bridge.header(spark, d).select("orderkey", F.when(shown.rlike(r"\d"), shown).alias("monto"), text.party_name(name).alias("nombre"))
+    name = F.when(k == 0, F.date_format("fecha", "dd/MM/yyyy")).when(k == 1, F.concat(F.lit(" Sra. "), "prioridad")).when(k == 2, F.col("importe").cast("string")).otherwise("-")
+    place = F.when(F.col("orderkey") % 3 == 0, F.concat(F.lit("Av. Norte y Calle "), "sec")).otherwise(F.col("clave"))
+    return bridge.header(spark, d).select("orderkey", F.when(shown.rlike(r"\d"), shown).alias("monto"), text.party_name(name).alias("nombre"), textrules.looks_like_address(place).alias("direccion"))

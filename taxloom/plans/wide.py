@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxloom import catalogs as K
-from taxloom.operators import rows, summary
+from taxloom.operators import combine, rows, summary
 from taxloom.plans import star
 from taxloom.plans.queries import query
 from taxloom.plans.star import sql
@@ -266,3 +266,14 @@ def xml_withholdings(spark: SparkSession, d: str) -> DataFrame:
     """Taxes withheld from XML of both versions, with the documents that they rest on."""
     w = xml.withholdings(xml.good(xml.parse(star.xml_documents(spark, d))))
     return w.withColumns({c: F.col(c).cast("double") for c in ("base", "pct", "valor")})
+
+
+_FILLED = {c: _STANDARD.get(c, "0::DOUBLE" if c.startswith(rows.NUMBERS) else "''") for c in _REPORT}
+
+
+@query("k2_conformed_report", sql(_select(_FILLED)))
+def conformed_report(spark: SparkSession, d: str) -> DataFrame:
+    """The standard row as a report of all 52 columns: text and number columns as such, missing ones filled."""
+    docs = star.documents(spark, d)
+    wanted = rows.report_schema(rows.report_row(docs).columns)
+    return combine.conform(rows.standard_row(docs), wanted, {c: 0 if k == "double" else "" for c, k in wanted.items()})

@@ -6,25 +6,89 @@ import datetime
 import re
 from calendar import monthrange
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxloom.functions import amounts, dates
+from taxloom.functions.text import fold
 from taxloom.operators.combine import union_all
 
 ALWAYS = ["cabecera", "detalle", "impuestos", "pagos"]
 PARTITIONS = ["origen", "estado_ruta", "cod_doc", "anio", "mes"]
 
-# Titles of report columns that aren't their own words in title case.
+# Titles of report columns; other columns get their words.
 TITLES = {
-    "clave_acceso": "Clave de acceso",
-    "codigo_documento": "Codigo del documento",
-    "punto_emision": "Punto de emision",
-    "ruc_emisor": "RUC del emisor",
-    "fecha_emision": "Fecha de emision",
-    "importe_total": "Importe total",
-    "base_gravada": "Base gravada",
-    "tarifas_iva": "Tarifas IVA",
+    "CONSULTA_ID": "ID de consulta",
+    "FECHA_EJECUCION": "Fecha y hora de ejecucion",
+    "RANGO_FECHAS": "Rango de fechas consultado",
+    "TOTAL_DOCUMENTOS": "Total de documentos",
+    "ARCHIVO_XML": "Archivo XML",
+    "RUTA_XML": "Ruta del archivo XML",
+    "COD_DOC": "Codigo del documento",
+    "DESCRIPCION_DOC": "Descripcion del comprobante",
+    "CLAVE_ACCESO": "Clave de acceso",
+    "SERIE_COMPROBANTE": "Serie del comprobante",
+    "ESTADO_AUTORIZACION": "Estado de autorizacion",
+    "NUMERO_AUTORIZACION": "Numero de autorizacion",
+    "FECHA_AUTORIZACION": "Fecha de autorizacion",
+    "AMBIENTE": "Ambiente",
+    "ESTAB": "Establecimiento",
+    "PTO_EMI": "Punto de emision",
+    "SECUENCIAL": "Secuencial",
+    "RUC_EMISOR": "RUC del emisor",
+    "RAZON_SOCIAL_EMISOR": "Razon social del emisor",
+    "NOMBRE_COMERCIAL_EMISOR": "Nombre comercial del emisor",
+    "DIR_MATRIZ": "Direccion de la matriz",
+    "DIR_ESTABLECIMIENTO": "Direccion del establecimiento",
+    "TIPO_IDENTIFICACION_COMPRADOR": "Tipo de identificacion del receptor",
+    "IDENTIFICACION_COMPRADOR": "Identificacion del receptor",
+    "RAZON_SOCIAL_COMPRADOR": "Nombre o razon social del receptor",
+    "DIRECCION_COMPRADOR": "Direccion del receptor",
+    "FECHA_EMISION": "Fecha de emision",
+    "TOTAL_SIN_IMPUESTOS": "Total sin impuestos",
+    "TOTAL_DESCUENTO": "Total de descuentos",
+    "IMPORTE_TOTAL": "Importe total",
+    "MONEDA": "Moneda",
+    "MOTIVO": "Motivo",
+    "VALOR_MODIFICACION": "Valor de la modificacion",
+    "VALOR_TOTAL": "Valor total",
+    "TOTAL_RETENIDO": "Total retenido",
+    "PERIODO_FISCAL": "Periodo fiscal",
+    "EJERCICIO_FISCAL": "Ejercicio fiscal",
+    "LINE_NUM": "Numero de linea",
+    "CODIGO_PRINCIPAL": "Codigo principal",
+    "DESCRIPCION": "Descripcion del item",
+    "CANTIDAD": "Cantidad",
+    "PRECIO_UNITARIO": "Precio unitario",
+    "PRECIO_TOTAL_SIN_IMPUESTO": "Precio total sin impuestos",
+    "CENTRO_COSTO": "Centro de costo",
+    "CTA_CONTABLE": "Cuenta contable",
+    "NIVEL": "Nivel del impuesto",
+    "CODIGO": "Codigo del impuesto",
+    "CODIGO_PORCENTAJE": "Codigo de porcentaje",
+    "TARIFA": "Tarifa",
+    "BASE_IMPONIBLE": "Base imponible",
+    "VALOR": "Valor del impuesto",
+    "PAGO_NUM": "Numero de pago",
+    "FORMA_PAGO": "Forma de pago (codigo)",
+    "FORMA_PAGO_DESC": "Descripcion de la forma de pago",
+    "PLAZO": "Plazo",
+    "UNIDAD_TIEMPO": "Unidad de tiempo",
+    "TIPO_IMPUESTO": "Tipo de impuesto",
+    "CODIGO_RETENCION": "Codigo de retencion",
+    "PORCENTAJE_RETENER": "Porcentaje a retener",
+    "VALOR_RETENIDO": "Valor retenido",
+    "DOC_SUSTENTO_TIPO": "Tipo del documento de sustento",
+    "DOC_SUSTENTO_ESTAB": "Establecimiento del documento de sustento",
+    "DOC_SUSTENTO_PTO": "Punto de emision del documento de sustento",
+    "DOC_SUSTENTO_SECUENCIAL": "Secuencial del documento de sustento",
+    "FECHA_EMISION_DOC_SUSTENTO": "Fecha del documento de sustento",
+    "ERROR": "Descripcion del error",
 }
+# Names of taxes, of a tax column's part, and of a payment column's part.
+TAX_NAMES = {"IVA": "Impuesto al valor agregado", "ICE": "Impuesto a los consumos especiales", "IRBPNR": "Impuesto redimible a las botellas plasticas no retornables"}
+TAX_PARTS = {"BASE": "base imponible", "VALOR": "valor", "TARIFA": "tarifa", "CODIGO_PORCENTAJE": "codigo de porcentaje"}
+PAYMENT_PARTS = {"FORMA_PAGO": "Forma de pago", "TOTAL_PAGO": "Monto del pago", "PLAZO": "Plazo del pago", "UNIDAD_TIEMPO": "Unidad de tiempo del pago"}
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> list[str]:
@@ -59,22 +123,50 @@ def find_reports(reports: DataFrame, **wanted: str | int | None) -> DataFrame:
 def best_match(reports: DataFrame, by: str, origin: str, status: str, origin_col: str = "origin", status_col: str = "estado") -> DataFrame:
     """For each ``by``, the rows of the most specific place that has any: origin and status, else origin, else all."""
     hit = F.when((F.col(origin_col) == origin) & (F.col(status_col) == status), 1).when(F.col(origin_col) == origin, 2).otherwise(3)
-    ranked = reports.withColumn("nivel", hit).withColumn("_best", F.min("nivel").over(Window.partitionBy(by)))
-    return ranked.filter(F.when(F.col("_best") == 3, True).when(F.col("_best") == 2, F.col("nivel") <= 2).otherwise(F.col("nivel") == 1)).drop("_best")
+    ranked = reports.withColumn("nivel", hit)
+    best = ranked.groupBy(by).agg(F.min("nivel").alias("_best"))  # combined before it is exchanged; a large ``by`` can be split
+    return ranked.join(best, by).filter("nivel <= _best").drop("_best").select(*ranked.columns)
+
+
+def report_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """What the names of report files say: origin, format, type and period; files in a folder of consolidated ones go.
+
+    Names are ``<origin>_reporte_<format>_<type>_<period>`` or ``reporte_<type>_<year>_<month>``, which is of received XML; a
+    copy has a number behind the period. Other files aren't reports.
+    """
+    folder = F.transform(F.split(path, "/"), lambda x: F.lower(fold(x)))
+    main = r"(?i)(?:^|/)(recibidos|emitidos)_reporte_(xml|pdf)_(.+?)_(\d{6,8})(?:_\d+)?\.[a-z]+$"
+    old = r"(?i)(?:^|/)reporte_(.+?)_(\d{4})_(\d{2})(?:_\d+)?\.[a-z]+$"
+
+    def group(pattern: str, i: int) -> Column:
+        return F.nullif(F.lower(F.regexp_extract(path, pattern, i)), F.lit(""))
+
+    named = paths.filter(~F.array_contains(folder, "consolidados") & (F.col(path).rlike(main) | F.col(path).rlike(old))).withColumns({
+        "origen": F.coalesce(group(main, 1), F.lit("recibidos")), "formato": F.coalesce(group(main, 2), F.lit("xml")), "tipo_slug": F.coalesce(group(main, 3), group(old, 1)),
+        "_token": F.coalesce(group(main, 4), F.concat(group(old, 2), group(old, 3))),
+    })
+    dated = named.withColumn("_when", dates.period(F.col("_token")))
+    out = dated.select(*[c for c in named.columns if c != "_token"], F.col("_when.year").alias("anio"), F.col("_when.month").alias("mes"), F.col("_when.day").alias("dia"))
+    return out.filter("anio is not null")
+
+
+def typed_beside_text(df: DataFrame, numbers: list[str], times: list[str]) -> DataFrame:
+    """Amounts and times as values, each with its text beside it (``_texto``), so that what doesn't convert isn't lost."""
+    typed = {c: amounts.decimal(F.col(c), "decimal(18,2)").cast("double") for c in numbers} | {c: dates.timestamp(F.col(c)) for c in times}
+    return df.select(*[x for c in df.columns for x in ([typed[c].alias(c), F.col(c).alias(f"{c}_texto")] if c in typed else [F.col(c)])])
 
 
 def title(name: str) -> str:
     """A column's title: from the dictionary, from the patterns of pivoted columns, else its words in title case."""
-    if name in TITLES:
-        return TITLES[name]
-    if m := re.fullmatch(r"FORMA_PAGO_(\d+)", name):
-        return f"Forma de pago {m[1]}"
-    if m := re.fullmatch(r"TOTAL_PAGO_(\d+)", name):
-        return f"Total del pago {m[1]}"
-    if m := re.fullmatch(r"(IVA)_(\d+)_(BASE|VALOR)", name):
-        return f"{'Base' if m[3] == 'BASE' else 'Valor'} IVA {m[2]}%"
-    if m := re.fullmatch(r"IMP_(\w+?)_(\w+)_(BASE|VALOR)", name):
-        return f"{'Base' if m[3] == 'BASE' else 'Valor'} impuesto {m[1]}-{m[2]}"
+    key = name.upper()
+    if key in TITLES:
+        return TITLES[key]
+    if m := re.fullmatch(rf"({'|'.join(PAYMENT_PARTS)})_(\d+)", key):
+        return f"{PAYMENT_PARTS[m[1]]} {m[2]}"
+    if m := re.fullmatch(rf"({'|'.join(TAX_NAMES)})(?:_(\d{{1,3}}))?_({'|'.join(TAX_PARTS)})", key):
+        return f"{TAX_NAMES[m[1]]}{f' {m[2]}%' if m[2] else ''} {TAX_PARTS[m[3]]}"
+    if m := re.fullmatch(r"IMP_(\w+?)_(\w+)_(BASE|VALOR)", key):
+        return f"Impuesto codigo {m[1]} porcentaje {m[2]} {TAX_PARTS[m[3]]}"
     return name.replace("_", " ").strip().capitalize()
 
 
