@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import gc
 import re
 import shutil
 import tempfile
@@ -52,7 +53,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`stored` wrote, once all that was made of it is stored or checkpointed."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files, and where it is set so the checkpoints, of frames that are gone.
+
+    It drops them once the driver's collectors have found the frames, which a driver with little to do may put off for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def new_name(df: DataFrame, stem: str) -> str:

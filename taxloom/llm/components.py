@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.common import cut
+from taxloom.llm.common import cut, tidy
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,4 +40,5 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _settled(now):
         now = cut(_small_star(_large_star(now)))
+        tidy(edges.sparkSession)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.common import cut, shuffle_partitions, stored
+from taxloom.llm.common import cut, discard, shuffle_partitions, stored
 
 DEPTH = 3
 HELD_LINES = 2000
@@ -207,6 +207,7 @@ def drop_recurring_lines(
     by_template = again.select("id", "mark", "pos", "m").join(found, "m").select("id", "mark", "pos", "template", F.lit(int(min_docs)).alias("least"))
     in_full = again.filter("full is not null").select("id", "mark", "pos", F.xxhash64("full", F.lit("full")).alias("template"), F.lit(min(2, int(min_docs))).alias("least"))
     used = cut(by_template.unionByName(in_full))
+    discard(again)
     users = used.select("template", "least", "id").distinct().groupBy("template", "least").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     recurring = cut(users.filter("n >= least").select("template", "least", "first"))  # by itself, so that a join with a hot template can be split
     few = recurring.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

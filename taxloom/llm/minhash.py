@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.common import cut, stored
+from taxloom.llm.common import cut, discard, stored, tidy
 from taxloom.llm.components import components
 from taxloom.llm.shingles import Minima, shingle_set
 
@@ -192,7 +192,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
 
     labelled = _labelled(_labelled(members, found, "id", "component"), found, "low", "low_component")
     stars = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    found = components(stars.unionByName(_rest(labelled, found, sigs, sets, least, percent)))
+    found = cut(components(stars.unionByName(_rest(labelled, found, sigs, sets, least, percent))))
+    discard(sets)
+    tidy(docs.sparkSession)
 
     named = _labelled(classes, found, "rep", "component_id").select("class", "component_id")
     rows = signed.select("id", "n_shingles", "class")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxloom.llm.archives import PAGE_HEADER, arc_file, arc_record, arc_records, digest, header_value, record_id, split_http, warc_date, warc_record, warc_records
-from taxloom.llm.common import cut, own_dir, stored
+from taxloom.llm.common import cut, discard, own_dir, stored
 
 SEGMENT = 1 << 20
 FILE_BYTES = 1 << 24
@@ -175,6 +175,7 @@ def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int =
     path = path or f"{own_dir(spark)}/warc-{uuid.uuid4().hex}"
     records = stored(convert(pages_to_arc(pages)), "arc-records")
     write_warc(records, revisits(records, least_bytes, kind), path)
+    discard(records)
     back = cut(read_warc(spark, path, with_payload=False))
     first = back.filter("record_type != 'revisit'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").cast(kind).alias("refers_to")).distinct()
     joined = back.join(first, "refers_to_record", "left")
