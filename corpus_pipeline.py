@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxloom.llm import langid, lines, minhash, mixing, pieces
-from taxloom.llm.common import cut, shuffle_partitions, stored
+from taxloom.llm.common import cut, discard, shuffle_partitions, stored
 
 LEAST_SCORE = 0.5
 BROADCAST_ROWS = 100_000
@@ -96,8 +96,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result but the last is written to the shared folder and read again."""
+    """Apply the stages to ``documents``; each result but the last is written to the shared folder and read again.
+
+    A stage's result is deleted once the next one is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
