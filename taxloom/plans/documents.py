@@ -150,13 +150,13 @@ def text_documents(spark: SparkSession, d: str) -> DataFrame:
 @query("x1_text_records", sql("header", """SELECT orderkey AS doc_id, cod_doc, clave AS clave_acceso, ruc, estab || '-' || pto || '-' || sec AS numero, strftime(fecha, '%d/%m/%Y') AS fecha_emision, importe::DOUBLE AS importe_total,
   'PRODUCCIÓN' AS ambiente, 'SI' AS obligado FROM header"""))
 def text_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records from printed forms by rule cascades."""
+    """Part of X1, C13, C31, C35: records from printed forms by rule cascades."""
     return textrules.records(text_documents(spark, d))
 
 
 @query("x2_tax_rows", sql("header", "SELECT orderkey AS doc_id, 'IVA' AS impuesto, importe::DOUBLE AS base, 30.0::DOUBLE AS pct, round(importe * 0.3, 2)::DOUBLE AS valor FROM header"))
 def text_tax_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Withheld taxes from lines of text."""
+    """Part of X2: withheld taxes from lines of text."""
     return textrules.tax_rows(textrules.text_lines(text_documents(spark, d))).drop("line")
 
 
@@ -175,7 +175,7 @@ def numbers_near(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x11_addresses", sql("header", "SELECT orderkey AS doc_id, 'Av. ' || prioridad || ' y Calle ' || estab AS value FROM header"))
 def addresses(spark: SparkSession, d: str) -> DataFrame:
-    """The address nearest to its label."""
+    """Part of X11, F18: the address nearest to its label."""
     return textrules.addresses(textrules.text_lines(text_documents(spark, d)))
 
 
