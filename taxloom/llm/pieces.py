@@ -20,6 +20,7 @@ SEPARATOR = 0x110000
 CACHE = 60_000
 BATCH = 1 << 17
 GROUP = 1 << 20
+IDS = 1 << 18
 UNKNOWN, START, NONE = -1, -2, -3
 
 
@@ -55,8 +56,14 @@ class Codec:
         self.string = {i: s for s, i in self.pieces.items()}
         self.patterns = Patterns(strings)
         self.ids = np.array(self.ids, np.int32)
+        self.lengths = np.array([len(s) for s in strings], np.int32)
         apart = all(SPACE not in s.lstrip(SPACE) and "\n" not in s for s in strings)  # no piece crosses a word's start
+        self.apart = apart
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if apart else "(?s).+")
+        size = [len(x) for x in self.text]
+        self.text_size = np.array(size, np.int64)
+        self.text_start = np.cumsum(self.text_size) - self.text_size
+        self.text_bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.histories: dict[int, list[tuple] | None] = {}
         self.table = np.zeros(1 << 20, np.int64)
         self.known: dict[str, bytes] = {}
@@ -125,7 +132,7 @@ class Codec:
         codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.int32).copy()
         codes[ends] = SEPARATOR
         start, which = occurrences(codes, self.patterns)
-        length, piece = self.patterns.length[which], self.ids[which]
+        length, piece = self.lengths[which], self.ids[which]
         single = np.zeros(len(codes), bool)
         single[start[length == 1]] = True
         lone = np.flatnonzero(~single & (codes != SEPARATOR)).astype(np.int32)
@@ -174,7 +181,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text. Words seen before are looked up; new ones are matched together, in bounded batches."""
-        split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        split = [self._split(t) if t else [] for t in texts]
         if len(self.known) > CACHE:  # words that aren't met again until the next time are forgotten
             self.known, self.older = {}, self.known
         new, size = [], 0
@@ -194,10 +201,29 @@ class Codec:
         find = self.known.__getitem__
         return [np.frombuffer(b"".join(map(find, words)), np.int32) for words in split]
 
+    def _split(self, text: str) -> list[str]:
+        """The text's words, each with the spaces before it, and its line ends; by plain replacements where neither repeats."""
+        marked = SPACE + text.replace(" ", SPACE)
+        if not self.apart or SPACE + SPACE in marked or "\n\n" in marked or "\0" in marked:
+            return self.words.findall(marked)
+        return list(filter(None, marked.replace(SPACE, "\0" + SPACE).replace("\n", "\0\n\0").split("\0")))
+
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Texts of rows of ids that stand one after the other, without the space that encoding puts first.
+
+        Broken UTF-8 becomes U+FFFD.
+        """
+        size = self.text_size[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.text_start[ids] - (ends - size), size)
+        data = self.text_bytes[at].tobytes()
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(stops[:-1], stops[1:], strict=True)]
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
     def decode(self, ids: list[int]) -> str:
-        """Text of ids, without the space that encoding puts first; broken UTF-8 becomes U+FFFD."""
-        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        """The text of one row of ids."""
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 _codecs: dict[int, Codec] = {}
@@ -266,10 +292,14 @@ def decode(encoded: DataFrame, model: str = MODEL, pieces_col: str = "pieces", o
     def run(batches):
         tool = codec(proto)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [None if x is None else tool.decode(x) for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *part.columns[1:]], names=["pieces", "text", *part.schema.names[1:]])
+            sizes = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+            for part in _groups(batch, sizes, IDS) if batch.num_rows else ():
+                rows = part.column(0)
+                own = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+                texts = tool.decode_all(rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64), own)
+                there = rows.is_valid().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string(), mask=~there), *part.columns[1:]], names=["pieces", "text", *part.schema.names[1:]])
+        give_back()
 
     schema = ", ".join(["pieces array<int>, text string", *(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])])
     out = narrow.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ def suffix_array(key: np.ndarray, width: int, depth: int) -> np.ndarray:
     ``key`` orders them by their first ``width`` symbols.
     """
     n = len(key)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     while width < depth and width < n:
         ordered = key[order]
         rank = np.empty(n, np.int64)
@@ -37,20 +37,30 @@ def suffix_array(key: np.ndarray, width: int, depth: int) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[:-width] = rank[width:]
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         width *= 2
     return order
 
 
 class Patterns:
-    """Strings to search for, as a padded matrix of code points."""
+    """Strings to search for, in order of their code points, as a padded matrix; ``place`` says which one a row is."""
 
     def __init__(self, strings: list[str]):
-        self.length = np.array([len(s) for s in strings], np.int32)
+        self.place = np.array(sorted(range(len(strings)), key=strings.__getitem__), np.int32)
+        self.length = np.array([len(strings[i]) for i in self.place], np.int32)
         self.depth = int(self.length.max(initial=0))
         self.codes = np.zeros((len(strings), self.depth), np.int32)
-        for i, s in enumerate(strings):
-            self.codes[i, : len(s)] = [ord(c) for c in s]
+        for k, i in enumerate(self.place):
+            self.codes[k, : self.length[k]] = [ord(c) for c in strings[i]]
+        self.inside = np.arange(self.depth) < self.length[:, None]
+        self.rank = np.zeros(0x110001, np.int32)
+
+    def ranked(self, alphabet: np.ndarray) -> np.ndarray:
+        """The strings' symbols as ranks in an alphabet, from 1; 0 where a string has ended, -1 for a symbol that isn't in it."""
+        self.rank[alphabet] = np.arange(1, len(alphabet) + 1)
+        found = self.rank[self.codes]
+        self.rank[alphabet] = 0
+        return np.where(self.inside, np.where(found > 0, found, -1), 0)
 
 
 def _bound(codes: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: int, symbol: np.ndarray, after: bool) -> np.ndarray:
@@ -76,16 +86,14 @@ def occurrences(codes: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.n
     alphabet, key, per, bits = packed(codes)
     order = suffix_array(key, per, patterns.depth)
     held = key[order]
-    place = np.searchsorted(alphabet, patterns.codes)
-    place[place == len(alphabet)] = 0
-    inside = np.arange(patterns.depth) < patterns.length[:, None]
-    able = np.flatnonzero(((alphabet[place] == patterns.codes) | ~inside).all(axis=1))
+    ranked = patterns.ranked(alphabet)
+    able = np.flatnonzero((ranked >= 0).all(axis=1))
     length = patterns.length[able]
     low = np.zeros(len(able), np.int64)
     for i in range(per):
         low <<= bits
         if i < patterns.depth:
-            low |= np.where(inside[able, i], place[able, i] + 1, 0)
+            low |= ranked[able, i]
     high = low + (np.int64(1) << (bits * np.maximum(per - length, 0)).astype(np.int64))
     lo, hi = np.searchsorted(held, low), np.searchsorted(held, high)
     padded = np.concatenate([codes, np.full(patterns.depth + 1, -1, codes.dtype)])
@@ -96,6 +104,6 @@ def occurrences(codes: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.n
         hi[live] = _bound(padded, order, first, hi[live], at, symbol, True)
         lo[live] = first
     count = hi - lo
-    found = np.repeat(able.astype(np.int32), count)
+    found = np.repeat(patterns.place[able], count)
     first = np.cumsum(count) - count
     return order[np.arange(len(found)) - np.repeat(first - lo, count)].astype(np.int32), found
