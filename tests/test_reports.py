@@ -28,7 +28,7 @@ def test_partitions_are_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(origen" in found._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize(("name", "title"), [("clave_acceso", "Clave de acceso"), ("FORMA_PAGO_2", "Forma de pago 2"), ("IVA_12_BASE", "Base IVA 12%"), ("IMP_9_1_VALOR", "Valor impuesto 9-1"), ("otra_cosa", "Otra cosa")])
+@pytest.mark.parametrize(("name", "title"), [("clave_acceso", "Clave de acceso"), ("FORMA_PAGO_2", "Forma de pago 2"), ("IVA_12_BASE", "Impuesto al valor agregado 12% base imponible"), ("ICE_VALOR", "Impuesto a los consumos especiales valor"), ("IMP_9_1_VALOR", "Impuesto codigo 9 porcentaje 1 valor"), ("UNIDAD_TIEMPO_3", "Unidad de tiempo del pago 3"), ("otra_cosa", "Otra cosa")])
 def test_titles(name, title):
     assert reports.title(name) == title
 
@@ -71,3 +71,23 @@ def test_streams_read_a_folder_in_any_order(spark, sf, tmp_path):
     wanted = sorted(map(tuple, events.groupBy("user_id").agg(F.min("ts")).collect()))
     assert sorted(map(tuple, documents.unseen_users(spark, str(tmp_path)).collect())) == wanted
     assert documents.daily_counters(spark, str(tmp_path)).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_payment_pivot(spark):
+    from taxloom.operators import summary
+
+    rows = [("a", i, f"0{i % 10}", float(i), f"{i}0", "dias") for i in range(1, 14)] + [("b", 1, "20", 5.0, None, None)]
+    found = {r.clave: r for r in summary.payment_pivot(spark.createDataFrame(rows, "clave string, pago_num int, forma_pago string, pago double, plazo string, unidad_tiempo string")).collect()}
+    assert [found["a"][f"TOTAL_PAGO_{i}"] for i in range(1, 14)] == [float(i) for i in range(1, 14)] and found["a"].N_PAGOS == 13
+    assert (found["a"].FORMA_PAGO_13, found["a"].PLAZO_13, found["a"].UNIDAD_TIEMPO_13) == ("03", "130", "dias")
+    assert (found["b"].FORMA_PAGO_1, found["b"].TOTAL_PAGO_1, found["b"].PLAZO_1, found["b"].FORMA_PAGO_2) == ("20", 5.0, None, None)
+
+
+def test_fallback_in_one_pass(spark):
+    from taxloom.operators import combine
+
+    schema = "clave string, ruta string"
+    main = spark.createDataFrame([("a", "1"), ("a", "2"), ("", "3"), (None, "4")], schema)
+    other = spark.createDataFrame([("a", "5"), ("b", "7"), ("b", "6"), (" ", "8"), ("", "9"), (None, "10")], schema)
+    found = sorted(r.ruta for r in combine.with_fallback(main, other, "clave", "ruta").collect())
+    assert found == sorted(["1", "2", "3", "4", "6", "8", "9", "10"])
