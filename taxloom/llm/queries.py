@@ -15,26 +15,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, score and runs of every text, by a CRF that learns from the documents that aren't held out.
+
+    Null texts and texts without a letter are 'und' with score 0; repeated and null ids keep their rows.
+    """
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes; nulls have one byte, repeated and null ids keep their rows."""
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its lines of recurring templates; null texts and rows without an id stay as they are."""
     return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 2-word shingles are alike by 0.8; texts without words and null ids are alone."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the copy with the largest id; null texts are empty ones, a null id stays only among null ids."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's slot in the Pfair schedule of its source; null sources are one, repeated rows each have a place."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
@@ -47,15 +56,18 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC and WARC files and back; null html is an empty payload, repeated ids are records of their own."""
     found = warc.archive_pages(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited form, and their likeness; null texts are empty ones."""
     return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base spans and those that boosted trees add; null texts have none."""
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
@@ -86,7 +98,8 @@ placed AS (
   SELECT doc_id, size, text, mark,
     (sum(size) OVER w - size)::BIGINT AS byte_offset, row_number() OVER w AS n, (sum(size) OVER ())::BIGINT AS total
   FROM docs WINDOW w AS (ORDER BY mark, doc_id ROWS UNBOUNDED PRECEDING)),
-sharded AS (SELECT *, (byte_offset * 16 // total)::INTEGER AS shard FROM placed),
+grouped AS (SELECT *, min(byte_offset) OVER (PARTITION BY text) AS start, (sum(size) OVER (PARTITION BY text))::BIGINT AS bytes FROM placed),
+sharded AS (SELECT *, (CASE WHEN bytes * 1600 <= total THEN start ELSE byte_offset END * 16 // total)::INTEGER AS shard FROM grouped),
 hexed AS (SELECT DISTINCT text, hex(encode(text)) AS h FROM docs),
 summed AS (
   SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2),

@@ -22,7 +22,15 @@ def test_shards(spark, odd, none):
     for r in rows:
         assert r.byte_offset == at
         at += r["size"]
-    assert all(r.shard == r.byte_offset * 4 // at for r in rows)
+    start, size = {}, Counter()
+    text = {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())): t or "" for i, t, _, _ in ODD}
+    for r in rows:
+        t = text[r.doc_id, r["size"], r.text_crc32]
+        start.setdefault(t, r.byte_offset)
+        size[t] += r["size"]
+    for r in rows:
+        t = text[r.doc_id, r["size"], r.text_crc32]
+        assert r.shard == (start[t] if size[t] * 400 <= at else r.byte_offset) * 4 // at
     for s in {r.shard for r in rows}:
         assert [r.slot for r in rows if r.shard == s] == list(range(sum(r.shard == s for r in rows)))
     assert sharding.shard_by_bytes(none).collect() == []
@@ -34,7 +42,23 @@ def test_shards_are_even(spark, sf):
     sizes = Counter()
     for r in got:
         sizes[r.shard] += r["size"]
-    assert len(sizes) == 16 and all(abs(v - total / 16) <= most for v in sizes.values())
+    assert len(sizes) == 16 and all(abs(v - total / 16) <= most + total / 1600 for v in sizes.values())
+
+
+def test_groups_stay_whole(spark):
+    """Small groups of equal texts are in one shard each; a large one is divided evenly."""
+    rows = [f"text {i // 3}" for i in range(6000)] + ["copy"] * 3000
+    got = sharding.shard_by_bytes(table(spark, [(i, t, "en", "a") for i, t in enumerate(rows)]).repartition(5)).collect()
+    where = {}
+    for r in got:
+        where.setdefault(rows[r.doc_id], set()).add(r.shard)
+    assert all(len(v) == 1 for t, v in where.items() if t != "copy") and len(where["copy"]) > 4
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 16 + 40
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
 @pytest.mark.parametrize("keep", ["max", "min"])
