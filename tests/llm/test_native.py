@@ -133,12 +133,21 @@ def test_fit_learns_what_base_misses(spark):
     def digits(n):
         return "".join(r.choice("0123456789") for _ in range(n))
 
+    def card(n):
+        body = digits(n - 1)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    def wrong(n):
+        good = card(n)
+        return good[:-1] + str((int(good[-1]) + 1) % 10)
+
     rows = []
     for i in range(600):
+        rows += [f"credit card {card(15)} now", f"credit card {wrong(15)} now", f"number {card(15)} now", f"number {digits(15)} now"]
         name = "".join(r.choice("abcdefgh") for _ in range(6))
         rows += [f"reach {name} (at) host{i} (dot) org now", f"see {name} (at) noon today", f"mail {name}@host.org", f"phone 0{digits(2)} {digits(3)} {digits(4)} now", f"order 0{digits(2)} {digits(3)} {digits(4)} now"]
     docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(rows)])
     model = pii.fit(docs)
-    texts = ["reach ann (at) mail (dot) org now", "phone 020 555 0199 now", "order 020 555 0199 now", "see ann (at) noon today"]
+    texts = ["reach ann (at) mail (dot) org now", "phone 020 555 0199 now", "order 020 555 0199 now", "see ann (at) noon today", "credit card 378282246310005 now", "credit card 378282246310006 now", "number 378282246310005 now"]
     found = {x.doc_id: x.spans for x in pii.find_personal_data(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), model).collect()}
-    assert found == {0: "email:6:29", 1: "phone:6:18", 2: "", 3: ""}
+    assert found == {0: "email:6:29", 1: "phone:6:18", 2: "", 3: "", 4: "card:12:27", 5: "", 6: ""}
