@@ -45,6 +45,7 @@ TYPE_ORDER = {
     "retencion": (6, "Retencion"),
     "retenciones": (6, "Retencion"),
 }
+# Rate codes with and without a tax, and the words of reports for what is missing.
 TAXED_RATES = ["2", "3", "4", "5"]
 UNTAXED_RATES = ["0", "6", "7"]
 MISSING = "No Disponible"

@@ -359,3 +359,29 @@ def issued_withholding_row(docs: DataFrame, key: str = "orderkey") -> DataFrame:
         for i in (1, 2):
             columns[f"Impuesto_Ret_{tax}_{i}"] = F.when(n >= i, word).otherwise("")
     return docs.select(key, *[v.alias(c) for c, v in columns.items()])
+
+
+# Text columns of issued rows that are empty by default, not the word for missing; and other defaults.
+EMPTY_IN_NOTES = [
+    "Estado", "Número de Autorización", "Fecha de Autorización", "Ambiente", "Razón Social Emisor", "Tipo Emisión", "Código del Documento", "Establecimiento", "Punto de Emisión", "Secuencial", "Dirección Matriz", "RUC Emisor",
+    "Clave de Acceso", "Fecha de Emisión", "Descripciones", "Tarifas IVA",
+]
+OTHER_DEFAULTS = {"Descripciones": "", "Tarifas IVA": "0%"}
+SAID_IN_WITHHOLDINGS = ["nombreComercial", "numeroContribuyenteEspecial", "numeroAgenteRetencion", "informacionAdicional"]
+WITHHOLDING_DEFAULTS = {"Impuesto_Ret_IVA": K.NOT_APPLICABLE, "Impuesto_Ret_IR": K.NOT_APPLICABLE, "tipoDocumento": "Retencion"}
+
+
+def default_row(kind: str, columns: list[str]) -> dict[str, object]:
+    """The values of an issued row ('factura', 'nota' or 'retencion') of a document of which nothing could be read."""
+    texts = {
+        "factura": {c: OTHER_DEFAULTS.get(c, K.MISSING) for c in columns},
+        "nota": {c: "" if c in EMPTY_IN_NOTES else K.MISSING for c in columns},
+        "retencion": {c: WITHHOLDING_DEFAULTS.get(c, K.MISSING if c in SAID_IN_WITHHOLDINGS else "") for c in columns},
+    }[kind]
+    return {c: 0 if t == "double" else texts[c] for c, t in report_schema(columns).items()}
+
+
+def default_rows(documents: DataFrame, key: str, kind: str, columns: list[str]) -> DataFrame:
+    """A default row for each of the documents."""
+    types = report_schema(columns)
+    return documents.select(key, *[F.lit(v).cast(types[c]).alias(c) for c, v in default_row(kind, columns).items()])

@@ -50,35 +50,27 @@ def joined_texts(lines: DataFrame, text: str = "descripcion", place: str = "line
     return lines.filter(F.trim(text) != "").groupBy(key).agg(F.array_join(F.transform(ordered, lambda s: s[text]), separator).alias("descripciones"))
 
 
-def withheld_slots(withholdings: DataFrame, code: str, name: str, key: str = "orderkey") -> DataFrame:
-    """Summary and two details of one withheld tax.
+def withheld_slots(withholdings: DataFrame, taxes: dict[str, str], key: str = "orderkey") -> DataFrame:
+    """Summary and two details of each withheld tax (``taxes``: code to name), from one aggregation.
 
     One line is both summary and first detail; more lines are summed up as 'Varios' with rate 0, and the first two are
-    details. Documents without a line of the tax aren't in the result; :func:`fill_slots` gives them zeros.
+    details. Without a line of a tax there are zeros and 'No Aplica'; :func:`fill_slots` does that for documents without
+    any line.
     """
-    rows = F.array_sort(F.collect_list(F.struct("line_num", "base", "pct", "valor")))
-    agg = withholdings.filter(F.col("codigo") == code).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("base").alias("sb"), F.sum("valor").alias("sv"), rows.alias("rows"))
-    one = F.get("rows", F.lit(0))
-    two = F.get("rows", F.lit(1))
-    many = F.col("n") > 1
-    zero = F.lit(0.0)
-    return agg.select(
-        key,
-        F.col("sb").cast("double").alias(f"{name}_base"),
-        F.when(many, "Varios").otherwise(name).alias(f"{name}_impuesto"),
-        F.when(many, zero).otherwise(one["pct"].cast("double")).alias(f"{name}_pct"),
-        F.col("sv").cast("double").alias(f"{name}_valor"),
-        one["base"].cast("double").alias(f"{name}_base_1"),
-        one["pct"].cast("double").alias(f"{name}_pct_1"),
-        one["valor"].cast("double").alias(f"{name}_valor_1"),
-        F.coalesce(two["base"].cast("double"), zero).alias(f"{name}_base_2"),
-        F.coalesce(two["pct"].cast("double"), zero).alias(f"{name}_pct_2"),
-        F.coalesce(two["valor"].cast("double"), zero).alias(f"{name}_valor_2"),
-    )
+    row, aggs, out = F.struct("line_num", *[F.col(c).cast("double").alias(c) for c in ("base", "pct", "valor")]), [], []
+    for code, name in taxes.items():
+        own = F.col("codigo") == code
+        aggs += [F.sum(F.when(own, F.col(c))).cast("double").alias(f"{name}_{c}") for c in ("base", "valor")]
+        aggs.append(F.array_sort(F.collect_list(F.when(own, row))).alias(f"{name}_rows"))
+        n, first = F.size(f"{name}_rows"), F.get(f"{name}_rows", F.lit(0))
+        out += [F.when(n == 0, K.NOT_APPLICABLE).when(n > 1, "Varios").otherwise(name).alias(f"{name}_impuesto"), F.when(n == 1, first["pct"]).otherwise(0.0).alias(f"{name}_pct")]
+        out += [F.coalesce(f"{name}_{c}", F.lit(0.0)).alias(f"{name}_{c}") for c in ("base", "valor")]
+        out += [F.coalesce(F.get(f"{name}_rows", F.lit(i - 1))[c], F.lit(0.0)).alias(f"{name}_{c}_{i}") for i in (1, 2) for c in ("base", "pct", "valor")]
+    return withholdings.groupBy(key).agg(*aggs).select(key, *out)
 
 
 def fill_slots(df: DataFrame, name: str) -> DataFrame:
-    """Zeros and 'No Aplica' where a document has no line of the tax."""
+    """Zeros and 'No Aplica' where a document has no withheld line."""
     return df.na.fill({c: 0.0 for c in df.columns if c.startswith(f"{name}_") and c != f"{name}_impuesto"}).na.fill({f"{name}_impuesto": K.NOT_APPLICABLE})
 
 

@@ -12,6 +12,7 @@ from taxloom.functions import keys as KEY
 from taxloom.operators import combine, select, summary
 from taxloom.plans import bridge
 from taxloom.plans.bridge import sql
+from taxloom.sources import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,11 +148,9 @@ SELECT h.orderkey, clave, """ + ", ".join(f"coalesce({n}_{c}, 0) AS {n}_{c}" for
 FROM header h LEFT JOIN IVA i ON h.orderkey = i.orderkey LEFT JOIN Renta r ON h.orderkey = r.orderkey WHERE cod_doc = '07'""").replace("\n, IVA AS", ",\nIVA AS"))
 def withholding_slots(spark: SparkSession, d: str) -> DataFrame:
     """Withholding rows with summary and two details for each tax."""
-    w = bridge.withholdings(spark, d)
-    out = bridge.header(spark, d).filter("cod_doc = '07'").select("orderkey", "clave")
-    for code, name in (("2", "IVA"), ("1", "Renta")):
-        out = summary.fill_slots(out.join(summary.withheld_slots(w, code, name), "orderkey", "left"), name)
-    return out
+    slots = summary.withheld_slots(bridge.withholdings(spark, d), {"2": "IVA", "1": "Renta"})
+    out = bridge.header(spark, d).filter("cod_doc = '07'").select("orderkey", "clave").join(slots, "orderkey", "left")
+    return summary.fill_slots(summary.fill_slots(out, "IVA"), "Renta")
 
 
 @query("p15_rate_cascade", sql("lines", """SELECT orderkey, coalesce(nullif(coalesce((sum(base) FILTER (pct = '4'))::DOUBLE, 0), 0), nullif(coalesce((sum(base) FILTER (pct = '2'))::DOUBLE, 0), 0),
@@ -496,8 +495,8 @@ def origin_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f4_date_range", sql("header", "SELECT orderkey, fecha FROM header WHERE fecha BETWEEN DATE '1996-03-01' AND DATE '1996-09-30'"))
 def date_range(spark: SparkSession, d: str) -> DataFrame:
-    """F3, F4, F6."""
-    start, end = (F.lit(x).cast("date") for x in ("1996-03-01", "1996-09-30"))
+    """documents of a range of months."""
+    start, end = (F.lit(x) for x in reports.period(1996, 3, last_month=9))
     return select.by_period(bridge.header(spark, d), start, end).select("orderkey", "fecha")
 
 

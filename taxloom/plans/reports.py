@@ -49,10 +49,10 @@ def credit_notes(spark: SparkSession, d: str) -> DataFrame:
 FROM header h LEFT JOIN (SELECT orderkey, string_agg(descripcion || ': ' || precio, ' | ' ORDER BY line_num) AS motivos, sum(precio)::DOUBLE AS suma FROM lines GROUP BY orderkey) USING (orderkey) WHERE cod_doc = '05'"""))
 def debit_notes(spark: SparkSession, d: str) -> DataFrame:
     """Reasons joined and summed; without reasons the document's total."""
-    lines = bridge.lines(spark, d).withColumn("motivo", F.concat("descripcion", F.lit(": "), "precio"))
-    text = summary.joined_texts(lines, "motivo").withColumnRenamed("descripciones", "motivos")
-    total = lines.groupBy("orderkey").agg(F.sum("precio").cast("double").alias("suma"))
-    h = bridge.header(spark, d).filter("cod_doc = '05'").join(text, "orderkey", "left").join(total, "orderkey", "left")
+    motive = F.concat("descripcion", F.lit(": "), "precio")
+    ordered = F.array_sort(F.collect_list(F.struct("line_num", motive.alias("t"))))
+    agg = bridge.lines(spark, d).groupBy("orderkey").agg(F.array_join(F.transform(ordered, lambda s: s["t"]), " | ").alias("motivos"), F.sum("precio").cast("double").alias("suma"))
+    h = bridge.header(spark, d).filter("cod_doc = '05'").join(agg, "orderkey", "left")
     return h.select("orderkey", F.coalesce("motivos", F.lit(K.MISSING)).alias("motivos"), F.when(F.col("suma") > 0, F.col("suma")).otherwise(F.col("importe").cast("double")).alias("valor_modificacion"))
 
 
@@ -79,7 +79,7 @@ def listing_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s12_find_reports", sql("header", "SELECT orderkey FROM header WHERE origin = 'Recibidos' AND cod_doc = '01' AND year(fecha) = 1997 AND month(fecha) = 3"))
 def find_reports(spark: SparkSession, d: str) -> DataFrame:
-    """F6 apart, S12's selection: rows by the columns that partition reports."""
+    """Part of S12: rows by the columns that partition reports."""
     h = bridge.header(spark, d).withColumns({"anio": F.year("fecha"), "mes": F.month("fecha")})
     return reports.find_reports(h, origin="Recibidos", cod_doc="01", anio=1997, mes=3, estado=None).select("orderkey")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taxloom import catalogs as K
 from taxloom.operators import combine, rows, summary
-from taxloom.plans import star
+from taxloom.plans import documents, star
 from taxloom.plans.queries import query
 from taxloom.plans.star import sql
 from taxloom.sources import xml
@@ -277,3 +277,23 @@ def conformed_report(spark: SparkSession, d: str) -> DataFrame:
     docs = star.documents(spark, d)
     wanted = rows.report_schema(rows.report_row(docs).columns)
     return combine.conform(rows.standard_row(docs), wanted, {c: 0 if k == "double" else "" for c, k in wanted.items()})
+
+
+def _defaults(columns: dict[str, str], texts: dict[str, str], word: str) -> str:
+    return ", ".join(f"""{'0::DOUBLE' if c.startswith(rows.NUMBERS) else repr(texts.get(c, word))} AS "{c}\"""" for c in columns)
+
+
+@query("p16_default_rows", f"""SELECT o_orderkey || '.xml' AS archivo_xml, {_defaults(_INVOICE, {"Descripciones": "", "Tarifas IVA": "0%"}, K.MISSING)} FROM orders WHERE o_orderkey % 50 = 7""")
+def default_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Default invoice rows for documents that can't be read."""
+    broken = xml.errors(xml.parse(documents.xml_documents(spark, d))).select(F.regexp_extract("archivo_xml", "([^/]*)$", 1).alias("archivo_xml"))
+    return rows.default_rows(broken, "archivo_xml", "factura", list(_INVOICE))
+
+
+@query("p16_default_withholdings", f"""SELECT orderkey, {_defaults(_ISSUED_HELD, {c: K.MISSING for c in ("nombreComercial", "numeroContribuyenteEspecial", "numeroAgenteRetencion", "informacionAdicional")} | {"Impuesto_Ret_IVA": K.NOT_APPLICABLE, "Impuesto_Ret_IR": K.NOT_APPLICABLE, "tipoDocumento": "Retencion"}, "")}
+FROM (SELECT o_orderkey AS orderkey FROM orders WHERE o_orderkey % 5 = 4 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))""")
+def default_withholdings(spark: SparkSession, d: str) -> DataFrame:
+    """Default rows of withholdings of which no line is there."""
+    o, l = star.bridge.table(spark, d, "orders"), star.bridge.table(spark, d, "lineitem")
+    alone = o.filter("o_orderkey % 5 = 4").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.col("o_orderkey").alias("orderkey"))
+    return rows.default_rows(alone, "orderkey", "retencion", list(_ISSUED_HELD))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from taxloom.sources import xml
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, now: bool = True):
-    """Parse the XML files of a folder as they arrive; see :func:`ingest_stream`."""
-    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").format("text").option("wholetext", True).load(folder)
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, now: bool = True, files_per_batch: int = 10_000):
+    """Parse the XML files of a folder as they arrive, ``files_per_batch`` at a time; see :func:`ingest_stream`."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").format("text").option("wholetext", True).load(folder)
     return ingest_stream(files.select(F.col("_metadata.file_path").alias("path"), "value"), out, checkpoint, now)
 
 
