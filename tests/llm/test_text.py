@@ -122,6 +122,9 @@ def test_archives(spark, none):
     assert Counter(tuple(r)[:5] for r in warc.archive_pages(pages).collect()) == wanted
     assert {r.record_type for r in warc.archive_pages(pages, least_bytes=9).filter("payload_bytes < 9").collect()} == {"response"}
     assert warc.archive_pages(pages.filter("false")).collect() == []
+    named = spark.createDataFrame([("a b\r\nX: y", "u", "p"), ("é", "u", "p"), ("9", "u", "p"), (None, "u", "q")], "page_id string, url string, html string")
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_pages(named).collect()}
+    assert found == {"a b\r\nX: y": ("revisit", "é"), "é": ("response", None), "9": ("revisit", "é"), None: ("response", None)}
 
 
 @pytest.mark.parametrize("version", [1, 2])
