@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import exact, fingerprint, langid, lines, minhash, mixing, pieces, pii, sharding, warc
+from taxloom.llm import exact, fingerprint, langid, lines, minhash, mixing, pieces, pii, sharding, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: the longest rule's, else by its host's reputation; null urls have an empty host and path."""
+    return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_sharding": op2_sharding,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
+    "op13_url_filters": op13_url_filters,
 }
 
 _CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
@@ -168,5 +174,43 @@ SELECT page_id, strlen(html) AS payload_bytes, payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM coded
+""",
+    "op13_url_filters": """
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parts),
+rules(r_verdict, r_host, r_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits AS (
+  SELECT page_id, max_by(r_host || r_path, length(r_host || r_path)) AS rule, max_by(r_verdict, length(r_host || r_path)) AS said
+  FROM split, rules WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY page_id),
+rows AS (
+  SELECT page_id, host, path, rule, said, regexp_matches(host, '^[0-9.]+(:[0-9]*)?$|^[[]') AS number,
+    CASE WHEN said = 'block' THEN 1 WHEN said = 'allow' THEN 0 END AS bad FROM split LEFT JOIN fits USING (page_id)),
+hosts AS (
+  SELECT host, CASE WHEN number THEN host ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS domain,
+    CASE WHEN number THEN host ELSE string_split(host, '.')[-1] END AS suffix, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad
+  FROM rows GROUP BY host, number),
+domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY suffix),
+every AS (SELECT coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM suffixes),
+children AS (
+  SELECT 'host' AS level, h.n, h.bad / h.n AS rate, d.bad / d.n AS parent FROM hosts h JOIN domains d USING (domain, suffix) WHERE h.n > 0
+  UNION ALL SELECT 'domain', d.n, d.bad / d.n, s.bad / s.n FROM domains d JOIN suffixes s USING (suffix) WHERE d.n > 0
+  UNION ALL SELECT 'suffix', s.n, s.bad / s.n, e.bad / e.n FROM suffixes s, every e WHERE s.n > 0),
+moments AS (
+  SELECT level, sum(round((n * (rate - parent) * (rate - parent) - parent * (1 - parent)) * 1000000)::HUGEINT)::DOUBLE AS over,
+    sum(round(parent * (1 - parent) * (n - 1) * 1000000)::HUGEINT)::DOUBLE AS room FROM children GROUP BY level),
+strengths AS (
+  SELECT level, CASE WHEN room <= 0 THEN 10.0 WHEN over / room <= 1 / 1001.0::DOUBLE THEN 1000.0 ELSE greatest(1.0, 1 / (over / room) - 1) END::DOUBLE AS m FROM moments
+  UNION ALL SELECT l, 10.0 FROM (VALUES ('host'), ('domain'), ('suffix')) x(l) WHERE l NOT IN (SELECT level FROM moments)),
+means3 AS (
+  SELECT suffix, (s.bad + m * CASE WHEN e.n > 0 THEN e.bad / e.n ELSE 0.5 END) / (s.n + m) AS mean FROM suffixes s, every e, strengths WHERE level = 'suffix'),
+means2 AS (SELECT domain, d.suffix, (d.bad + m * mean) / (d.n + m) AS mean FROM domains d JOIN means3 USING (suffix), strengths WHERE level = 'domain'),
+means1 AS (SELECT host, h.n, m, (h.bad + m * mean) / (h.n + m) AS mean FROM hosts h JOIN means2 USING (domain, suffix), strengths WHERE level = 'host')
+SELECT page_id, host, path, rule,
+  coalesce(said, CASE WHEN mean - 1.645 * sqrt(greatest(mean * (1 - mean), 0) / (means1.n + m + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM rows JOIN means1 USING (host)
 """,
 }

@@ -13,7 +13,7 @@ def plain(x):
 @pytest.mark.parametrize("name", list(SQL))
 def test_query(name, spark, sf):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     wanted = duck.execute(SQL[name])
