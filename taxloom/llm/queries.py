@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import exact, fingerprint, langid, lines, minhash, mixing, pieces, pii, sharding, urls, warc
+from taxloom.llm import exact, fingerprint, langid, lines, minhash, mixing, pieces, pii, sharding, trie, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations; null roles and texts are empty, rows without a conv_id take no part."""
+    turns, conversations = trie.spliced(trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, conversations)
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict: the longest rule's, else by its host's reputation; null urls have an empty host and path."""
     return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_url_filters": op13_url_filters,
 }
 
@@ -174,6 +181,46 @@ SELECT page_id, strlen(html) AS payload_bytes, payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM coded
+""",
+    "op11_prefix_trie": f"""
+WITH RECURSIVE bits AS (
+  SELECT range AS b, range::BIGINT AS c, 0 AS i FROM range(256)
+  UNION ALL SELECT b, {_CRC_STEP}, i + 1 FROM bits WHERE i < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE i = 8),
+own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c AS conv_id, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda r, b: xor(r >> 8, t[(xor(r, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM own), crc),
+turns AS (
+  SELECT c.conv_id, o.pos, 0 AS step, role, text FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos <= h
+  UNION ALL SELECT c.conv_id, o.pos, 1, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > h),
+rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY step, pos) AS depth, text,
+    length(role)::VARCHAR || ':' || length(text)::VARCHAR || ':' || role || text AS turn FROM turns),
+prefixes AS (
+  SELECT conv_id, depth, text, sha256(string_agg(sha256(turn), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)) AS path,
+    coalesce(sha256(string_agg(sha256(turn), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), '') AS above,
+    max(depth) OVER (PARTITION BY conv_id) = depth AS last
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', '', NULL, conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM convs),
+nodes AS (
+  SELECT path, any_value(above) AS above, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n,
+    len(list_filter(regexp_split_to_array(any_value(text), '[\\x20\\x09-\\x0D]+'), lambda w: w != '')) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends
+  FROM prefixes GROUP BY path),
+kids AS (SELECT above AS path, count(*) AS kids FROM nodes WHERE above IS NOT NULL GROUP BY above),
+below AS (
+  SELECT p.path, count(*) FILTER (k.kids IS NULL) AS leaves, sum((v.n - 1) * v.words)::BIGINT AS saved
+  FROM nodes v JOIN prefixes p ON p.conv_id = v.conv_id AND p.depth <= v.depth LEFT JOIN kids k ON k.path = v.path GROUP BY p.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.kids, 0) AS n_children,
+  b.leaves AS n_leaves, b.saved AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN below b USING (path) LEFT JOIN kids k USING (path) LEFT JOIN nodes a ON a.path = n.above
 """,
     "op13_url_filters": """
 WITH parts AS (
