@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Tables of so many rows or fewer, once counted, are broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, for what jobs leave for later jobs.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import exact, fingerprint, langid, lines, minhash, mixing, pieces, pii, sharding, trie, urls, warc
+from taxloom.llm import exact, fingerprint, langid, lines, minhash, mixing, negatives, pieces, pii, sharding, trie, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(turns, conversations)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anchor and positive the first three rows of other labels that score 50 to 95 percent of the positive.
+
+    A row without a vec_id is no anchor and keeps its label; rows with repeated ids are rows of their own.
+    """
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+    return negatives.mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict: the longest rule's, else by its host's reputation; null urls have an empty host and path."""
     return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -94,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_url_filters": op13_url_filters,
 }
 
@@ -221,6 +232,24 @@ below AS (
 SELECT n.conv_id, n.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.kids, 0) AS n_children,
   b.leaves AS n_leaves, b.saved AS saved_tokens, n.ends AS ends_sha256
 FROM nodes n JOIN below b USING (path) LEFT JOIN kids k USING (path) LEFT JOIN nodes a ON a.path = n.above
+""",
+    "op12_hard_negatives": """
+WITH usable AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.v, b.v, true), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 50 = 0 AND a.row != b.row),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) AS place FROM scored WHERE same) WHERE place <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row)::INTEGER AS rank
+  FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
 """,
     "op13_url_filters": """
 WITH parts AS (

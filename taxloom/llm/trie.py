@@ -12,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxloom.llm.common import cut, give_back, prefix_sums, shuffle_partitions
+from taxloom.llm.common import BROADCAST_ROWS, cut, give_back, prefix_sums, shuffle_partitions
 
 WIDTH = 16
 SPAN = 256
 ROWS = 50_000
 CHUNK = 4096
-BROADCAST_ROWS = 100_000
 WORD = r"[^ \t\n\x0B\f\r]+"
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
