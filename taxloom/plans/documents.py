@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import datetime
 import re
 import shutil
 import tempfile
@@ -13,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxloom import catalogs as K
+from taxloom.functions import dates
+from taxloom.functions.text import slug
 from taxloom.operators import layout, textrules
 from taxloom.plans import bridge
 from taxloom.plans.bridge import sql
 from taxloom.plans.queries import query
-from taxloom.sources import listings, reports, xml
+from taxloom.sources import files, listings, reports, xml
 from taxloom.streaming import ingest
 
 
@@ -95,11 +98,9 @@ def xml_payments(spark: SparkSession, d: str) -> DataFrame:
 def paths(spark: SparkSession, d: str) -> DataFrame:
     """Origin, status, type and period from both folder layouts; a file name's date must agree."""
     h = bridge.header(spark, d)
-    from taxloom.functions.dates import month_name
-
     status = F.when(F.col("origin") == "Recibidos", "").when(F.col("estado") == "AUTORIZADO", "Autorizados/").otherwise("No Autorizados/")
     base = F.concat(F.lit("/data/179/"), "origin", F.lit("/"), status)
-    name = month_name(F.month("fecha"))
+    name = dates.month_name(F.month("fecha"))
     stamp = F.when(F.col("cod_doc") == "05", F.lit("20010101")).otherwise(F.date_format("fecha", "yyyyMMdd"))
     new = F.concat(base, F.lit("Factura/"), F.year("fecha").cast("string"), F.lit("/"), name, F.lit("/XML/factura__"), stamp, F.lit("__x.xml"))
     old = F.concat(base, F.year("fecha").cast("string"), F.lit("/"), name, F.lit("/"), F.date_format("fecha", "dd"), F.lit("/01_Factura/XML/x.xml"))
@@ -107,6 +108,39 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
     return h.select("orderkey", *[v.alias(c) for c, v in xml.from_path(path).items()])
 
 
+FIRST_DAY, LAST_DAY = datetime.date(1997, 2, 10), datetime.date(1997, 4, 20)
+
+
+def filed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The XML documents under the paths of both folder layouts; some in consolidated folders, some twice."""
+    h, k = bridge.header(spark, d), F.col("orderkey")
+    kind, month = K.label(F.col("cod_doc"), K.DOC_TYPE), dates.month_name(F.month("fecha"))
+    status = F.when(F.col("origin") == "Recibidos", "").when(F.col("estado") == "AUTORIZADO", "Autorizados/").otherwise("No Autorizados/")
+    name = F.concat(slug(kind), F.lit("__"), F.date_format("fecha", "yyyyMMdd"), F.lit("__"), k.cast("string"), F.lit(".xml"))
+    new = F.concat("origin", F.lit("/"), status, kind, F.lit("/"), F.year("fecha").cast("string"), F.lit("/"), month, F.lit("/XML/"), name)
+    old = F.concat(F.year("fecha").cast("string"), F.lit("/"), month, F.lit("/"), F.date_format("fecha", "dd"), F.lit("/01_"), kind, F.lit("/XML/"), k.cast("string"), F.lit(".xml"))
+    path = F.concat(F.lit("/data/179/"), F.when(k % 11 == 5, "Consolidados/").otherwise(""), F.when(k % 7 == 3, old).otherwise(new))
+    where = h.select(F.concat(F.lit("d/"), k.cast("string"), F.lit(".xml")).alias("name"), path.alias("path"), k.alias("orderkey"))
+    named = xml_documents(spark, d).withColumnRenamed("path", "name").join(where, "name")
+    return named.withColumn("time", F.explode(F.sequence(F.lit(1), F.when(k % 13 == 1, 2).otherwise(1)))).select("path", "value")
+
+
+@query("s1_archived_documents", sql("header", """SELECT clave, CASE WHEN orderkey % 7 = 3 THEN 'desconocido' ELSE lower(origin) END AS origen,
+  CASE WHEN orderkey % 7 = 3 OR origin = 'Recibidos' THEN 'sin_dato' WHEN estado = 'AUTORIZADO' THEN 'autorizados' ELSE 'no_autorizados' END AS estado, 'factura' AS tipo,
+  year(fecha)::INTEGER AS anio, month(fecha)::INTEGER AS mes, day(fecha)::INTEGER AS dia, importe::DOUBLE AS importe_total
+FROM header WHERE orderkey % 50 != 7 AND orderkey % 11 != 5 AND cod_doc = '01' AND fecha BETWEEN DATE '1997-02-10' AND DATE '1997-04-20'"""))
+def archived_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents stored in folders by what their paths say, and those of a type and period read from their folders only.
+
+    Repeated paths are stored once, consolidated folders not at all.
+    """
+    root = f"{scratch(spark)}/archivo"
+    files.archive(filed_documents(spark, d), root)
+    found = files.archived(spark, root, FIRST_DAY, LAST_DAY, kind="factura")
+    heads = xml.header(xml.good(xml.parse(found.select("path", "value")))).select("path", "clave", F.col("importe_total").cast("double").alias("importe_total"))
+    return heads.join(found.drop("value"), "path").drop("path")
+
+
 @query("s4_seed_keys", sql("header", "SELECT CASE WHEN origin = 'Emitidos' THEN 'a.txt' ELSE 'b.txt' END AS path, clave, 'Factura' AS tipo, strftime(fecha, '%d/%m/%Y') AS fecha FROM header"))
 def seed_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys from delimited lists, each file with its own delimiter."""

@@ -13,10 +13,15 @@ from taxloom.functions.text import first_present, present
 OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreNamespace": "true"}
 
 
+def file_path() -> Column:
+    """The path of a row's file; in the metadata blanks and marked letters are escaped as in a URL."""
+    return F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(path, value): every XML file under folder, whole."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(folder, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,XML}").text(folder, wholetext=True)
+    return files.select(file_path().alias("path"), "value")
 
 
 def from_path(path: Column) -> dict[str, Column]:
