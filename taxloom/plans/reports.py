@@ -92,9 +92,9 @@ def written_reports(spark: SparkSession, d: str) -> DataFrame:
     h = bridge.header(spark, d).select("orderkey", F.col("origin").alias("origen"), "cod_doc", F.year("fecha").alias("anio"), F.month("fecha").alias("mes"), F.col("importe").cast("double").alias("importe"), "estado")
     reports.write_by_period(h.filter("cod_doc = '01'").drop("estado"), f"{path}/facturas")
     reports.write_by_period(h.filter("cod_doc = '04'"), f"{path}/notas")
-    found = reports.find_reports(reports.read_reports(spark, [f"{path}/facturas", f"{path}/notas"]), anio=1997)
-    text = found.withColumn("cod_doc", F.lpad(F.col("cod_doc").cast("string"), 2, "0"))  # folders' names are read as numbers
-    return text.select("orderkey", "origen", "cod_doc", "anio", "mes", "importe", "estado", F.format_string("%04d%02d", "anio", "mes").alias("periodo"))
+    both = reports.read_reports(spark, [f"{path}/facturas", f"{path}/notas"], folders=["origen", "cod_doc", "anio", "mes"])
+    found = reports.find_reports(both, anio="1997").withColumns({"anio": F.col("anio").cast("int"), "mes": F.col("mes").cast("int")})
+    return found.select("orderkey", "origen", "cod_doc", "anio", "mes", "importe", "estado", F.format_string("%04d%02d", "anio", "mes").alias("periodo"))
 
 
 @query("s12_report_files", sql("header", """SELECT orderkey, CASE WHEN orderkey % 4 = 1 THEN 'recibidos' ELSE lower(origin) END AS origen, CASE WHEN orderkey % 4 = 1 OR orderkey % 2 = 0 THEN 'xml' ELSE 'pdf' END AS formato,

@@ -6,12 +6,12 @@ import datetime
 import re
 from calendar import monthrange
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from taxloom.functions import amounts, dates
 from taxloom.functions.text import fold
-from taxloom.operators.combine import union_all
+from taxloom.sources import xml
 
 ALWAYS = ["cabecera", "detalle", "impuestos", "pagos"]
 PARTITIONS = ["origen", "estado_ruta", "cod_doc", "anio", "mes"]
@@ -101,15 +101,37 @@ def write_bundle(tables: dict[str, DataFrame], path: str) -> list[str]:
     return written
 
 
+def write_parsed(parsed: DataFrame, path: str) -> dict[str, int]:
+    """Write documents that :func:`taxloom.sources.xml.parse` gives as a report, and tell the rows of each table.
+
+    The parsed documents are written first, and while they are, Spark counts what each table will have; a table that isn't always there
+    is written only if it has rows, without a job to find that out. All tables are then made from the stored documents.
+    """
+    seen = Observation()
+    parsed.observe(seen, *[n.alias(t) for t, n in xml.row_counts(parsed).items()]).write.mode("overwrite").parquet(f"{path}/leidos")
+    counts = {t: int(n) for t, n in seen.get.items()}
+    for name, table in xml.report_bundle(parsed.sparkSession.read.schema(parsed.schema).parquet(f"{path}/leidos")).items():
+        if name in ALWAYS or counts[name]:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+    return counts
+
+
 def write_by_period(table: DataFrame, path: str) -> None:
     """Documents with their path columns, in folders by origin, status, type, year and month."""
     there = [c for c in PARTITIONS if c in table.columns]
-    table.repartition(*there).write.mode("append").partitionBy(*there).parquet(path)
+    table.hint("rebalance", *there).write.mode("append").partitionBy(*there).parquet(path)
+
 
+def read_reports(spark: SparkSession, paths: list[str], folders: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Earlier reports as one, in one scan: columns in the order in which they first appear, missing text empty.
 
-def read_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Earlier reports as one: columns in the order in which they first appear, missing text empty."""
-    return union_all([spark.read.parquet(p) for p in paths])
+    Spark merges the schemas of all files, whatever the number of reports. ``folders`` names the columns that are in the names of
+    folders; they come last, as text, null for a report without them. A filter on them leaves out the files of other folders.
+    """
+    merged = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*paths)
+    at = {c: F.nullif(F.regexp_extract("_metadata.file_path", f"/{c}=([^/]*)/", 1), F.lit("")) for c in folders}
+    found = merged.select("*", *[F.nullif(v, F.lit("__HIVE_DEFAULT_PARTITION__")).alias(c) for c, v in at.items()])
+    return found.na.fill("", [c for c in merged.columns])
 
 
 def find_reports(reports: DataFrame, **wanted: str | int | None) -> DataFrame:

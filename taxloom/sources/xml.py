@@ -54,6 +54,11 @@ def _inner(value: Column) -> Column:
     return F.coalesce(present(cdata), present(escaped), present(F.get_json_object(value, "$.comprobante")))
 
 
+def quick_key(value: Column) -> Column:
+    """The access key of a document, found without parsing it; null if there is none."""
+    return F.nullif(F.regexp_extract(value, r"claveAcceso(?:>|&gt;)\s*(\w+)", 1), F.lit(""))
+
+
 def _once(c: Column) -> Column:
     """The same value, of which later steps don't evaluate the expression again: they can't move below a generator."""
     return F.explode(F.array(c))
@@ -170,10 +175,19 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def taxes(docs: DataFrame) -> DataFrame:
-    """Taxes of documents (under totals, or directly for debit notes) and of lines."""
-    whole = docs.filter("doc.infoCompRetencion is null").select("clave", F.lit("DOCUMENTO").alias("nivel"), F.lit(None).cast("int").alias("line_num"), F.explode(F.coalesce("info.totalConImpuestos.totalImpuesto", "doc.impuestos.impuesto")).alias("x"))
-    by_line = lines(docs).select("clave", F.lit("LINEA").alias("nivel"), "line_num", F.explode("impuestos").alias("x"))
-    return whole.unionByName(by_line).select("clave", "nivel", "line_num", F.col("x.codigo").alias("codigo"), F.col("x.codigoPorcentaje").alias("pct"), _money(F.col("x.tarifa")).alias("tarifa"), _money(F.col("x.baseImponible")).alias("base"), _money(F.col("x.valor")).alias("valor"))
+    """Taxes of documents (under totals, or directly for debit notes) and of lines, in one pass over the documents."""
+
+    def row(level: str, line: Column, x: Column) -> Column:
+        kept = [x[c].alias(c) for c in ("codigo", "codigoPorcentaje", "tarifa", "baseImponible", "valor")]
+        return F.struct(F.lit(level).alias("nivel"), line.cast("int").alias("line_num"), *kept)
+
+    none = F.array().cast("array<struct<nivel:string,line_num:int,codigo:string,codigoPorcentaje:string,tarifa:string,baseImponible:string,valor:string>>")
+    totals = F.transform("info.totalConImpuestos.totalImpuesto", lambda x: row("DOCUMENTO", F.lit(None), x))
+    direct = F.transform("doc.impuestos.impuesto", lambda x: row("DOCUMENTO", F.lit(None), x))
+    whole = F.when(F.col("doc.infoCompRetencion").isNull(), F.coalesce(totals, direct))
+    by_line = F.flatten(F.transform("doc.detalles.detalle", lambda x, i: F.coalesce(F.transform(x["impuestos"]["impuesto"], lambda t: row("LINEA", i + 1, t)), none)))
+    found = docs.select("clave", F.explode(F.concat(F.coalesce(whole, none), F.coalesce(by_line, none))).alias("x")).select("clave", "x.*")
+    return found.select("clave", "nivel", "line_num", "codigo", F.col("codigoPorcentaje").alias("pct"), _money(F.col("tarifa")).alias("tarifa"), _money(F.col("baseImponible")).alias("base"), _money(F.col("valor")).alias("valor"))
 
 
 def payments(docs: DataFrame) -> DataFrame:
@@ -186,18 +200,38 @@ def extras(docs: DataFrame) -> DataFrame:
 
 
 def withholdings(docs: DataFrame) -> DataFrame:
-    """Withheld taxes of both schema versions: all support documents of the second, else the list of the first."""
-    d = docs.filter("doc.infoCompRetencion is not null")
-    second = d.filter("doc.docsSustento.docSustento is not null").select("clave", F.explode("doc.docsSustento.docSustento").alias("s"))
-    second = second.select("clave", F.col("s.codDocSustento").alias("sustento_tipo"), F.col("s.numDocSustento").alias("numero"), F.col("s.fechaEmisionDocSustento").alias("sustento_fecha"), F.explode("s.retenciones.retencion").alias("x"))
-    first = d.filter("doc.docsSustento.docSustento is null").select("clave", F.explode("doc.impuestos.impuesto").alias("x"))
-    first = first.select("clave", F.col("x.codDocSustento").alias("sustento_tipo"), F.coalesce("x.numeroDocumento").alias("numero"), F.col("x.fechaEmisionDocSustento").alias("sustento_fecha"), F.struct(*[F.col(f"x.{c}").alias(c) for c in ("codigo", "codigoRetencion", "baseImponible", "porcentajeRetener", "valorRetenido")]).alias("x"))
-    return second.unionByName(first).select(
-        "clave", "sustento_tipo", keys.parse_series(F.coalesce("numero", F.lit(""))).alias("sustento_numero"), "sustento_fecha", F.col("x.codigo").alias("codigo"), K.label(F.col("x.codigo"), K.WITHHELD_TAX).alias("impuesto"),
-        F.col("x.codigoRetencion").alias("codigo_retencion"), _money(F.col("x.baseImponible")).alias("base"), _money(F.col("x.porcentajeRetener")).alias("pct"), _money(F.col("x.valorRetenido")).alias("valor"),
+    """Withheld taxes of both schema versions, in one pass: all support documents of the second, else the list of the first."""
+    own = ("codigo", "codigoRetencion", "baseImponible", "porcentajeRetener", "valorRetenido")
+
+    def row(kind: Column, number: Column, date: Column, x: Column) -> Column:
+        return F.struct(kind.alias("sustento_tipo"), number.alias("numero"), date.alias("sustento_fecha"), *[x[c].alias(c) for c in own])
+
+    none = F.array().cast(f"array<struct<sustento_tipo:string,numero:string,sustento_fecha:string,{','.join(f'{c}:string' for c in own)}>>")
+    by_support = F.transform("doc.docsSustento.docSustento", lambda s: F.coalesce(F.transform(s["retenciones"]["retencion"], lambda x: row(s["codDocSustento"], s["numDocSustento"], s["fechaEmisionDocSustento"], x)), none))
+    first = F.transform("doc.impuestos.impuesto", lambda x: row(x["codDocSustento"], x["numeroDocumento"], x["fechaEmisionDocSustento"], x))
+    found = docs.filter("doc.infoCompRetencion is not null").select("clave", F.explode(F.coalesce(F.flatten(by_support), first)).alias("x")).select("clave", "x.*")
+    return found.select(
+        "clave", "sustento_tipo", keys.parse_series(F.coalesce("numero", F.lit(""))).alias("sustento_numero"), "sustento_fecha", "codigo", K.label(F.col("codigo"), K.WITHHELD_TAX).alias("impuesto"),
+        F.col("codigoRetencion").alias("codigo_retencion"), _money(F.col("baseImponible")).alias("base"), _money(F.col("porcentajeRetener")).alias("pct"), _money(F.col("valorRetenido")).alias("valor"),
     )
 
 
+def row_counts(parsed: DataFrame) -> dict[str, Column]:
+    """How many rows each table of :func:`report_bundle` will have, as aggregates over the parsed documents themselves."""
+    good, doc = F.col("reason").isNull(), F.col("doc")
+    size = lambda c: F.greatest(F.size(c), F.lit(0))  # noqa: E731  of null: -1
+    info = F.coalesce(*[doc[n] for n in schemas.INFO_NODES])
+    items = doc["detalles"]["detalle"]
+    by_line = F.aggregate(F.coalesce(items, F.array()), F.lit(0), lambda n, x: n + size(x["impuestos"]["impuesto"]))
+    by_support = F.aggregate(F.coalesce(doc["docsSustento"]["docSustento"], F.array()), F.lit(0), lambda n, x: n + size(x["retenciones"]["retencion"]))
+    held, document = doc["infoCompRetencion"].isNotNull(), F.coalesce(info["totalConImpuestos"]["totalImpuesto"], doc["impuestos"]["impuesto"])
+    each = {
+        "cabecera": F.lit(1), "detalle": size(items), "impuestos": F.when(held, 0).otherwise(size(document)) + by_line, "pagos": size(info["pagos"]["pago"]), "adicionales": size(doc["infoAdicional"]["campoAdicional"]),
+        "retenciones": F.when(held, F.when(doc["docsSustento"]["docSustento"].isNotNull(), by_support).otherwise(size(doc["impuestos"]["impuesto"]))).otherwise(0),
+    }
+    return {t: F.coalesce(F.sum(F.when(good, n)), F.lit(0)).cast("long") for t, n in each.items()} | {"errores": F.count("reason")}
+
+
 def report_bundle(parsed: DataFrame) -> dict[str, DataFrame]:
     """All tables of a report, from documents parsed once."""
     docs = good(parsed)

@@ -2,40 +2,100 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
+
+from taxloom.sources import reports, xml
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+STORED = "clave string, path string, value string"
+MANIFEST = "lote long, carpeta string, tablas map<string,long>, documentos long, errores long, momento timestamp"
+
+
+class _FirstOfKey(StatefulProcessor):
+    """Passes on the first row of a key, by path among those that arrive together, and remembers that it has."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stored = handle.getValueState("stored", StructType([StructField("path", StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        first = None
+        for some in rows:
+            best = some.sort_values("path").head(1)
+            if first is None or best["path"].iloc[0] < first["path"].iloc[0]:
+                first = best
+        if first is not None and not self.stored.exists():
+            self.stored.update((first["path"].iloc[0],))
+            yield first[["clave", "path", "value"]]
 
-from taxloom.sources import xml
+    def close(self) -> None:
+        pass
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, now: bool = True, files_per_batch: int = 10_000):
+def stored_once(stream: DataFrame) -> DataFrame:
+    """Of a stream of documents (clave, path, value) each key once: the first that arrives, whatever comes later.
+
+    Among rows of one batch the smallest path is first. Keys that were stored are the operator's state, kept by the checkpoint, so a
+    restarted run skips them too; a document without a key is told apart by its path. The state has a row for each key and needs the
+    RocksDB state store, which keeps it on disk.
+    """
+    if "RocksDB" not in stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        raise RuntimeError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    keyed = stream.select(F.coalesce("clave", "path").alias("_key"), "clave", "path", "value")
+    return keyed.groupBy("_key").transformWithStateInPandas(_FirstOfKey(), STORED, "append", "none")
+
+
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, now: bool = True, files_per_batch: int = 10_000, once: bool = False):
     """Parse the XML files of a folder as they arrive, ``files_per_batch`` at a time; see :func:`ingest_stream`."""
     files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").format("text").option("wholetext", True).load(folder)
-    return ingest_stream(files.select(F.col("_metadata.file_path").alias("path"), "value"), out, checkpoint, now)
+    return ingest_stream(files.select(xml.file_path().alias("path"), "value"), out, checkpoint, now, once)
 
 
-def ingest_stream(source: DataFrame, out: str, checkpoint: str, now: bool = True):
-    """Parse documents (path, value) as they arrive and add every report table under out.
+def ingest_stream(source: DataFrame, out: str, checkpoint: str, now: bool = True, once: bool = False):
+    """Parse documents (path, value) as they arrive and add every report table under out; ``once``: each access key once.
 
-    The checkpoint makes a restarted run go on where it stopped; each batch is written under its own number, so a
-    batch that is tried again replaces itself. ``progreso`` has a row for each batch.
+    A batch writes its tables into a folder of its own and then commits them all together, by one row in the manifest.
+    Readers (:func:`committed`) go by the manifest, so the tables of a batch that dies on the way are never seen, whichever of
+    them it had written. The stream's checkpoint makes a restarted run go on where it stopped; a batch that is tried again writes a
+    new folder and takes the place of its earlier try in the manifest.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        xml.parse(batch).write.mode("overwrite").parquet(f"{out}/leidos/lote={number}")
-        parsed = batch.sparkSession.read.parquet(f"{out}/leidos/lote={number}")
-        for name, table in xml.report_bundle(parsed).items():
-            table.write.mode("overwrite").parquet(f"{out}/{name}/lote={number}")
-        done = parsed.agg(F.count(F.lit(1)).alias("documentos"), F.count("reason").alias("errores"), F.current_timestamp().alias("momento"))
-        done.write.mode("overwrite").parquet(f"{out}/progreso/lote={number}")
-
-    writer = source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        spark, folder = batch.sparkSession, f"{out}/datos/lote={number}-{uuid.uuid4().hex}"
+        counts = reports.write_parsed(xml.parse(batch), folder)
+        row = [(number, folder, counts, counts["cabecera"] + counts["errores"], counts["errores"], datetime.datetime.now(datetime.UTC))]
+        commit(spark.createDataFrame(row, MANIFEST), f"{out}/manifiesto/lote={number}")
+
+    documents = stored_once(source.select(xml.quick_key(F.col("value")).alias("clave"), "path", "value")) if once else source
+    writer = documents.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if now else writer).start()
 
 
-def unseen(stream: DataFrame, key: str = "clave", time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Rows whose key hasn't been seen within the watermark."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def commit(row: DataFrame, path: str) -> None:
+    """Write a row as one file, which is there as a whole once Spark's committer has renamed it."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def manifest(spark: SparkSession, out: str) -> DataFrame:
+    """A row for each batch that was committed: its folder, the rows of each table, when."""
+    return spark.read.schema(MANIFEST).option("recursiveFileLookup", True).json(f"{out}/manifiesto")
+
+
+def committed(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """A report table of all committed batches, read by the folders that the manifest names."""
+    folders = manifest(spark, out).filter(F.coalesce(F.try_element_at("tablas", F.lit(table)), F.lit(0)) > 0).select("carpeta").orderBy("lote").collect()  # a row for each batch
+    if not folders:
+        raise ValueError(f"no committed batch has {table}")
+    return spark.read.parquet(*[f"{f.carpeta}/{table}" for f in folders])
 
 
 def first_seen(stream: DataFrame, key: str = "clave", time: str = "ts") -> DataFrame:

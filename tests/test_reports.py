@@ -28,6 +28,26 @@ def test_partitions_are_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(origen" in found._jdf.queryExecution().toString()
 
 
+def test_many_reports_are_one_scan(spark, tmp_path):
+    """Reports with different columns, some in folders: one scan, first-seen order, and only the files of the folders asked for."""
+    paths = []
+    for i in range(6):
+        df = spark.createDataFrame([(f"k{i}", 2020 + i % 3, i)], f"clave string, anio int, n{i % 2} int")
+        df = df.withColumn("extra", F.lit("x")) if i == 4 else df
+        paths.append(f"{tmp_path}/r{i}")
+        (df.write.partitionBy("anio") if i else df.drop("anio").write).parquet(paths[-1])
+    both = reports.read_reports(spark, paths, folders=["anio"])
+    assert both.columns == ["clave", "n0", "n1", "extra", "anio"]
+    assert sorted((r.clave, r.anio, r.extra) for r in both.collect()) == [("k0", None, ""), ("k1", "2021", ""), ("k2", "2022", ""), ("k3", "2020", ""), ("k4", "2021", "x"), ("k5", "2022", "")]
+    assert both._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    found = reports.find_reports(both, anio="2021")
+    assert sorted(r.clave for r in found.collect()) == ["k1", "k4"]
+    plan = found._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert plan.metrics().apply("numFiles").value() == 2
+
+
 @pytest.mark.parametrize(("name", "title"), [("clave_acceso", "Clave de acceso"), ("FORMA_PAGO_2", "Forma de pago 2"), ("IVA_12_BASE", "Impuesto al valor agregado 12% base imponible"), ("ICE_VALOR", "Impuesto a los consumos especiales valor"), ("IMP_9_1_VALOR", "Impuesto codigo 9 porcentaje 1 valor"), ("UNIDAD_TIEMPO_3", "Unidad de tiempo del pago 3"), ("otra_cosa", "Otra cosa")])
 def test_titles(name, title):
     assert reports.title(name) == title
