@@ -275,7 +275,7 @@ def run_history(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k1_bundle", sql("header lines", """SELECT 'cabecera' AS tabla, (SELECT count(*) FROM header WHERE orderkey % 50 != 7) AS n UNION ALL SELECT 'detalle', (SELECT count(*) FROM lines WHERE orderkey % 50 != 7)
 UNION ALL SELECT 'pagos', (SELECT count(*) FROM lines WHERE orderkey % 50 != 7) UNION ALL SELECT 'impuestos', (SELECT count(*) FROM lines WHERE orderkey % 50 != 7)
-UNION ALL SELECT 'errores', (SELECT count(*) FROM header WHERE orderkey % 50 = 7) UNION ALL SELECT 'adicionales', (SELECT count(*) FROM header WHERE orderkey % 50 != 7)"""))
+UNION ALL SELECT 'errores', (SELECT count(*) FROM header WHERE orderkey % 50 = 7) UNION ALL SELECT 'adicionales', (SELECT count(*) FROM header WHERE orderkey % 50 != 7) UNION ALL SELECT 'documentos', (SELECT count(*) FROM header WHERE orderkey % 50 != 7) UNION ALL SELECT 'resumen', 1"""))
 def bundle(spark: SparkSession, d: str) -> DataFrame:
     """K1: the report's tables written from documents parsed once, and their rows; empty optional tables aren't written."""
     path = scratch(spark)

@@ -13,7 +13,7 @@ from taxloom.functions import amounts, dates
 from taxloom.functions.text import fold
 from taxloom.sources import xml
 
-ALWAYS = ["cabecera", "detalle", "impuestos", "pagos"]
+ALWAYS = ["resumen", "cabecera", "detalle", "impuestos", "pagos"]
 PARTITIONS = ["origen", "estado_ruta", "cod_doc", "anio", "mes"]
 
 # Titles of report columns; other columns get their words.

@@ -9,6 +9,7 @@ from taxloom import catalogs as K
 from taxloom import schemas
 from taxloom.functions import amounts, dates, keys
 from taxloom.functions.text import first_present, present
+from taxloom.operators import rows
 
 OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreNamespace": "true"}
 
@@ -216,6 +217,51 @@ def withholdings(docs: DataFrame) -> DataFrame:
     )
 
 
+_FACTS = {
+    **{"line_num": "int", "codigo": "string", "descripcion": "string"}, **dict.fromkeys(("cantidad", "precio", "descuento", "total"), "decimal(18,6)"),
+    **dict.fromkeys(("nivel", "codigo_impuesto", "pct"), "string"), **dict.fromkeys(("base", "valor"), "decimal(18,6)"), "forma_pago": "string", "pago": "decimal(18,6)", "plazo": "string", "unidad_tiempo": "string",
+}
+
+
+def fact_rows(docs: DataFrame) -> DataFrame:
+    """Items, taxes of both levels, and payments of documents as rows for :func:`taxloom.operators.rows.line_facts`, by one explode.
+
+    A row has one of the three; payments are numbered below all items, so that a document's first row with a payment is its first.
+    """
+
+    def row(**given: Column) -> Column:
+        return F.struct(*[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in _FACTS.items()])
+
+    def tax(level: str, x: Column) -> Column:
+        return row(nivel=F.lit(level), codigo_impuesto=x["codigo"], pct=x["codigoPorcentaje"], base=_money(x["baseImponible"]), valor=_money(x["valor"]))
+
+    none = F.array().cast("array<struct<" + ",".join(f"{c}:{kind}" for c, kind in _FACTS.items()) + ">>")
+    items = F.transform("doc.detalles.detalle", lambda x, i: row(
+        line_num=i + 1, codigo=first_present(x["codigoPrincipal"], x["codigoInterno"]), descripcion=x["descripcion"], cantidad=_money(x["cantidad"]), precio=_money(x["precioUnitario"]),
+        descuento=_money(x["descuento"]), total=_money(x["precioTotalSinImpuesto"]),
+    ))
+    totals = F.coalesce(F.transform("info.totalConImpuestos.totalImpuesto", lambda x: tax("DOCUMENTO", x)), F.transform("doc.impuestos.impuesto", lambda x: tax("DOCUMENTO", x)))
+    by_line = F.flatten(F.transform("doc.detalles.detalle", lambda x: F.coalesce(F.transform(x["impuestos"]["impuesto"], lambda t: tax("LINEA", t)), none)))
+    paid = F.transform("info.pagos.pago", lambda x, i: row(line_num=i - F.size("info.pagos.pago"), forma_pago=x["formaPago"], pago=_money(x["total"]), plazo=x["plazo"], unidad_tiempo=x["unidadTiempo"]))
+    whole = F.when(F.col("doc.infoCompRetencion").isNull(), totals)
+    return docs.select("path", F.explode(F.concat(*[F.coalesce(part, none) for part in (items, whole, by_line, paid)])).alias("x")).select("path", "x.*")
+
+
+def summaries(docs: DataFrame) -> DataFrame:
+    """The summary of each document in 44 columns, by path, from the documents that :func:`good` gives."""
+    facts = rows.line_facts(fact_rows(docs), key="path").drop("motivos_descripcion", "motivos_valor")
+    return rows.summary_row(header(docs).join(facts, "path", "left"), key="path")
+
+
+def run_summary(heads: DataFrame) -> DataFrame:
+    """One row for a report: the name of the query, when it ran, the range of issue dates, and the number of documents."""
+    first, last = F.min("fecha_emision"), F.max("fecha_emision")
+    return heads.agg(
+        F.concat(F.lit("RECIBIDOS_"), F.coalesce(first, F.current_date()).cast("string")).alias("consulta_id"), F.current_timestamp().alias("fecha_ejecucion"),
+        F.coalesce(F.concat_ws(" a ", first, last), F.lit("")).alias("rango_fechas"), F.count(F.lit(1)).alias("total_documentos"),
+    )
+
+
 def row_counts(parsed: DataFrame) -> dict[str, Column]:
     """How many rows each table of :func:`report_bundle` will have, as aggregates over the parsed documents themselves."""
     good, doc = F.col("reason").isNull(), F.col("doc")
@@ -229,10 +275,11 @@ def row_counts(parsed: DataFrame) -> dict[str, Column]:
         "cabecera": F.lit(1), "detalle": size(items), "impuestos": F.when(held, 0).otherwise(size(document)) + by_line, "pagos": size(info["pagos"]["pago"]), "adicionales": size(doc["infoAdicional"]["campoAdicional"]),
         "retenciones": F.when(held, F.when(doc["docsSustento"]["docSustento"].isNotNull(), by_support).otherwise(size(doc["impuestos"]["impuesto"]))).otherwise(0),
     }
-    return {t: F.coalesce(F.sum(F.when(good, n)), F.lit(0)).cast("long") for t, n in each.items()} | {"errores": F.count("reason")}
+    counts = {t: F.coalesce(F.sum(F.when(good, n)), F.lit(0)).cast("long") for t, n in each.items()}
+    return {"resumen": F.lit(1).cast("long")} | counts | {"errores": F.count("reason"), "documentos": F.count(F.when(good, 1))}
 
 
 def report_bundle(parsed: DataFrame) -> dict[str, DataFrame]:
-    """All tables of a report, from documents parsed once."""
+    """All tables of a report, from documents parsed once: the run, the headers, what is below them, the errors, and the summaries."""
     docs = good(parsed)
-    return {"cabecera": header(docs), "detalle": lines(docs).drop("impuestos"), "impuestos": taxes(docs), "pagos": payments(docs), "adicionales": extras(docs), "retenciones": withholdings(docs), "errores": errors(parsed)}
+    return {"resumen": run_summary(header(docs)), "cabecera": header(docs), "detalle": lines(docs).drop("impuestos"), "impuestos": taxes(docs), "pagos": payments(docs), "adicionales": extras(docs), "retenciones": withholdings(docs), "errores": errors(parsed), "documentos": summaries(docs)}

@@ -62,6 +62,25 @@ def test_headers(tables):
     assert json.loads(h["K1"].info_adicional) == [{"nombre": "mail", "valor": "x@y.z"}]
 
 
+def test_summaries(tables):
+    found = {r.clave_acceso: r for r in tables["documentos"]}
+    assert set(found) == {"K1", "K2", "K3", "K4", "K5", "K6", "R1", "R2"}
+    k = found["K1"]
+    assert (k.estado, k.fecha_emision, k.razon_social_comprador, k.descripciones, k.codigo_documento) == ("AUTORIZADO", "03/02/2024", "Ana", "uno | dos", "01 - FACTURA")
+    assert (k.base_gravada, k.monto_iva, k.tarifas_iva, k.importe_total, k.campos_adicionales) == (100.0, 15.0, "15%", 1234.56, "mail: x@y.z")
+    assert (found["K6"].valor_modificacion, found["R1"].base_gravada, found["R1"].tarifas_iva, found["R1"].descripciones) == (9.5, 0.0, "No Disponible", "No Disponible")
+    run = tables["resumen"][0]
+    assert (run.consulta_id, run.rango_fechas, run.total_documentos) == ("RECIBIDOS_2024-02-03", "2024-02-03 a 2024-02-03", 8)
+
+
+def test_first_payment(spark):
+    """The first payment is the first in the document, and all count in the total."""
+    pays = "".join(f"<pago><formaPago>{f}</formaPago><total>{t}</total><plazo>{t}</plazo><unidadTiempo>dias</unidadTiempo></pago>" for f, t in (("20", 7), ("01", 5), ("19", 9)))
+    doc = invoice("P1").replace("</infoFactura>", f"<pagos>{pays}</pagos></infoFactura>")
+    r = xml.report_bundle(xml.parse(spark.createDataFrame([("p.xml", doc)], "path string, value string")))["documentos"].first()
+    assert (r.forma_pago, r.plazo_pago, r.unidad_tiempo_pago, r.total_pago) == ("20 - Otros con utilizacion del sistema financiero", "7", "dias", 21.0)
+
+
 def test_errors(tables):
     found = {r.archivo_xml.rsplit("/", 1)[1]: r.error for r in tables["errores"]}
     assert found == {"broken.xml": "XML invalido", "empty.xml": "Comprobante vacio", "inner.xml": "Comprobante interno invalido", "headless.xml": "Sin infoTributaria"}
