@@ -113,19 +113,33 @@ def report_files(spark: SparkSession, d: str) -> DataFrame:
     return reports.report_files(paths).drop("path")
 
 
-@query("k3_issued_listing", sql("header", """SELECT orderkey, clave AS "CLAVE_ACCESO", CASE WHEN orderkey % 3 != 0 THEN importe::DOUBLE END AS "IMPORTE_TOTAL", CASE WHEN orderkey % 3 = 0 THEN 'por definir' ELSE replace(importe::VARCHAR, '.', ',') END AS "IMPORTE_TOTAL_texto",
-  CASE WHEN orderkey % 4 != 0 THEN fecha::TIMESTAMP + INTERVAL 10 HOUR END AS "FECHA_AUTORIZACION", CASE WHEN orderkey % 4 = 0 THEN 'pendiente' ELSE strftime(fecha, '%d/%m/%Y') || ' 10:00:00' END AS "FECHA_AUTORIZACION_texto" FROM header"""))
+@query("k3_issued_listing", sql("header", """SELECT orderkey, 'Factura' AS "COMPROBANTE", estab || '-' || pto || '-' || sec AS "SERIE_COMPROBANTE", clave AS "CLAVE_ACCESO",
+  CASE WHEN orderkey % 4 != 0 THEN fecha::TIMESTAMP + INTERVAL 10 HOUR END AS "FECHA_AUTORIZACION", CASE WHEN orderkey % 4 = 0 THEN 'pendiente' ELSE strftime(fecha, '%d/%m/%Y') || ' 10:00:00' END AS "FECHA_AUTORIZACION_texto",
+  strftime(fecha, '%d/%m/%Y') AS "FECHA_EMISION", (importe - custkey % 50)::DOUBLE AS "VALOR_SIN_IMPUESTOS", (importe - custkey % 50)::VARCHAR AS "VALOR_SIN_IMPUESTOS_texto", NULL::DOUBLE AS "IVA", '' AS "IVA_texto",
+  CASE WHEN orderkey % 3 != 0 THEN importe::DOUBLE END AS "IMPORTE_TOTAL", CASE WHEN orderkey % 3 = 0 THEN 'por definir' ELSE replace(importe::VARCHAR, '.', ',') END AS "IMPORTE_TOTAL_texto" FROM header"""))
 def issued_listing(spark: SparkSession, d: str) -> DataFrame:
-    """K3: amounts and times of a listing as values, with the text beside them; what doesn't convert is not lost."""
+    """K3: the listing of issued documents in its eight columns; what doesn't convert isn't lost, a missing column is empty."""
     k = F.col("orderkey")
     listing = bridge.header(spark, d).select(
-        "orderkey", F.col("clave").alias("CLAVE_ACCESO"), F.when(k % 3 == 0, "por definir").otherwise(F.replace(F.col("importe").cast("string"), F.lit("."), F.lit(","))).alias("IMPORTE_TOTAL"),
+        "orderkey", F.lit("Factura").alias("COMPROBANTE"), keys.series(F.col("estab"), F.col("pto"), F.col("sec")).alias("SERIE_COMPROBANTE"), F.col("clave").alias("CLAVE_ACCESO"),
+        F.date_format("fecha", "dd/MM/yyyy").alias("FECHA_EMISION"), (F.col("importe") - F.col("custkey") % 50).cast("decimal(16,2)").cast("string").alias("VALOR_SIN_IMPUESTOS"),
+        F.when(k % 3 == 0, "por definir").otherwise(F.replace(F.col("importe").cast("string"), F.lit("."), F.lit(","))).alias("IMPORTE_TOTAL"),
         F.when(k % 4 == 0, "pendiente").otherwise(F.concat(F.date_format("fecha", "dd/MM/yyyy"), F.lit(" 10:00:00"))).alias("FECHA_AUTORIZACION"),
     )
-    out = reports.typed_beside_text(listing, ["IMPORTE_TOTAL"], ["FECHA_AUTORIZACION"])
+    out = reports.issued_listing(listing, keep=["orderkey"])
     return out.withColumn("FECHA_AUTORIZACION", F.col("FECHA_AUTORIZACION").cast("timestamp_ntz"))
 
 
+@query("k5_period_names", sql("header", """SELECT orderkey, CASE orderkey % 4 WHEN 0 THEN strftime(fecha, '%Y') WHEN 1 THEN strftime(fecha, '%Y%m') WHEN 2 THEN strftime(fecha, '%Y%m%d')
+  ELSE strftime(fecha, '%Y%m') || CASE WHEN month(fecha) < 10 THEN '-' || lpad((month(fecha) + 2)::VARCHAR, 2, '0') ELSE '' END END AS periodo FROM header"""))
+def period_names(spark: SparkSession, d: str) -> DataFrame:
+    """K5: what reports of a year, a month, a day and a range of months are called."""
+    k, day = F.col("orderkey") % 4, F.col("fecha")
+    month, last = F.month(day), F.month(day) + F.when(F.month(day) < 10, 2).otherwise(0)
+    name = reports.period_label(F.year(day), F.when(k > 0, month), F.when(k == 2, F.dayofmonth(day)), F.when(k == 3, last))
+    return bridge.header(spark, d).select("orderkey", name.alias("periodo"))
+
+
 @query("s13_best_match", sql("header", """SELECT orderkey, ruc, nivel FROM (SELECT *, min(nivel) OVER (PARTITION BY ruc) AS mejor FROM (
   SELECT *, CASE WHEN origin = 'Emitidos' AND estado = 'AUTORIZADO' THEN 1 WHEN origin = 'Emitidos' THEN 2 ELSE 3 END AS nivel FROM header))
 WHERE mejor = 3 OR (mejor = 2 AND nivel <= 2) OR (mejor = 1 AND nivel = 1)"""))

@@ -279,6 +279,49 @@ def conformed_report(spark: SparkSession, d: str) -> DataFrame:
     return combine.conform(rows.standard_row(docs), wanted, {c: 0 if k == "double" else "" for c, k in wanted.items()})
 
 
+def _partly(columns: dict[str, str]) -> dict[str, str]:
+    """The columns that :func:`_conformed` lacks filled, and nulls in the others."""
+    empty = {c: "0::DOUBLE" if c.startswith(rows.NUMBERS) else "''" for c in columns}
+    return {c: f"coalesce({v}, {empty[c]})" if len(c) % 3 != 1 else empty[c] for c, v in columns.items()}
+
+
+def _conformed(full: DataFrame) -> DataFrame:
+    """Rows of a report that lack a third of the columns and have the others as text, by the report's schema."""
+    partial = full.select("orderkey", *[F.col(f"`{c}`").cast("string").alias(c) for c in full.columns if c != "orderkey" and len(c) % 3 != 1])
+    wanted = rows.report_schema(full.columns)
+    return combine.conform(partial, wanted, {c: 0 if k == "double" else "" for c, k in wanted.items()})
+
+
+@query("k2_withholdings", _held_sql(_partly(_HELD)))
+def conformed_withholdings(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of received withholdings by their report's 41 columns."""
+    return _conformed(withholding_row(spark, d))
+
+
+@query("k2_issued_withholdings", _held_sql(_partly(_ISSUED_HELD)))
+def conformed_issued_withholdings(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of issued withholdings by their report's 49 columns."""
+    return _conformed(issued_withholding_row(spark, d))
+
+
+@query("k2_issued_invoices", sql(_over(_REPORT, _partly(_INVOICE), "01")))
+def conformed_issued_invoices(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of issued invoices by their report's 38 columns."""
+    return _conformed(issued_invoices(spark, d))
+
+
+@query("k2_issued_credit_notes", sql(_over(_REPORT, _partly(_CREDIT), "04")))
+def conformed_issued_credit_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of issued credit notes by their report's 44 columns."""
+    return _conformed(issued_credit_notes(spark, d))
+
+
+@query("k2_issued_debit_notes", sql(_over(_REPORT, _partly(_DEBIT), "05")))
+def conformed_issued_debit_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of issued debit notes by their report's 44 columns."""
+    return _conformed(issued_debit_notes(spark, d))
+
+
 def _defaults(columns: dict[str, str], texts: dict[str, str], word: str) -> str:
     return ", ".join(f"""{'0::DOUBLE' if c.startswith(rows.NUMBERS) else repr(texts.get(c, word))} AS "{c}\"""" for c in columns)
 
@@ -290,6 +333,13 @@ def default_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.default_rows(broken, "archivo_xml", "factura", list(_INVOICE))
 
 
+@query("p16_default_notes", f"""SELECT o_orderkey || '.xml' AS archivo_xml, {_defaults(_CREDIT, dict.fromkeys(rows.EMPTY_IN_NOTES, ""), K.MISSING)} FROM orders WHERE o_orderkey % 50 = 7""")
+def default_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Default rows of notes for documents that can't be read."""
+    broken = xml.errors(xml.parse(documents.xml_documents(spark, d))).select(F.regexp_extract("archivo_xml", "([^/]*)$", 1).alias("archivo_xml"))
+    return rows.default_rows(broken, "archivo_xml", "nota", list(_CREDIT))
+
+
 @query("p16_default_withholdings", f"""SELECT orderkey, {_defaults(_ISSUED_HELD, {c: K.MISSING for c in ("nombreComercial", "numeroContribuyenteEspecial", "numeroAgenteRetencion", "informacionAdicional")} | {"Impuesto_Ret_IVA": K.NOT_APPLICABLE, "Impuesto_Ret_IR": K.NOT_APPLICABLE, "tipoDocumento": "Retencion"}, "")}
 FROM (SELECT o_orderkey AS orderkey FROM orders WHERE o_orderkey % 5 = 4 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))""")
 def default_withholdings(spark: SparkSession, d: str) -> DataFrame:

@@ -156,20 +156,28 @@ def report_files(paths: DataFrame, path: str = "path") -> DataFrame:
     Names are ``<origin>_reporte_<format>_<type>_<period>`` or ``reporte_<type>_<year>_<month>``, which is of received XML; a
     copy has a number behind the period. Other files aren't reports.
     """
+    main = r"(recibidos|emitidos)_reporte_(xml|pdf)_(.+?)_(\d{6,8})"
+    old = r"reporte_(.+?)_(\d{4})_(\d{2})"
+    name = rf"(?i)^(?:.*/)?(?:{main}|{old})(?:_\d+)?\.[a-z]+$"
     folder = F.transform(F.split(path, "/"), lambda x: F.lower(fold(x)))
-    main = r"(?i)(?:^|/)(recibidos|emitidos)_reporte_(xml|pdf)_(.+?)_(\d{6,8})(?:_\d+)?\.[a-z]+$"
-    old = r"(?i)(?:^|/)reporte_(.+?)_(\d{4})_(\d{2})(?:_\d+)?\.[a-z]+$"
 
-    def group(pattern: str, i: int) -> Column:
-        return F.nullif(F.lower(F.regexp_extract(path, pattern, i)), F.lit(""))
+    def once(c: Column) -> Column:
+        """The same value, which later steps don't evaluate again."""
+        return F.explode(F.array(c))
 
-    named = paths.filter(~F.array_contains(folder, "consolidados") & (F.col(path).rlike(main) | F.col(path).rlike(old))).withColumns({
-        "origen": F.coalesce(group(main, 1), F.lit("recibidos")), "formato": F.coalesce(group(main, 2), F.lit("xml")), "tipo_slug": F.coalesce(group(main, 3), group(old, 1)),
-        "_token": F.coalesce(group(main, 4), F.concat(group(old, 2), group(old, 3))),
-    })
-    dated = named.withColumn("_when", dates.period(F.col("_token")))
-    out = dated.select(*[c for c in named.columns if c != "_token"], F.col("_when.year").alias("anio"), F.col("_when.month").alias("mes"), F.col("_when.day").alias("dia"))
-    return out.filter("anio is not null")
+    mark = "\x01"
+    parts = F.split(F.lower(F.regexp_replace(path, name, mark.join(f"${i}" for i in range(1, 8)))), mark)
+    there = paths.filter(~F.array_contains(folder, "consolidados") & F.col(path).rlike(name)).withColumn("_parts", once(parts))
+
+    def part(i: int) -> Column:
+        return F.nullif(F.get("_parts", F.lit(i)), F.lit(""))
+
+    token = F.coalesce(part(3), F.concat(part(5), part(6)))
+    dated = there.withColumn("_when", once(dates.period(token)))
+    return dated.select(
+        *paths.columns, F.coalesce(part(0), F.lit("recibidos")).alias("origen"), F.coalesce(part(1), F.lit("xml")).alias("formato"), F.coalesce(part(2), part(4)).alias("tipo_slug"),
+        F.col("_when.year").alias("anio"), F.col("_when.month").alias("mes"), F.col("_when.day").alias("dia"),
+    ).filter("anio is not null")
 
 
 def typed_beside_text(df: DataFrame, numbers: list[str], times: list[str]) -> DataFrame:
@@ -178,6 +186,17 @@ def typed_beside_text(df: DataFrame, numbers: list[str], times: list[str]) -> Da
     return df.select(*[x for c in df.columns for x in ([typed[c].alias(c), F.col(c).alias(f"{c}_texto")] if c in typed else [F.col(c)])])
 
 
+# The columns of the listing of issued documents.
+ISSUED_LISTING = ["COMPROBANTE", "SERIE_COMPROBANTE", "CLAVE_ACCESO", "FECHA_AUTORIZACION", "FECHA_EMISION", "VALOR_SIN_IMPUESTOS", "IVA", "IMPORTE_TOTAL"]
+
+
+def issued_listing(rows: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The listing of issued documents: its columns in order, missing ones empty, amounts and times typed beside their text."""
+    there = {c.upper(): c for c in rows.columns}
+    whole = rows.select(*keep, *[(F.coalesce(F.col(there[c]).cast("string"), F.lit("")) if c in there else F.lit("")).alias(c) for c in ISSUED_LISTING])
+    return typed_beside_text(whole, ["VALOR_SIN_IMPUESTOS", "IVA", "IMPORTE_TOTAL"], ["FECHA_AUTORIZACION"])
+
+
 def title(name: str) -> str:
     """A column's title: from the dictionary, from the patterns of pivoted columns, else its words in title case."""
     key = name.upper()
@@ -213,3 +232,10 @@ def period_name(year: int, month: int | None = None, day: int | None = None, las
     if day:
         return f"{year}{month:02d}{day:02d}"
     return f"{year}{month:02d}" + (f"-{last_month:02d}" if last_month and last_month != month else "")
+
+
+def period_label(year: Column, month: Column, day: Column, last_month: Column) -> Column:
+    """:func:`period_name` of columns; null stands for a part that isn't there."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    to = F.when(day.isNull() & (last_month != month), F.concat(F.lit("-"), two(last_month)))
+    return F.concat(year.cast("string"), F.coalesce(two(month), F.lit("")), F.coalesce(two(day), F.lit("")), F.coalesce(to, F.lit("")))
