@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxloom.llm.common import shuffle_partitions
@@ -26,29 +26,26 @@ def merged_runs(digested: DataFrame, keep: str = "max", runs: int | None = None,
     """One row for each digest, with the identifier to keep and the number of copies, merged level by level.
 
     There are as many runs as shuffle partitions, rounded up to a power of two, and each is one partition. Input
-    partitions are dealt to runs as they come; equal digests of a run are combined at once. In each round, runs whose
-    numbers differ in the next few bits only exchange their parts: a row moves to the run that has its digest's bits
-    there, where parts are merged in digest order and one verified identifier is kept for each digest. After
-    ``rounds`` rounds a run holds a slice of the digests and no digest is in two runs. A group of copies has one row
-    for each run at most, in every round, however large it is.
+    partitions are dealt to runs as they come. In each round, runs whose numbers differ in the next few bits only exchange
+    their parts: a row moves to the run that has its digest's bits there. That run sorts what it gets by digest and identifier
+    and merges it in one pass over the sorted rows: a window of one digest's rows, of which the first stays, verified by the second
+    hash and the length, with the sum of the copies. After ``rounds`` rounds a run holds a slice of the digests, sorted, and
+    no digest is in two runs. A large group of copies is spread over all runs but for the first round's bits when it is first merged; from
+    then on it has one row for each run at most.
     """
-    best = {"max": F.max, "min": F.min}[keep]
+    order = {"max": F.desc_nulls_last("keep_id"), "min": F.asc_nulls_last("keep_id")}[keep]
     bits = max(1, ((runs or shuffle_partitions(digested.sparkSession)) - 1).bit_length())
     fan = -(-bits // rounds)
     runs = 1 << bits
     slice_ = F.expr(f"cast(conv(substr(text_sha256, 1, 7), 16, 10) as int) % {runs}")
-    first = digested.groupBy(F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"), *DIGEST)
-    level = first.agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+    alike = Window.partitionBy("run", *DIGEST)
+    level = digested.select(F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"), *DIGEST, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
     for low in range(0, bits, fan):
         mask = ((1 << min(fan, bits - low)) - 1) << low
         to = F.col("run").bitwiseAND(runs - 1 - mask).bitwiseOR(slice_.bitwiseAND(mask))
-        level = (
-            level.withColumn("run", to)
-            .repartitionById(runs, F.col("run"))
-            .sortWithinPartitions("run", *DIGEST)
-            .groupBy("run", *DIGEST)
-            .agg(best("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-        )
+        dealt = level.withColumn("run", to).repartitionById(runs, F.col("run"))
+        merged = dealt.withColumn("place", F.row_number().over(alike.orderBy(order))).withColumn("copies", F.sum("copies").over(alike))
+        level = merged.filter("place = 1").drop("place")
     return level.drop("run")
 
 

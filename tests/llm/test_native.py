@@ -74,6 +74,21 @@ def test_exact(spark, odd, none, keep):
     assert exact.exact_dedup(none).collect() == []
 
 
+def test_rounds_merge_sorted_runs(spark):
+    """The plan that runs has, for each round, one exchange by run, a sort by digest, and a window over the sorted rows."""
+    digested = exact.digests(table(spark, [(i, str(i % 50), "en", "a") for i in range(500)]).repartition(5), "doc_id", "text")
+    final = exact.merged_runs(digested, runs=64)
+    assert final.count() == 50
+    plan = final._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") >= 3 and plan.count("RepartitionByExpression") == 3
+    executed = final._jdf.queryExecution().executedPlan().toString()
+    executed = executed.split("== Initial Plan ==")[-1]
+    assert executed.count("Exchange") == 4 and executed.count("Aggregate") == 0  # one exchange is the test's own
+    steps = [line.strip(" :+-").split(" ")[0] for line in executed.splitlines()]
+    sorts = [i for i, step in enumerate(steps) if step == "Sort"]
+    assert len(sorts) >= 3 and all("run#" in executed.splitlines()[i] and "text_sha256#" in executed.splitlines()[i] for i in sorts)
+
+
 @pytest.mark.parametrize("runs,rounds", [(1, 3), (7, 1), (64, 3), (64, 6)])
 def test_runs(spark, runs, rounds):
     """However many runs there are, every digest ends in one row."""
