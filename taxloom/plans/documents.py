@@ -263,6 +263,61 @@ def left_column(spark: SparkSession, d: str) -> DataFrame:
     return layout.column_text(words, ["doc_id"], left=True).select("doc_id", "text")
 
 
+LABELS = {
+    "rucEmisor": ["R U C", "R.U.C", "RUC"], "numeroComprobante": ["No.", "NUMERO DE DOCUMENTO"], "claveAcceso": ["CLAVE DE ACCESO"], "obligadoContabilidad": ["OBLIGADO A LLEVAR CONTABILIDAD"],
+    "fechaEmision": ["FECHA EMISION", "FECHA DE EMISION"], "razonSocialComprador": ["RAZON SOCIAL NOMBRES Y APELLIDOS", "RAZON SOCIAL COMPRADOR"], "valorTotal": ["IMPORTE TOTAL", "VALOR TOTAL"],
+}
+
+
+def doubtful_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each order's printed form, at places that differ from row to row, some of them wrong or where they don't belong."""
+    k = F.col("orderkey")
+    right = lambda x, y, label, value: [(x, y, label), (x + 150.0, y + 1.0, value)]
+    below = lambda x, y, label, value: [(x, y, label), (x + 5.0, y + 24.0, value)]
+    broken = F.concat(F.left("clave", F.lit(48)), (F.right("clave", F.lit(1)).cast("int") + 1).cast("string").substr(1, 1))
+    cells = [
+        *right(20.0, 20.0, F.when(k % 4 == 1, F.lit("RUC")), F.lit("123")), (20.0, 90.0, F.concat(F.lit("R.U.C.: "), "ruc")), *right(320.0, 20.0, F.lit("No."), F.concat_ws("-", "estab", "pto", "sec")),
+        *below(330.0, 90.0, F.lit("CLAVE DE ACCESO"), F.when(k % 5 == 2, broken).otherwise(F.col("clave"))), (330.0, 200.0, F.when(k % 5 == 2, F.concat(F.lit("Clave de acceso: "), "clave"))),
+        *right(20.0, 160.0, F.when(k % 3 != 0, F.lit("OBLIGADO A LLEVAR CONTABILIDAD")), F.lit("SI")), *right(20.0, 740.0, F.when(k % 3 == 0, F.lit("OBLIGADO A LLEVAR CONTABILIDAD")), F.lit("NO")),
+        *right(20.0, 330.0, F.lit("FECHA EMISION"), F.when(k % 7 == 3, F.lit("31/13/2024")).otherwise(F.date_format("fecha", "dd/MM/yyyy"))), *below(20.0, 400.0, F.lit("RAZON SOCIAL / NOMBRES Y APELLIDOS"), F.concat(F.lit("Cliente "), F.col("custkey").cast("string"))),
+        *right(320.0, 640.0, F.lit("VALOR TOTAL"), F.replace(F.col("importe").cast("string"), F.lit("."), F.lit(","))),
+    ]
+    shift = (k % 7).cast("double")
+    boxes = F.array(*[F.struct(F.lit(i).alias("line"), (F.lit(x) + shift).alias("x0"), (F.lit(y) + shift * 0.5).alias("y0"), F.when(F.lit(i % 2 == 0) | t.isNotNull(), t).alias("text")) for i, (x, y, t) in enumerate(cells)])
+    rows = bridge.header(spark, d).select(F.col("orderkey").alias("doc_id"), F.explode(boxes).alias("w")).select("doc_id", F.lit(0).alias("page_index"), "w.*").filter("text is not null")
+    return rows.withColumns({"x1": F.col("x0") + 140, "y1": F.col("y0") + 10, "region": layout.region(F.col("x0"), F.col("y0"), F.lit(600.0), F.lit(800.0))})
+
+
+_CHECKED = {
+    "rucEmisor": ("ruc", "0.86"), "numeroComprobante": ("estab || '-' || pto || '-' || sec", "0.92"), "claveAcceso": ("clave", "CASE WHEN orderkey % 5 = 2 THEN 0.86 ELSE 0.82 END"), "obligadoContabilidad": ("CASE WHEN orderkey % 3 != 0 THEN 'SI' END", "0.92"),
+    "fechaEmision": ("CASE WHEN orderkey % 7 != 3 THEN strftime(fecha, '%d/%m/%Y') END", "0.92"), "razonSocialComprador": ("'Cliente ' || custkey", "0.82"), "valorTotal": ("importe::VARCHAR", "0.92"),
+}
+
+
+@query("x4_checked_fields", sql("header", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT orderkey AS doc_id, '{f}' AS field, {v} AS value, ({c})::DOUBLE AS confidence FROM header" for f, (v, c) in _CHECKED.items()) + ") WHERE value IS NOT NULL"))
+def checked_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of pages by labels in their regions; wrong keys, ids and dates leave before the best evidence is taken."""
+    return layout.checked_values(doubtful_boxes(spark, d), ["doc_id", "page_index"], LABELS).drop("page_index")
+
+
+@query("x9_columns", sql("header", """SELECT doc_id, side, string_agg(text, '|' ORDER BY y) AS texts FROM (
+  SELECT orderkey AS doc_id, parte AS side, y, CASE WHEN parte = 'left' AND y = 90 THEN CASE WHEN orderkey % 3 = 0 THEN 'Identificación 1' ELSE 'Calle ' || estab END
+    WHEN parte = 'left' THEN 'Emisor ' || custkey || ' ' || y::INTEGER ELSE 'Dato ' || sec || ' ' || y::INTEGER END AS text
+  FROM header, (VALUES ('left', 50), ('left', 90), ('left', 130), ('left', 310), ('right', 50), ('right', 330)) x(parte, y))
+WHERE side = 'right' OR doc_id % 3 != 0 OR y < 90 GROUP BY doc_id, side"""))
+def columns(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a page's left and right columns, above their limits, the left one up to where the buyer begins."""
+    k, h = F.col("orderkey"), bridge.header(spark, d)
+    shift = (k % 11).cast("double")
+    cells = [(x, y, c) for y in (50, 90, 130, 310, 325, 500) for x, c in ((20.0, F.when((F.lit(y) == 90), F.when(k % 3 == 0, "Identificación").otherwise("Calle")).otherwise("Emisor")), (110.0, F.when((F.lit(y) == 90), F.when(k % 3 == 0, F.lit("1")).otherwise(F.col("estab"))).otherwise(F.concat(F.col("custkey").cast("string"), F.lit(f" {y}")))))]
+    cells += [(x, y, c) for y in (50, 330, 400) for x, c in ((300.0, F.lit("Dato")), (380.0, F.concat("sec", F.lit(f" {y}"))))]
+    words = F.array(*[F.struct((F.lit(x) + shift).alias("x0"), F.lit(float(y)).alias("y0"), c.alias("text")) for x, y, c in cells])
+    rows = h.select(k.alias("doc_id"), F.explode(words).alias("w")).select("doc_id", "w.*")
+    page = rows.withColumns({"x1": F.col("x0") + 60, "y1": F.col("y0") + 10, "page_width": F.lit(600.0), "page_height": F.lit(800.0)})
+    lines = layout.column_texts(page, ["doc_id"])
+    return lines.groupBy("doc_id", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "|").alias("texts"))
+
+
 @query("s8_run_history", sql("history", "SELECT ruc, origen, anio, mes, dia, tipo, n_xml, n_pdf FROM history"))
 def run_history(spark: SparkSession, d: str) -> DataFrame:
     """Run records appended as JSON and read again."""
