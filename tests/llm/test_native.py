@@ -141,6 +141,35 @@ def test_added_spans(spark):
     assert pii.find_personal_data(docs, model).first().spans == "email:9:32,email:36:48"
 
 
+PLANTED = {
+    "email": ["jane.doe (at) example (dot) org", "bob[at]site.net", "m.lee {at} corp {dot} com", "x_y (AT) some-host (DOT) ec", "kim [at] uni [dot] edu", "a.b (at) mail.example.org"],
+    "ip": ["192 . 168 . 0 . 12", "10,20,30,40", "172. 16. 254. 1", "8, 8, 8, 8", "203 .0 .113 .9"],
+    "card": ["4111.1111.1111.1111", "5500-0000-0000-0004", "378282246310005", "3782 822463 10005", "6011.0009.9013.9424"],
+    "phone": ["(555) 123-4567", "020 555 0199", "593 2 255 1234", "555-867-5309", "044 668 18 00", "01 23 45 67 89"],
+}
+FRAMES = {"email": "Please contact {} today", "ip": "The server at {} is down", "card": "Paid by visa {} yesterday", "phone": "In a hurry call {} at once"}
+
+
+@pytest.mark.parametrize("rows", [None, 0, 300])
+def test_all_kinds_on_any_table(spark, sf, rows):
+    """On a table with few or no examples, or none at all, all kinds have thresholds, and planted data of other forms is found."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = pii.fit(docs if rows is None else docs.limit(rows))
+    assert set(model.thresholds) == set(pii.KINDS)
+    texts = [(k, FRAMES[k].format(x), x) for k, many in PLANTED.items() for x in many]
+    found = {r.doc_id: r.spans or "" for r in pii.find_personal_data(table(spark, [(i, t, "en", "a") for i, (_, t, _) in enumerate(texts)]), model).collect()}
+    caught, missed = Counter(), []
+    for i, (k, t, x) in enumerate(texts):
+        at = t.index(x)
+        spans = [s.split(":") for s in found[i].split(",") if s]
+        hit = any(kind == k and int(a) <= at + 1 and int(b) >= at + len(x) - 1 for kind, a, b in spans)
+        caught[k] += hit
+        missed += [] if hit else [(t, found[i])]
+    assert all(caught[k] >= 0.9 * len(PLANTED[k]) - 0.5 for k in PLANTED), missed
+    clean = ["It was 1994 and 2003 again", "pages 12 13 14 15 16 17", "order 020 555 0199 now", "version 2, 3, 4, 5 of it", "meet ann (at) noon today", "total 1234567890123456 units", "No digits here at all"]
+    assert [r.spans for r in pii.find_personal_data(table(spark, [(i, t, "en", "a") for i, t in enumerate(clean)]), model).collect()] == [""] * len(clean)
+
+
 def test_fit_learns_what_base_misses(spark):
     """Addresses with marks and hinted numbers in other forms than the base patterns' are selected, bare numbers are not."""
     r = random.Random(4)
