@@ -76,12 +76,16 @@ def entitled(requests: DataFrame, licences: DataFrame, devices: DataFrame, at: C
     A licence (license_id, user_id, is_active, device_fingerprint, expires_at) of the user counts while it is active, if
     one of its devices (license_id, fingerprint) has the request's fingerprint; only without such a one, if its own
     fingerprint, of the time before devices, is the request's. Of several the smallest counts.
+
+    The best licence is found once for each user and fingerprint, so a request meets one row, however many licences its user has.
     """
-    own = requests.join(licences.filter("is_active"), "user_id")
-    known = own.join(devices, ["license_id", "fingerprint"], "left_semi").withColumn("via", F.lit(1))
-    legacy = own.filter("device_fingerprint = fingerprint").withColumn("via", F.lit(2))
-    best = known.unionByName(legacy).groupBy("request_id").agg(F.min(F.struct("via", "license_id", "expires_at")).alias("b"))
-    found = requests.join(best, "request_id", "left")
+    active = licences.filter("is_active")
+    licence = F.struct(F.col("via"), "license_id", "expires_at")
+    known = active.join(devices, "license_id").withColumn("via", F.lit(1)).select("user_id", "fingerprint", licence.alias("l"))
+    legacy = active.withColumn("via", F.lit(2)).select("user_id", F.col("device_fingerprint").alias("fingerprint"), licence.alias("l"))
+    best = known.unionByName(legacy).filter("user_id is not null and fingerprint is not null").groupBy("user_id", "fingerprint").agg(F.min("l").alias("l"))
+    met = requests.join(best, ["user_id", "fingerprint"], "left")
+    found = met.withColumn("b", F.when(F.col("request_id").isNotNull(), F.min("l").over(Window.partitionBy("request_id"))))
     state = F.when(F.col("b").isNull(), "no encontrada").when(F.col("b.expires_at") < at, "expirada").otherwise("valida")
     return found.select("request_id", F.col("b.license_id").alias("license_id"), F.when(F.col("b.via") == 1, "equipo").when(F.col("b.via") == 2, "licencia").alias("via"), state.alias("estado"))
 
