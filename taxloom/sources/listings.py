@@ -19,12 +19,20 @@ def delimiter(sample: Column) -> Column:
     return F.when(counts[";"] == most, ";").when(counts[","] == most, ",").otherwise("\t")
 
 
+SHARES = 64
+
+
 def seed_keys(rows: DataFrame, line: str = "value", of: str = "path") -> DataFrame:
-    """(of, clave, tipo, fecha) of the lines that hold an access key; the delimiter is each file's own."""
+    """(of, clave, tipo, fecha) of the lines that hold an access key; the delimiter is each file's own.
+
+    A file's lines meet its delimiter in ``SHARES`` shares by their hash, so a large file isn't one task.
+    """
     counts = [F.sum(F.length(F.col(line)) - F.length(F.replace(F.col(line), F.lit(c), F.lit("")))).alias(n) for c, n in ((";", "s"), (",", "c"), ("\t", "t"))]
     most = F.greatest("s", "c", "t")
     marks = rows.groupBy(of).agg(*counts).select(of, F.when(F.col("s") == most, ";").when(F.col("c") == most, ",").otherwise("\t").alias("mark"))
-    cells = rows.join(marks, of).withColumn("cells", F.expr(f"split({line}, mark)"))
+    shares = marks.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(line), F.lit(SHARES)).cast("int"))
+    cells = dealt.join(shares, [of, "_share"]).drop("_share").withColumn("cells", F.expr(f"split({line}, mark)"))
     key = F.get(F.filter("cells", lambda c: c.rlike(r"^\s*\d{49}\s*$")), 0)
     day = F.get(F.filter("cells", lambda c: c.rlike(r"^\s*\d{2}/\d{2}/\d{4}")), 0)
     kind = F.get(F.filter("cells", lambda c: c.rlike("(?i)factura|nota|retenci|liquidaci")), 0)

@@ -33,6 +33,9 @@ def tree(tmp_path_factory):
     return str(root)
 
 
+from pyspark.sql import functions as F
+
+
 def values(df):
     return "".join(sorted(r.value for r in df.collect()))
 
@@ -84,3 +87,21 @@ def test_archive(spark, tree, tmp_path):
     found.collect()
     scan = found._jdf.queryExecution().executedPlan().toString()
     assert "origen=" in scan and "mes={" not in scan.replace("mes={02", "")
+
+
+def test_a_large_list_is_not_one_task(spark):
+    """The lines of one file meet its delimiter in several partitions, also when nothing is broadcast."""
+    from taxloom.sources import listings
+
+    rows = spark.range(5000).selectExpr("'a.txt' AS path", "concat('Factura;', lpad(id, 49, '0'), ';01/02/2024') AS value")
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        found = listings.seed_keys(rows)
+        parts = found.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert len(parts) == 4 and sum(r["count"] for r in parts) == 5000
