@@ -6,11 +6,11 @@ import datetime
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
 
 from taxloom.sources import reports, xml
 
@@ -21,37 +21,38 @@ STORED = "clave string, path string, value string"
 MANIFEST = "lote long, carpeta string, tablas map<string,long>, documentos long, errores long, momento timestamp"
 
 
-class _FirstOfKey(StatefulProcessor):
-    """Passes on the first row of a key, by path among those that arrive together, and remembers that it has."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("stored", StructType([StructField("path", StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        first = None
-        for some in rows:
-            best = some.sort_values("path").head(1)
-            if first is None or best["path"].iloc[0] < first["path"].iloc[0]:
-                first = best
-        if first is not None and not self.stored.exists():
-            self.stored.update((first["path"].iloc[0],))
-            yield first[["clave", "path", "value"]]
-
-    def close(self) -> None:
-        pass
+def _first_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a partition, which has all rows of its keys in one batch of the stream, the first of each key by path."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    names = pa.Table.from_batches([b.select(["_key", "path"]) for b in rows])
+    order = pc.sort_indices(names, sort_keys=[("_key", "ascending"), ("path", "ascending")])  # nulls come last
+    keys = names["_key"].take(order).combine_chunks()
+    new = np.ones(len(keys), bool)
+    new[1:] = pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
+    if keys.null_count:
+        new[len(keys) - keys.null_count] = True
+    kept = np.zeros(len(keys), bool)
+    kept[order.to_numpy()[new]] = True
+    at = 0
+    for b in rows:
+        yield b.filter(pa.array(kept[at : at + b.num_rows]))
+        at += b.num_rows
 
 
 def stored_once(stream: DataFrame) -> DataFrame:
     """Of a stream of documents (clave, path, value) each key once: the first that arrives, whatever comes later.
 
-    Among rows of one batch the smallest path is first. Keys that were stored are the operator's state, kept by the checkpoint, so a
-    restarted run skips them too; a document without a key is told apart by its path. The state has a row for each key and needs the
-    RocksDB state store, which keeps it on disk.
+    Among rows of one batch the smallest path is first: a batch's rows are dealt by key, and each partition's copies leave before
+    Spark's own deduplication, which remembers the keys and asks no Python for them. Keys that were stored are its state, kept by the
+    checkpoint, so a restarted run skips them too; a document without a key is told apart by its path. The state has a row for each
+    key and needs the RocksDB state store, which keeps it on disk. A task holds a batch's share of one shuffle partition.
     """
     if "RocksDB" not in stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass"):
         raise RuntimeError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     keyed = stream.select(F.coalesce("clave", "path").alias("_key"), "clave", "path", "value")
-    return keyed.groupBy("_key").transformWithStateInPandas(_FirstOfKey(), STORED, "append", "none")
+    return keyed.repartition("_key").mapInArrow(_first_paths, f"_key string, {STORED}").dropDuplicates(["_key"]).drop("_key")
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, now: bool = True, files_per_batch: int = 10_000, once: bool = False):

@@ -97,3 +97,18 @@ def test_counts_are_the_tables(spark, tmp_path):
     tables = xml.report_bundle(spark.read.parquet(str(tmp_path / "r/leidos")))
     assert counts == {name: t.count() for name, t in tables.items()}
     assert sorted(p.name for p in (tmp_path / "r").iterdir()) == sorted(["leidos", *(n for n, c in counts.items() if c or n in reports.ALWAYS)])
+
+
+def test_keys_are_remembered_without_python(rocks, tmp_path):
+    """The state is Spark's own deduplication: no Python is called key by key."""
+    stream = rocks.readStream.schema(ingest.STORED).parquet(str(tmp_path))
+    plan = ingest.stored_once(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan
+
+
+def test_first_paths(spark):
+    import pyarrow as pa
+
+    rows = [("k", "k", "b", "1"), (None, None, None, "2"), ("k", "k", "a", "3"), ("", "", "z", "4"), ("m", "m", None, "5"), (None, None, None, "6"), ("m", "m", "c", "7")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("_key", "clave", "path", "value"), r, strict=True)) for r in part], schema=pa.schema([(c, pa.string()) for c in ("_key", "clave", "path", "value")])) for part in (rows[:3], rows[3:])]
+    assert sorted(v for b in ingest._first_paths(iter(batches)) for v in b["value"].to_pylist()) in (["2", "3", "4", "7"], ["3", "4", "6", "7"])
