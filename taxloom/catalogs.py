@@ -65,9 +65,10 @@ def dimension(spark: SparkSession, names: dict[str, str], code: str = "code", te
 
 def tax_slug(code: Column, rate: Column) -> Column:
     """Column stem of a tax: IVA_12, NO_OBJETO_IVA, ICE, IRBPNR, or IMP_code_rate."""
-    iva = label(rate, IVA_RATE, F.concat(F.lit("IVA "), rate, F.lit("%")))
+    stem = lambda name: name.replace("%", "").replace(" ", "_").upper()
+    other = F.upper(F.replace(F.replace(F.concat(F.lit("IVA "), rate, F.lit("%")), F.lit("%"), F.lit("")), F.lit(" "), F.lit("_")))
     return (
-        F.when(code == "2", F.upper(F.replace(F.replace(iva, F.lit("%"), F.lit("")), F.lit(" "), F.lit("_"))))
+        F.when(code == "2", label(rate, {k: stem(v) for k, v in IVA_RATE.items()}, other))
         .when(code == "3", "ICE")
         .when(code == "5", "IRBPNR")
         .otherwise(F.concat(F.lit("IMP_"), code, F.lit("_"), F.coalesce(F.nullif(rate, F.lit("")), F.lit("0"))))
