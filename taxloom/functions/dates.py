@@ -14,7 +14,13 @@ FORMATS = ["dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "yyyy-MM-dd'
 def timestamp(c: Column) -> Column:
     """Day-first or ISO text as a timestamp; null if it is none."""
     text = F.trim(F.regexp_replace(c, r"\s+", " "))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS])
+
+    def read(form: str) -> Column:
+        """By one format, if the text has what the format can't do without; a failed try costs more than the one that succeeds."""
+        timed = F.contains(text, F.lit(":"))
+        return F.when(F.contains(text, F.lit("/" if "/" in form else "-")) & (timed if ":" in form else ~timed), F.try_to_timestamp(text, F.lit(form)))
+
+    return F.coalesce(*[read(f) for f in FORMATS])
 
 
 def day_first(c: Column) -> Column:

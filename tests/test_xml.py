@@ -6,6 +6,7 @@ import json
 import pytest
 
 from taxloom.operators import layout
+from taxloom.plans import documents, star
 from taxloom.sources import listings, xml
 from taxloom.streaming import ingest
 
@@ -146,3 +147,30 @@ def test_word_lines(spark, tolerance):
     for row in layout.word_lines(df, ["page"], tolerance).orderBy("page", "line").collect():
         got.setdefault(row.page, []).append(row.text)
     assert got == {p: fold(ws, tolerance) for p, ws in pages.items()}
+
+
+ENVELOPES = {
+    "mark.xml": "﻿" + invoice("E1"), "json.xml": " \n" + json.dumps({"estado": "X", "comprobante": invoice("E2")}), "declared.xml": "\n<?xml version='1.0'?>\n" + invoice("E3"),
+    "named.xml": f"<ns:autorizacion xmlns:ns='u'><estado>A</estado><comprobante><![CDATA[{invoice('E4')}]]></comprobante></ns:autorizacion>",
+    "twice.xml": f"<autorizacion><estado>A</estado><comprobante><![CDATA[{invoice('E5')}]]></comprobante></autorizacion><autorizacion><estado>B</estado></autorizacion>",
+    "after.xml": f"<autorizacion><estado>A</estado><comprobante><![CDATA[{invoice('E6')}]]></comprobante></autorizacion> \n", "brace.xml": "{" + invoice("E7"), "none.xml": None, "blank.xml": " ",
+    "word.xml": invoice("E8").replace("<descripcion>uno", "<descripcion>autorizacion uno"),
+}
+
+
+def test_part_of_a_document_as_the_whole(spark):
+    """What a table reads of a document gives that table as all of it does, the same documents broken, in every envelope."""
+    docs = spark.createDataFrame([*FILES.items(), *ENVELOPES.items()], "path string, value string")
+    whole = xml.report_bundle(xml.parse(docs))
+    assert {r.clave for r in whole["cabecera"].collect()} == {*(f"K{i}" for i in range(1, 7)), "R1", "R2", *(f"E{i}" for i in (1, 2, 3, 4, 5, 6, 8))}
+    makers = {"cabecera": xml.header, "impuestos": xml.taxes, "pagos": xml.payments, "retenciones": xml.withholdings}
+    for name, make in makers.items():
+        assert sorted(map(str, make(xml.good(xml.parse(docs, name))).collect())) == sorted(map(str, whole[name].collect())), name
+    assert sorted(map(str, xml.errors(xml.parse(docs, "errores")).collect())) == sorted(map(str, whole["errores"].collect()))
+
+
+def test_documents_are_gathered_without_an_aggregation(spark, sf):
+    """Each document's lines are gathered as they are dealt; an aggregation sorted all their texts twice more."""
+    for made in (documents.xml_documents, star.xml_documents):
+        plan = made(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("Window [") == 2
