@@ -35,8 +35,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/taxloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def xml_documents(spark: SparkSession, d: str) -> DataFrame:
-    """(path, value): an XML document for each order, wrapped in CDATA, escaped, or bare in turn; some are broken."""
+def xml_documents(spark: SparkSession, d: str, path: F.Column | None = None) -> DataFrame:
+    """(path, value): an XML document for each order, wrapped in CDATA, escaped, or bare in turn; some are broken.
+
+    ``path`` may say otherwise where a document lies, by the columns of the header.
+    """
 
     def tag(name: str, *content) -> F.Column:
         return F.concat(F.lit(f"<{name}>"), *content, F.lit(f"</{name}>"))
@@ -59,7 +62,8 @@ def xml_documents(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 1, F.concat(F.lit("<autorizacion>"), status, F.lit("<comprobante>"), escaped, F.lit("</comprobante></autorizacion>")))
         .otherwise(doc)
     )
-    return h.select(F.concat(F.lit("d/"), F.col("orderkey").cast("string"), F.lit(".xml")).alias("path"), value.alias("value"))
+    named = F.concat(F.lit("d/"), F.col("orderkey").cast("string"), F.lit(".xml")) if path is None else path
+    return h.select(named.alias("path"), value.alias("value"))
 
 
 @query("s2_xml_header", sql("header", """SELECT clave, CASE WHEN orderkey % 4 < 2 THEN coalesce(estado, 'AUTORIZADO') ELSE 'AUTORIZADO' END AS estado, cod_doc, estab || '-' || pto || '-' || sec AS serie, ruc,
@@ -110,16 +114,15 @@ FIRST_DAY, LAST_DAY = datetime.date(1997, 2, 10), datetime.date(1997, 4, 20)
 
 def filed_documents(spark: SparkSession, d: str) -> DataFrame:
     """The XML documents under the paths of both folder layouts; some in consolidated folders, some twice."""
-    h, k = bridge.header(spark, d), F.col("orderkey")
+    k = F.col("orderkey")
     kind, month = K.label(F.col("cod_doc"), K.DOC_TYPE), dates.month_name(F.month("fecha"))
     status = F.when(F.col("origin") == "Recibidos", "").when(F.col("estado") == "AUTORIZADO", "Autorizados/").otherwise("No Autorizados/")
     name = F.concat(slug(kind), F.lit("__"), F.date_format("fecha", "yyyyMMdd"), F.lit("__"), k.cast("string"), F.lit(".xml"))
     new = F.concat("origin", F.lit("/"), status, kind, F.lit("/"), F.year("fecha").cast("string"), F.lit("/"), month, F.lit("/XML/"), name)
     old = F.concat(F.year("fecha").cast("string"), F.lit("/"), month, F.lit("/"), F.date_format("fecha", "dd"), F.lit("/01_"), kind, F.lit("/XML/"), k.cast("string"), F.lit(".xml"))
     path = F.concat(F.lit("/data/179/"), F.when(k % 11 == 5, "Consolidados/").otherwise(""), F.when(k % 7 == 3, old).otherwise(new))
-    where = h.select(F.concat(F.lit("d/"), k.cast("string"), F.lit(".xml")).alias("name"), path.alias("path"), k.alias("orderkey"))
-    named = xml_documents(spark, d).withColumnRenamed("path", "name").join(where, "name")
-    return named.withColumn("time", F.explode(F.sequence(F.lit(1), F.when(k % 13 == 1, 2).otherwise(1)))).select("path", "value")
+    times = F.sequence(F.lit(1), F.when(k % 13 == 1, 2).otherwise(1))
+    return xml_documents(spark, d, F.explode(F.transform(times, lambda _: path))).select("path", "value")
 
 
 @query("s1_archived_documents", sql("header", """SELECT clave, CASE WHEN orderkey % 7 = 3 THEN 'desconocido' ELSE lower(origin) END AS origen,

@@ -82,9 +82,10 @@ def archive(documents: DataFrame, root: str, repeated: bool = True) -> None:
 
     A path that comes several times is stored once (``repeated=False``: none does, as after :func:`scan_period`, and the documents
     are moved only once). Documents of consolidated folders aren't stored; what a path doesn't say is 'sin_dato', or year and
-    month 0. Spark deals the rows to files of even size: a month with very many documents is many files.
+    month 0. Spark deals the rows to files of even size: a month with very many documents is many files. Documents are dealt by
+    path before repeated ones go, so that their texts are sorted once and not before the exchange too.
     """
-    placed = _placed(documents.dropDuplicates(["path"]) if repeated else documents).withColumns({"anio": F.coalesce("anio", F.lit(0)), "mes": F.lpad(F.coalesce("mes", F.lit(0)).cast("string"), 2, "0")})
+    placed = _placed(documents.repartition("path").dropDuplicates(["path"]) if repeated else documents).withColumns({"anio": F.coalesce("anio", F.lit(0)), "mes": F.lpad(F.coalesce("mes", F.lit(0)).cast("string"), 2, "0")})
     rows = placed.select("path", "value", "dia", *LAYOUT)
     rows.hint("rebalance", *LAYOUT).write.mode("append").partitionBy(*LAYOUT).parquet(root)
 

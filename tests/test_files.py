@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from taxloom.plans import documents
 from taxloom.sources import files, xml
 
 D = datetime.date
@@ -105,3 +106,9 @@ def test_a_large_list_is_not_one_task(spark):
         for n, v in before.items():
             spark.conf.set(n, v)
     assert len(parts) == 4 and sum(r["count"] for r in parts) == 5000
+
+
+def test_filed_documents_are_made_once(spark, sf):
+    """Documents get their paths where they are made; a join with the header by name dealt all their texts once more."""
+    plan = documents.filed_documents(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_") == 1
