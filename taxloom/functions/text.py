@@ -30,8 +30,9 @@ def first_present(*columns: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Letters without their marks; other non-ASCII characters are dropped. Latin letters only."""
-    return F.regexp_replace(F.translate(c, MARKED, PLAIN), r"[^\x00-\x7F]", "")
+    """Letters without their marks; other non-ASCII characters are dropped. Latin letters only. Plain text, of a byte a letter, stays as it is."""
+    plain = (F.octet_length(c) == F.length(c)) & F.is_valid_utf8(c)
+    return F.when(plain, c).otherwise(F.regexp_replace(F.translate(c, MARKED, PLAIN), r"[^\x00-\x7F]", ""))
 
 
 def slug(c: Column) -> Column:
@@ -50,8 +51,8 @@ def squeeze(c: Column) -> Column:
 
 
 def upper_label(c: Column) -> Column:
-    plain = F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"[^A-Za-z0-9]+", " ")
-    return F.trim(F.translate(plain, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))  # ASCII only by now
+    plain = F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"\P{Alnum}+", " ")  # ASCII letters and digits, by one look at a table
+    return F.trim(F.upper(plain))  # ASCII only by now
 
 
 def file_name(c: Column, longest: int = 180) -> Column:

@@ -71,3 +71,11 @@ def test_text(spark):
 def test_tax_slug(spark, code, rate, slug):
     df = spark.createDataFrame([(code, rate)], "c string, r string")
     assert df.select(K.tax_slug(F.col("c"), F.col("r"))).first()[0] == slug
+
+
+def test_labels(spark):
+    """Marked letters lose their marks, other letters go, ASCII's own upper case is taken."""
+    given = ["Dirección Matriz:", "r.u.c._1", "ß ı ſ x", "ÑANDÚ\t\x00é", None, " a-b ", "naïve \U0001f600z"]
+    label = text.upper_label(F.col("c"))
+    assert values(spark, text.upper_label, given) == ["DIRECCION MATRIZ", "R U C 1", "X", "NANDU E", "", "A B", "NAIVE Z"]
+    assert "upper" in str(label) and "abcdefghijklmnopqrstuvwxyz" not in str(label)
