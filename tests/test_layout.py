@@ -10,3 +10,14 @@ def test_lines_are_dealt_by_page(spark):
     for found in (layout.checked_values(lines, ["doc_id"], {"rucEmisor": ["RUC"]}), layout.layout_record(lines, ["doc_id"])):
         assert "RepartitionByExpression [doc_id" in found._jdf.queryExecution().optimizedPlan().toString()
     assert layout.checked_values(lines, ["doc_id"], {"rucEmisor": ["RUC"]}).first().value == "1790011674001"
+
+
+def test_words_become_lines_in_one_step(spark):
+    words = [(1, 10.0, 5.0, "b"), (1, 1.0, 5.5, "a"), (1, 1.0, 30.0, ""), (1, 1.0, 60.0, "c"), (1, 9.0, 61.0, None), (1, 20.0, 62.5, "d"), (2, 3.0, 1.0, "e")]
+    page = spark.createDataFrame([(d, x, y, x + 5, y + 10, t, 600.0, 800.0) for d, x, y, t in words], "doc_id int, x0 double, y0 double, x1 double, y1 double, text string, page_width double, page_height double")
+    for tolerance in (None, 3.0):
+        found = layout.word_lines(page, ["doc_id"], tolerance)
+        got = sorted((r.doc_id, r.line, r.text, r.x0, r.y0, r.x1, r.y1, r.region) for r in found.collect())
+        assert got == [(1, 0, "a b", 1.0, 5.0, 15.0, 15.5, "top_left"), (1, 2, "c d", 1.0, 60.0, 25.0, 72.5, "top_left"), (2, 0, "e", 3.0, 1.0, 8.0, 11.0, "top_left")]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("slice(") == 1 and plan.count("array_join(") == 1  # a line is made once, not for each of its columns
