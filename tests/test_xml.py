@@ -174,3 +174,12 @@ def test_documents_are_gathered_without_an_aggregation(spark, sf):
     for made in (documents.xml_documents, star.xml_documents):
         plan = made(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan and plan.count("Window [") == 2
+
+
+def test_a_documents_lines_are_sorted_without_a_lambda(spark, sf):
+    from pyspark.sql import functions as F
+
+    from taxloom.plans import bridge
+
+    found = bridge.by_document(bridge.lines(spark, sf), n=F.col("line_num"))
+    assert "lambdafunction" not in found._jdf.queryExecution().analyzed().toString()
