@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 from taxloom.llm.common import cut
 
 KINDS = ["email", "ip", "card", "phone"]
-TRAIN_DOCS = 20_000
-TRAIN_SPANS = 50
 PRECISION = 0.99
 AROUND = 24
 
@@ -30,7 +29,7 @@ BASE = {
 LOOSE = {
     "email": r"[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[(\[{](?:at|AT)[)\]}]\x20?)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[{](?:dot|DOT)[)\]}]\x20?)[A-Za-z0-9-]{1,63}){0,6}",
     "ip": r"[0-9]{1,3}(?:\x20?[.,]\x20?[0-9]{1,3}){3}",
-    "card": r"[0-9](?:[\x20.-]?[0-9]){12,18}",
+    "card": r"(?<![0-9])[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])|[0-9](?:[\x20.-]?[0-9]){12,18}",
     "phone": r"[+(]?[0-9][\x20().0-9-]{6,18}[0-9]",
 }
 WORDS = {
@@ -122,6 +121,11 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _whole(kind: str, s: Column) -> Column:
+    """Whether a candidate by itself is a valid base span."""
+    return (F.regexp_extract(s["found"], f"^(?:{BASE[kind]})$", 0) != "") & _valid(kind, s["found"])
+
+
 def _personal(kind: str, s: Column) -> Column:
     """Whether a candidate is personal data: a valid base span, or one that is valid once it is normalised.
 
@@ -141,8 +145,7 @@ def _personal(kind: str, s: Column) -> Column:
         sound = _valid(kind, found)
     free = ~before.rlike("[0-9A-Za-z.+-]$") & ~after.rlike("^[0-9A-Za-z@-]")
     hinted = F.lit(True) if kind == "email" else F.lower(before).rlike(WORDS[kind])
-    whole = F.regexp_extract(found, f"^(?:{BASE[kind]})$", 0) != ""
-    return (whole & _valid(kind, found)) | (sound & free & hinted)
+    return _whole(kind, s) | (sound & free & hinted)
 
 
 def _base(kind: str) -> Column:
@@ -172,6 +175,7 @@ def features(kind: str, s: Column) -> dict[str, Column]:
         "dashes": count("-").cast("double"),
         "brackets": count(r"[()\[\]{}]").cast("double"),
         "luhn": yes(summed),
+        "base": yes(_whole(kind, s)),
         "plus": yes(F.startswith(found, F.lit("+"))),
         "at_sign": yes(F.contains(found, F.lit("@"))),
         "other": (n - digits - count(r"[\x20.()+-]")).cast("double"),
@@ -261,38 +265,36 @@ def seeds(spark: SparkSession, n: int = SEEDS) -> DataFrame:
     return rows.select(text.alias("text"), (draw("held", 5) == 0).alias("held"), "kind", "truth")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
-    """Boost trees on the candidates of a bounded sample of documents and of made texts, and calibrate a threshold for each kind.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Boost trees on all candidates of all documents and of made texts, and calibrate a threshold for each kind.
 
-    About ``train_docs`` documents, drawn by the MD5 of their id, give up to ``TRAIN_SPANS`` candidates of each kind
-    each. A candidate is labelled by :func:`_personal`, wider than the base patterns. The ``SEEDS`` texts of :func:`seeds` are
-    added, whose labels are what they were made as; with them all kinds have a threshold on any table, an empty one too. Four fifths train the trees; on the
-    last fifth the least score is found from which ``PRECISION`` of a kind's candidates have the label. A kind for which no score
-    reaches that, or a sample without both labels, selects no candidates.
+    A candidate is labelled by :func:`_personal`, wider than the base patterns. The ``SEEDS`` texts of :func:`seeds` are
+    added, whose labels are what they were made as, or that they are base spans; with them all kinds have a threshold on any table, an empty one too. Candidates with the same
+    features and label are one row with their number as its weight, so the trees see every candidate, but few rows. Four fifths of the documents, by the
+    MD5 of their id, train the trees; on all of the last fifth the least score is found from which ``PRECISION`` of a kind's candidates have the label.
+    A kind for which no score reaches that, or documents without both labels, select no candidates.
     """
     made = cut(seeds(docs.sparkSession))  # its long expressions stay out of later plans
-    total = docs.count()
     mark = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rate = F.lit(min(1 << 40, (1 << 40) * train_docs // max(1, total)))
-    drawn = docs.filter(F.conv(F.substring(mark, 1, 10), 16, 10).cast("long") < rate)
-    drawn = drawn.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.conv(F.substring(mark, 11, 8), 16, 10).cast("long") % 5 == 0).alias("held"))
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.conv(F.substring(mark, 11, 8), 16, 10).cast("long") % 5 == 0).alias("held"))
     kinds = []
     for k in KINDS:
-        rows = _matched(drawn, {f"loose_{k}": (LOOSE[k], True)}).select("held", F.explode(F.slice(_spans(f"loose_{k}", AROUND), 1, TRAIN_SPANS)).alias("s"))
+        rows = _matched(texts, {f"loose_{k}": (LOOSE[k], True)}).select("held", F.explode(_spans(f"loose_{k}", AROUND)).alias("s"))
         label = _personal(k, F.col("s")).cast("double")
         more = _matched(made.withColumn("known", (F.col("truth") & (F.col("kind") == k)).cast("double")).drop("kind", "truth"), {f"loose_{k}": (LOOSE[k], True)})
         more = more.select("held", "known", F.explode(_spans(f"loose_{k}", AROUND)).alias("s"))
-        for found, own in ((rows, label), (more, F.col("known"))):
+        for found, own in ((rows, label), (more, F.greatest("known", _whole(k, F.col("s")).cast("double")))):
             kinds.append(found.select("held", F.lit(k).alias("kind"), own.alias("label"), *[v.alias(c) for c, v in features(k, F.col("s")).items()]))
     names = [c for c in kinds[0].columns if c not in ("held", "kind", "label")]
     rows = reduce(DataFrame.unionByName, kinds).groupBy("held", "kind", "label", *names).count()  # equal rows are one
-    rows = rows.coalesce(1).persist()
+    rows = rows.persist()
     try:
         labels = {r["label"] for r in rows.filter("not held").select("label").distinct().collect()}
         if len(labels) < 2:
             return Model()
         ready = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-        fitted = GBTClassifier(maxIter=8, maxDepth=3, maxBins=64, seed=7, weightCol="count").fit(ready.filter("not held"))
+        bins = max(100, math.isqrt(rows.count()) + 1)  # up to bins^2 rows Spark takes the trees' cuts from all rows, beyond from a sample of them
+        fitted = GBTClassifier(maxIter=8, maxDepth=3, maxBins=bins, seed=7, weightCol="count").fit(ready.filter("not held"))
         java = fitted._java_obj
         model = Model([(w, _tree(t.rootNode())) for w, t in zip(java.treeWeights(), java.trees(), strict=True)], names)
         scored = rows.filter("held").select("kind", "label", "count", model.score({c: F.col(c) for c in names}).alias("score"))

@@ -195,3 +195,22 @@ def test_fit_learns_what_base_misses(spark):
     texts = ["reach ann (at) mail (dot) org now", "phone 020 555 0199 now", "order 020 555 0199 now", "see ann (at) noon today", "credit card 378282246310005 now", "credit card 378282246310006 now", "number 378282246310005 now"]
     found = {x.doc_id: x.spans for x in pii.find_personal_data(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), model).collect()}
     assert found == {0: "email:6:29", 1: "phone:6:18", 2: "", 3: "", 4: "card:12:27", 5: "", 6: ""}
+
+
+def test_fit_sees_every_candidate(spark, monkeypatch):
+    """The trees' rows weigh as much as there are candidates, however many a document has."""
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, rows):
+        seen.append(rows.groupBy().sum("count").first()[0])
+        raise Seen
+
+    monkeypatch.setattr(pii.GBTClassifier, "fit", fit)
+    i = next(i for i in range(100) if int(hashlib.md5(str(i).encode()).hexdigest()[10:18], 16) % 5)
+    for text in (None, "call 555-867-5309; " * 200):
+        with pytest.raises(Seen):
+            pii.fit(table(spark, [(i, text, "en", "a")]))
+    assert seen[1] - seen[0] == 200
