@@ -21,3 +21,23 @@ def test_words_become_lines_in_one_step(spark):
         assert got == [(1, 0, "a b", 1.0, 5.0, 15.0, 15.5, "top_left"), (1, 2, "c d", 1.0, 60.0, 25.0, 72.5, "top_left"), (2, 0, "e", 3.0, 1.0, 8.0, 11.0, "top_left")]
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("slice(") == 1 and plan.count("array_join(") == 1  # a line is made once, not for each of its columns
+
+
+PLACED = [
+    (1, 0, 10.0, 60.0, 100.0, "VALOR TOTAL"), (1, 1, 90.0, 120.0, 102.5, "7,50"), (1, 2, 70.0, 80.0, 97.5, "$ 1.234,50"), (1, 3, 10.0, 40.0, 112.0, "9"), (1, 4, 10.0, 60.0, 300.0, "Importe Total"), (1, 5, 80.0, 99.0, 300.0, "3"),
+    (1, 6, 10.0, 60.0, 200.0, "Identificación"), (1, 7, 9.0, 60.0, 206.0, "no"), (1, 8, 12.0, 60.0, 212.0, "0912345678"), (1, 9, 10.0, 60.0, 211.0, "abc"), (1, 10, 10.0, 60.0, 400.0, "FORMA DE PAGO"), (1, 11, 90.0, 99.0, 400.0, "Efectivo - 5.00"),
+    (1, 12, 10.0, 60.0, 500.0, None), (1, 13, 10.0, 60.0, None, "RUC 1790011674001 No. 001-002-000000003"), (2, 0, 10.0, 60.0, 100.0, "AMBIENTE"), (2, 1, 10.0, 60.0, 112.5, "PRODUCCION"), (3, 0, 10.0, 60.0, 1.0, "1" * 49),
+]
+
+
+def test_record_meets_only_what_is_near(spark):
+    """What is beside or below a label is found within its range of heights, without a join of a page's lines with its labels."""
+    lines = spark.createDataFrame(PLACED, "doc_id int, line int, x0 double, x1 double, y0 double, text string")
+    found = layout.layout_record(lines, ["doc_id"])
+    assert sorted((r.doc_id, r.field, r.value) for r in found.collect()) == [
+        (1, "establecimiento", "001"), (1, "formaPago", "Efectivo"), (1, "formaPagoMonto", "5.00"), (1, "identificacionComprador", "abc"), (1, "numeroComprobante", "001-002-000000003"), (1, "puntoEmision", "002"),
+        (1, "secuencial", "000000003"), (1, "valorTotal", "1234.50"), (3, "claveAcceso", "1" * 49),
+    ]
+    assert sorted((r.doc_id, r.field, r.value) for r in layout.label_values(lines, ["doc_id"], {"a": ["AMBIENTE"], "v": ["VALOR TOTAL"]}).collect()) == [(1, "v", "$ 1.234,50")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
