@@ -1,6 +1,7 @@
 """Layouts: lines are dealt by page before anything is done to them."""
 
 from taxloom.operators import layout
+from taxloom.plans import texts
 
 LINE = "doc_id int, line int, x0 double, x1 double, y0 double, y1 double, text string, region string"
 
@@ -41,3 +42,10 @@ def test_record_meets_only_what_is_near(spark):
     assert sorted((r.doc_id, r.field, r.value) for r in layout.label_values(lines, ["doc_id"], {"a": ["AMBIENTE"], "v": ["VALOR TOTAL"]}).collect()) == [(1, "v", "$ 1.234,50")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_boxes_are_not_stored(spark, sf):
+    """The boxes of a page go through its layout as they are made; only the given tables are read."""
+    for query in (texts.layout_record, texts.layout_first):
+        files = query(spark, sf).inputFiles()
+        assert files and all(f"{sf}/" in f for f in files)
