@@ -345,7 +345,7 @@ def bundle(spark: SparkSession, d: str) -> DataFrame:
 def ingested(spark: SparkSession, d: str) -> DataFrame:
     """Documents that arrive as a stream, parsed and stored batch by batch."""
     path = scratch(spark)
-    xml_documents(spark, d).write.parquet(f"{path}/llegados")
+    xml_documents(spark, d).write.parquet(f"{path}/llegados", compression="zstd")
     stream = spark.readStream.schema("path string, value string").parquet(f"{path}/llegados")
     ingest.ingest_stream(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return ingest.committed(spark, f"{path}/out", "cabecera").select("clave", "cod_doc", F.col("importe_total").cast("double").alias("importe_total"))

@@ -183,3 +183,12 @@ def test_a_documents_lines_are_sorted_without_a_lambda(spark, sf):
 
     found = bridge.by_document(bridge.lines(spark, sf), n=F.col("line_num"))
     assert "lambdafunction" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_summaries_are_made_where_the_documents_are(spark):
+    """A document's summary comes from its own lists: nothing is dealt out, and two documents under one path have their own facts."""
+    docs = spark.createDataFrame([("p.xml", invoice("S1")), ("p.xml", invoice("S2").replace("<descripcion>uno", "<descripcion>tres"))], "path string, value string")
+    made = xml.report_bundle(xml.parse(docs))["documentos"]
+    assert sorted((r.clave_acceso, r.descripciones, r.base_gravada, r.monto_iva) for r in made.collect()) == [("S1", "uno | dos", 100.0, 15.0), ("S2", "tres | dos", 100.0, 15.0)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
