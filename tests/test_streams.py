@@ -112,3 +112,15 @@ def test_first_paths(spark):
     rows = [("k", "k", "b", "1"), (None, None, None, "2"), ("k", "k", "a", "3"), ("", "", "z", "4"), ("m", "m", None, "5"), (None, None, None, "6"), ("m", "m", "c", "7")]
     batches = [pa.RecordBatch.from_pylist([dict(zip(("_key", "clave", "path", "value"), r, strict=True)) for r in part], schema=pa.schema([(c, pa.string()) for c in ("_key", "clave", "path", "value")])) for part in (rows[:3], rows[3:])]
     assert sorted(v for b in ingest._first_paths(iter(batches)) for v in b["value"].to_pylist()) in (["2", "3", "4", "7"], ["3", "4", "6", "7"])
+
+
+def test_arrivals_are_written_as_they_are_made(spark, sf, tmp_path, monkeypatch):
+    """Documents that arrive again have files of their own, made from those that are there; two batches store each key once."""
+    from taxloom.plans import documents
+
+    monkeypatch.setattr(documents, "scratch", lambda spark: str(tmp_path))
+    stored = documents.stored_once(spark, sf)
+    assert stored.count() == stored.select("clave").distinct().count() == 1470
+    arrived = spark.read.parquet(str(tmp_path / "llegados")).selectExpr("_metadata.file_name f", "path like 'otra/%' again")
+    assert arrived.filter("again").count() > 0 and arrived.groupBy("f").agg({"again": "count"}).count() == arrived.distinct().count()
+    assert len(ingest.manifest(spark, str(tmp_path / "out")).collect()) == 2
