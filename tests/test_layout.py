@@ -1,7 +1,7 @@
 """Layouts: lines are dealt by page before anything is done to them."""
 
 from taxloom.operators import layout
-from taxloom.plans import texts
+from taxloom.plans import documents, texts
 
 LINE = "doc_id int, line int, x0 double, x1 double, y0 double, y1 double, text string, region string"
 
@@ -49,3 +49,25 @@ def test_boxes_are_not_stored(spark, sf):
     for query in (texts.layout_record, texts.layout_first):
         files = query(spark, sf).inputFiles()
         assert files and all(f"{sf}/" in f for f in files)
+
+
+EVIDENCE = [
+    (1, 0, 10.0, 60.0, 100.0, 110.0, "FECHA EMISION", "a"), (1, 1, 90.0, 99.0, 103.5, 113.0, "right far", "a"), (1, 2, 80.0, 99.0, 103.5, 113.0, "right near", "a"), (1, 3, 10.0, 60.0, 111.0, 121.0, "below", "a"),
+    (1, 4, 10.0, 60.0, 300.0, 310.0, "RUC: 1790011674001", "a"), (1, 5, 200.0, 260.0, 500.0, 510.0, "RUC", "b"), (1, 6, 10.0, 60.0, 528.0, 538.0, "same region", "b"), (1, 7, 10.0, 60.0, 529.0, 539.0, "too far", "b"),
+    (2, 0, 10.0, 60.0, 100.0, 110.0, "RUC", "a"), (2, 1, 95.0, 99.0, 132.0, 142.0, "aside", "b"), (2, 2, 90.0, 99.0, 131.0, 141.0, "below", "b"), (2, 3, 20.0, 60.0, 100.0, 110.0, None, "a"), (3, 0, 1.0, 2.0, 3.0, 4.0, "RUC", "a"),
+]
+
+
+def test_evidence_is_found_without_a_join(spark):
+    """A label line without a value of its own goes through its page's lines, which are gathered once."""
+    lines = spark.createDataFrame(EVIDENCE, "doc_id int, line int, x0 double, x1 double, y0 double, y1 double, text string, region string")
+    found = layout.nearby_values(lines, {"fecha": ["FECHA EMISION"], "ruc": ["RUC"]}, ["doc_id"])
+    assert sorted((r.doc_id, r.line, r.field, r.value, r.confidence) for r in found.collect()) == [
+        (1, 0, "fecha", "right near", 0.92), (1, 4, "ruc", "1790011674001", 0.89), (1, 5, "ruc", "same region", 0.68), (2, 0, "ruc", "below", 0.82),
+    ]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checked_lines_are_dealt_once(spark, sf):
+    plan = documents.checked_fields(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
