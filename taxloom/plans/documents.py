@@ -47,7 +47,9 @@ def xml_documents(spark: SparkSession, d: str, path: F.Column | None = None) ->
     tax = tag("impuesto", tag("codigo", F.lit("2")), tag("codigoPorcentaje", "pct"), tag("baseImponible", F.col("base").cast("string")), tag("valor", F.col("valor").cast("string")))
     line = tag("detalle", tag("codigoPrincipal", F.col("codigo").cast("string")), tag("descripcion", "descripcion"), tag("cantidad", F.col("cantidad").cast("string")), tag("precioUnitario", F.col("precio").cast("string")), tag("impuestos", tax))
     pay = tag("pago", tag("formaPago", "forma_pago"), tag("total", F.col("base").cast("string")))
-    h = bridge.header(spark, d).join(bridge.by_document(bridge.lines(spark, d), line=line, pay=pay), "orderkey", "left")
+    # orders are dealt as they are, which is less than the headers made of them
+    orders = bridge.table(spark, d, "orders").join(bridge.by_document(bridge.lines(spark, d), line=line, pay=pay), F.col("o_orderkey") == F.col("orderkey"), "left").drop("orderkey")
+    h = bridge.header(spark, d, orders, "rows")
     lines, pays = (F.coalesce(F.array_join(f"rows.{c}", ""), F.lit("")) for c in ("line", "pay"))
     node = K.label(F.col("cod_doc"), {"01": "infoFactura", "03": "infoLiquidacionCompra", "04": "infoNotaCredito", "05": "infoNotaDebito", "07": "infoCompRetencion"})
     info = F.concat(F.lit("<"), node, F.lit(">"), tag("fechaEmision", F.date_format("fecha", "dd/MM/yyyy")), tag("importeTotal", F.regexp_replace(F.col("importe").cast("string"), r"\.", ",")), tag("pagos", pays), F.lit("</"), node, F.lit(">"))

@@ -77,17 +77,28 @@ def _placed(documents: DataFrame) -> DataFrame:
     return documents.filter(~F.array_contains(folders, CONSOLIDATED)).withColumns(at | words)
 
 
+def _dealt(documents: DataFrame, repeated: bool) -> DataFrame:
+    """Documents with their folders' columns, dealt to tasks by folder once; of repeated paths one stays.
+
+    A path says its folder, so repeated ones meet where their folder is written, and texts aren't dealt by path before. A folder's paths
+    go to one task for every 64 shuffle partitions, so that neither a large month is one task nor a small one many files.
+    """
+    placed = _placed(documents).withColumns({"anio": F.coalesce("anio", F.lit(0)), "mes": F.lpad(F.coalesce("mes", F.lit(0)).cast("string"), 2, "0")})
+    if not repeated:
+        return placed.select("path", "value", "dia", *LAYOUT).hint("rebalance", *LAYOUT)
+    shares = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64)
+    shared = placed.withColumn("_share", F.pmod(F.xxhash64("path"), F.lit(shares)))
+    return shared.repartition(*LAYOUT, "_share").dropDuplicates([*LAYOUT, "_share", "path"]).select("path", "value", "dia", *LAYOUT)
+
+
 def archive(documents: DataFrame, root: str, repeated: bool = True) -> None:
     """Add documents (path, value) to the archive below ``root``, one folder for each origin, status, type, year and month.
 
-    A path that comes several times is stored once (``repeated=False``: none does, as after :func:`scan_period`, and the documents
-    are moved only once). Documents of consolidated folders aren't stored; what a path doesn't say is 'sin_dato', or year and
-    month 0. Spark deals the rows to files of even size: a month with very many documents is many files. Documents are dealt by
-    path before repeated ones go, so that their texts are sorted once and not before the exchange too.
+    A path that comes several times is stored once (``repeated=False``: none does, as after :func:`scan_period`, and Spark deals the rows to
+    files of even size). Documents of consolidated folders aren't stored; what a path doesn't say is 'sin_dato', or year and month 0.
+    A month with very many documents is several files. Documents are dealt once; see :func:`_dealt`.
     """
-    placed = _placed(documents.repartition("path").dropDuplicates(["path"]) if repeated else documents).withColumns({"anio": F.coalesce("anio", F.lit(0)), "mes": F.lpad(F.coalesce("mes", F.lit(0)).cast("string"), 2, "0")})
-    rows = placed.select("path", "value", "dia", *LAYOUT)
-    rows.hint("rebalance", *LAYOUT).write.mode("append").partitionBy(*LAYOUT).parquet(root)
+    _dealt(documents, repeated).write.mode("append").option("compression", "zstd").partitionBy(*LAYOUT).parquet(root)
 
 
 def archived(spark: SparkSession, root: str, start: datetime.date, end: datetime.date, origin: str | None = None, status: str | None = None, kind: str | None = None) -> DataFrame:

@@ -112,3 +112,21 @@ def test_filed_documents_are_made_once(spark, sf):
     """Documents get their paths where they are made; a join with the header by name dealt all their texts once more."""
     plan = documents.filed_documents(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [o_") == 1
+
+
+def test_archived_documents_are_dealt_once(spark):
+    """Repeated paths go where their folder is written; a folder's paths are dealt to more tasks where there are more."""
+    paths = [f"/x/Emitidos/Autorizados/Factura/2025/Mayo/XML/factura__202505{i % 28 + 1:02d}__{i}.xml" for i in range(300)]
+    docs = spark.createDataFrame([(p, f"{p}!") for p in paths * 2] + [(None, "none")], "path string, value string")
+    found = files._dealt(docs, True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((r.path, r.value) for r in found.collect()) == sorted((p, f"{p}!") for p in paths)
+    name, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set(name, "256")
+        shared = files._dealt(docs, True)
+        assert shared.count() == len(paths)
+        shares = shared._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "pmod(xxhash64(path" in shares and ", 4)" in shares
